@@ -1,0 +1,157 @@
+"""Synthetic support tables as distributed jobs.
+
+Every number is a function of the row's key and a seed, not of a random stream. A lost task that runs
+again, or a different number of partitions, gives the same rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Categories, weights and factors of the generated tables.
+CATEGORIES = ("Login/Authentication", "Performance", "Billing", "Data Loss", "Integration", "Feature Request", "Configuration", "Security")
+PRIORITY_WEIGHTS = (("Low", 20), ("Medium", 40), ("High", 30), ("Critical", 10))
+PRIORITY_FACTOR = {"Low": 1.0, "Medium": 1.2, "High": 1.5, "Critical": 2.0}
+STATUS_WEIGHTS = (("Resolved", 4), ("Open", 1), ("In Progress", 1), ("Escalated", 1))
+PRODUCTS, REPS, CUSTOMERS, DAYS, WEEKS = 5, 10, 50, 90, 12
+START = "2025-12-01"
+HASH_DIGITS = 13
+
+
+def uniform(key: Column, seed: int, salt: str) -> Column:
+    """A number in [0, 1) from the key: the leading 52 bits of an MD5 hash."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}:{salt}")))
+    return F.conv(F.left(digest, F.lit(HASH_DIGITS)), 16, 10).cast("bigint") / F.lit(float(16**HASH_DIGITS))
+
+
+def whole(key: Column, seed: int, salt: str, low: int, high: int) -> Column:
+    """A whole number in low..high."""
+    return (F.floor(uniform(key, seed, salt) * (high - low + 1)) + low).cast("int")
+
+
+def between(key: Column, seed: int, salt: str, low: float, high: float) -> Column:
+    return F.lit(low) + uniform(key, seed, salt) * (high - low)
+
+
+def normal(key: Column, seed: int, salt: str, mean: Column | float, deviation: float) -> Column:
+    """Box-Muller transform of two uniform numbers."""
+    u, v = uniform(key, seed, salt + "u"), uniform(key, seed, salt + "v")
+    z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * v)
+    return (F.lit(mean) if not isinstance(mean, Column) else mean) + z * deviation
+
+
+def choice(key: Column, seed: int, salt: str, weighted: Sequence[tuple[str, int]]) -> Column:
+    u = uniform(key, seed, salt) * sum(w for _, w in weighted)
+    out, reached = None, 0
+    for value, weight in weighted[:-1]:
+        reached += weight
+        out = F.when(u < reached, value) if out is None else out.when(u < reached, value)
+    return out.otherwise(weighted[-1][0])
+
+
+def _one_digit(value: Column) -> Column:
+    return F.round(value.cast("decimal(28,9)"), 1).cast("double")
+
+
+def _numbered(prefix: str, number: Column, width: int) -> Column:
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))
+
+
+def support_cases(ids: DataFrame, id_column: str = "id", seed: int = 42) -> DataFrame:
+    """One case per id."""
+    k = F.col(id_column)
+    cases = ids.select(
+        _numbered("CASE-", k, 5).alias("case_id"),
+        _numbered("CUST-", whole(k, seed, "customer", 1, CUSTOMERS), 4).alias("customer_id"),
+        F.date_add(F.lit(START).cast("date"), whole(k, seed, "day", 0, DAYS - 1)).alias("case_date"),
+        _numbered("Product ", whole(k, seed, "product", 1, PRODUCTS), 1).alias("product"),
+        choice(k, seed, "category", [(c, 1) for c in CATEGORIES]).alias("issue_category"),
+        _numbered("Rep ", whole(k, seed, "rep", 1, REPS), 2).alias("rep_name"),
+        choice(k, seed, "status", STATUS_WEIGHTS).alias("status"),
+        choice(k, seed, "priority", PRIORITY_WEIGHTS).alias("priority"),
+        whole(k, seed, "issue", 1, 4).alias("_issue"),
+    )
+    kind = F.concat(F.col("issue_category"), F.lit(" problem "), F.col("_issue").cast("string"))
+    return cases.select(
+        "case_id",
+        "customer_id",
+        "case_date",
+        "product",
+        "issue_category",
+        F.concat(kind, F.lit(" with "), F.col("product")).alias("issue_summary"),
+        F.concat(F.lit("Applied the known fix for "), kind).alias("resolution_summary"),
+        "rep_name",
+        "status",
+        "priority",
+    )
+
+
+def case_metrics(cases: DataFrame, seed: int = 42) -> DataFrame:
+    """Measures of each case, worse with rising priority."""
+    k = F.col("case_id")
+    factor = F.lit(None).cast("double")
+    for name, value in PRIORITY_FACTOR.items():
+        factor = F.when(F.col("priority") == name, value).otherwise(factor)
+    rows = cases.withColumn("_f", factor)
+    f = F.col("_f")
+    return rows.select(
+        "case_id",
+        "customer_id",
+        "case_date",
+        "product",
+        "issue_category",
+        "priority",
+        F.greatest(F.lit(1), normal(k, seed, "frt", f * 15, 5.0).cast("int")).alias("first_response_time_mins"),
+        F.greatest(F.lit(0.5), _one_digit(normal(k, seed, "res", f * 8, 3.0))).alias("resolution_time_hours"),
+        F.greatest(F.lit(1), normal(k, seed, "int", f * 3, 1.5).cast("int")).alias("num_interactions"),
+        F.least(F.lit(5.0), F.greatest(F.lit(1.0), _one_digit(normal(k, seed, "csat", F.lit(4.0) - (f - 1) * 0.5, 0.8)))).alias("csat_score"),
+        (F.col("priority").isin("High", "Critical") & (uniform(k, seed, "esc") < 0.3)).cast("int").alias("escalated"),
+    )
+
+
+def day_spine(bounds: DataFrame, first: str, last: str) -> DataFrame:
+    """One row per calendar day from a one-row frame of bounds."""
+    return bounds.select(F.explode(F.sequence(F.col(first).cast("date"), F.col(last).cast("date"))).alias("metric_date"))
+
+
+def daily_metrics(days: DataFrame, seed: int = 42) -> DataFrame:
+    """Daily totals; they do not add up to the cases, which the input tables do not either."""
+    k = F.col("metric_date")
+    rows = days.withColumn("total_cases", whole(k, seed, "total", 5, 20))
+    total = F.col("total_cases")
+
+    def clamp(value: Column, top: float | None = None) -> Column:
+        low = F.greatest(F.lit(1.0), _one_digit(value))
+        return low if top is None else F.least(F.lit(top), low)
+
+    return rows.select(
+        "metric_date",
+        "total_cases",
+        (total * between(k, seed, "resolved", 0.6, 0.95)).cast("int").alias("cases_resolved"),
+        (total * between(k, seed, "escalated", 0.05, 0.2)).cast("int").alias("cases_escalated"),
+        clamp(normal(k, seed, "res", 10.0, 3.0)).alias("avg_resolution_time_hours"),
+        clamp(normal(k, seed, "csat", 3.8, 0.4), 5.0).alias("avg_csat_score"),
+        clamp(normal(k, seed, "frt", 18.0, 5.0)).alias("avg_first_response_mins"),
+    )
+
+
+def rep_weeks(reps: DataFrame, rep: str = "rep_name", weeks: int = WEEKS, seed: int = 42) -> DataFrame:
+    """Every representative with every week."""
+    rows = reps.select(F.col(rep).alias("rep_name"), F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("_week"))
+    rows = rows.withColumn("week_start", F.date_add(F.lit(START).cast("date"), F.col("_week") * 7))
+    k = F.concat_ws("/", "rep_name", F.col("_week").cast("string"))
+    rows = rows.withColumn("cases_handled", whole(k, seed, "handled", 8, 25))
+    return rows.select(
+        "rep_name",
+        "week_start",
+        "cases_handled",
+        (F.col("cases_handled") * between(k, seed, "resolved", 0.7, 0.98)).cast("int").alias("cases_resolved"),
+        F.greatest(F.lit(1.0), _one_digit(normal(k, seed, "res", 9.0, 2.5))).alias("avg_resolution_time_hours"),
+        F.least(F.lit(5.0), F.greatest(F.lit(1.0), _one_digit(normal(k, seed, "csat", 3.9, 0.5)))).alias("avg_csat_score"),
+        F.round(between(k, seed, "esc", 0.02, 0.25).cast("decimal(28,9)"), 2).cast("double").alias("escalation_rate"),
+    )
