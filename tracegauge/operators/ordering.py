@@ -16,7 +16,7 @@ def with_position(df: DataFrame, keys: Sequence[str], time: str, then_by: Sequen
     NULL key belong to no group and are dropped; a NULL time sorts first.
     """
     keys = list(keys)
-    rows = df.filter(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda ok: ok)).withColumn(
+    rows = df.dropna(subset=keys).withColumn(
         "_zone", F.coalesce(F.unix_seconds(F.date_trunc(zone, F.col(time).cast("timestamp"))), F.lit(-(2**62)))
     )
     counts = rows.groupBy(*keys, "_zone").agg(F.count(F.lit(1)).alias("_n"))
@@ -34,3 +34,25 @@ def ranked_head(df: DataFrame, order: Sequence[Column], k: int, name: str = "ran
     """First k rows in a total order, numbered from 1. The window runs over those k rows only."""
     head = df.orderBy(*order).limit(k)
     return head.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("bigint"))
+
+
+def extreme_rows(df: DataFrame, keys: Sequence[str], time: str, tie: str, pick: Sequence[str], newest: bool = True, extra: Sequence[Column] = ()) -> DataFrame:
+    """The newest (or oldest) row of each group with the columns ``pick``, ties decided by ``tie``,
+    plus aggregates ``extra`` over the whole group. A NULL time counts as the newest.
+
+    The time alone is reduced first, in hashed buffers; the wide columns are then read only for the
+    few rows that carry the extreme time. Rows with a NULL key are dropped.
+    """
+    keys = list(keys)
+    rows = df.dropna(subset=keys)
+    at = F.coalesce(F.unix_micros(time), F.lit(2**62))
+    ends = rows.select("*", at.alias("_at")).groupBy(*keys).agg((F.max("_at") if newest else F.min("_at")).alias("_at"), *extra)
+    carried = [c for c in ends.columns if c not in (*keys, "_at")]
+    last = rows.select(*keys, at.alias("_at"), F.struct(*pick).alias("_row"), F.col(tie).alias("_tie")).join(ends, [*keys, "_at"])
+    best = F.max_by("_row", "_tie") if newest else F.min_by("_row", "_tie")
+    # The aggregates are the same on every row of a group.
+    return (
+        last.groupBy(*keys, *carried)
+        .agg(best.alias("_row"))
+        .select(*keys, *[F.col(f"_row.{c}") for c in pick], *carried)
+    )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.exprs import AgentPair, pct_change, round_half
-from tracegauge.operators.ordering import ranked_head
+from tracegauge.operators.ordering import extreme_rows, ranked_head
+from tracegauge.operators.scratch import materialize
 from tracegauge.operators.usage import attribute_usage, logged_usage, token_totals
 
 TOKEN_COLUMNS = ["prompt_tokens", "completion_tokens", "total_tokens"]
@@ -95,8 +96,9 @@ def widest_pairs(spans: DataFrame, pair: AgentPair = AgentPair(), top: int = 100
     lat = F.col("duration_ms")
     ranges = {s: df.groupBy("user_query").agg(F.min(lat).alias(f"{s}_min"), F.max(lat).alias(f"{s}_max")) for s, df in sides.items()}
     widest = F.greatest(F.col("a_max") - F.col("b_min"), F.col("b_max") - F.col("a_min"))
-    questions = (
-        ranges["a"].join(ranges["b"], "user_query").orderBy(widest.desc(), F.col("user_query").asc()).limit(top).select("user_query")
+    questions = materialize(
+        ranges["a"].join(ranges["b"], "user_query").orderBy(widest.desc(), F.col("user_query").asc()).limit(top).select("user_query"),
+        "widest-questions",
     )
 
     def extremes(side: str, largest: bool) -> DataFrame:
@@ -119,7 +121,7 @@ def widest_pairs(spans: DataFrame, pair: AgentPair = AgentPair(), top: int = 100
 
     gap = F.abs(F.col("a_latency_ms") - F.col("b_latency_ms"))
     order = [gap.desc(), F.col("user_query").asc(), F.col("a_record_id").asc(), F.col("b_record_id").asc()]
-    head = ranked_head(candidates(True).unionByName(candidates(False)), order, top)
+    head = materialize(ranked_head(candidates(True).unionByName(candidates(False)), order, top), "widest-pairs")
 
     for s in "ab":
         usage = side_usage(spans, pair, s)
@@ -148,13 +150,8 @@ def response_statistics(spans: DataFrame, pair: AgentPair = AgentPair()) -> Data
     differences, and the latest answer of each. One row stands for all pairs of the question."""
     parts = {}
     for side, agent in (("a", pair.a), ("b", pair.b)):
-        newest = F.struct(F.col("end_ts").isNull(), "end_ts", "record_id")
-        latest = (
-            roots_of(spans, agent)
-            .filter(F.col("user_query").isNotNull())
-            .groupBy("user_query")
-            .agg(F.max_by(F.left("agent_output", F.lit(200)), newest).alias(f"{side}_response_preview"))
-        )
+        shown = roots_of(spans, agent).withColumn("_shown", F.left("agent_output", F.lit(200)))
+        latest = extreme_rows(shown, ["user_query"], "end_ts", "record_id", ["_shown"]).withColumnRenamed("_shown", f"{side}_response_preview")
         parts[side] = _side_sums(spans, pair, side).join(latest, "user_query")
     q = parts["a"].join(parts["b"], "user_query")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.text import words
+from tracegauge.operators.scratch import materialize
 
 K1 = 1.2
 B = 0.75
@@ -48,61 +49,55 @@ def _kth_largest(df: DataFrame, keys: list[str], value: str, k: int, name: str)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == k).select(*keys, F.col(value).alias(name))
 
 
-def weighted_postings(postings: DataFrame, size: DataFrame) -> DataFrame:
-    """Add each posting's length-normalised frequency; the term weight comes from the term table."""
-    # One row of corpus totals, joined as a scalar.
-    n = size.select("n_docs").scalar()
-    avg = size.select("avg_words").scalar()
+def weigh(postings: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term, w): what a word adds to the score of a document; (term, bound): the most it adds
+    to any."""
+    n, avg = size.select("n_docs").scalar(), size.select("avg_words").scalar()
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_words") / avg)
-    return postings.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact"), n.alias("n_docs"))
-
-
-def rank_documents(postings: DataFrame, size: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query, ties by document id."""
-    impacts = weighted_postings(postings, size)
-    terms = impacts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("_df"), F.max("impact").alias("_top"), F.max("n_docs").alias("_docs")
-    ).select(
-        "term",
-        F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf"),
-        "_top",
-    ).select("term", "idf", (F.col("idf") * F.col("_top")).alias("bound"))
-    weighted = impacts.join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("impact")).alias("w"))
-    asked = wanted.join(terms, "term").select("query_id", "term", "bound")
-
-    # Lower bound of the k-th best score, from the k best documents of every single word.
+    impacts = postings.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("_impact"))
+    terms = impacts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.max("_impact").alias("_top"))
+    terms = terms.select("term", "_top", F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
+    weighted = impacts.join(terms.select("term", "_idf"), "term").select("doc_id", "term", (F.col("_idf") * F.col("_impact")).alias("w"))
+    return weighted, terms.select("term", (F.col("_idf") * F.col("_top")).alias("bound"))
+
+
+def plan_terms(weighted: DataFrame, bounds: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, term, lookup, rest, floor): which words of a query fetch documents and which are only
+    looked up. ``floor`` is a lower bound of the k-th best score, from the k best documents of every
+    single word; ``rest`` is what all looked-up words can add together."""
+    asked = wanted.join(bounds, "term").select("query_id", "term", "bound")
     per_term = Window.partitionBy("term").orderBy(F.col("w").desc(), F.col("doc_id").asc())
     best = weighted.withColumn("_rn", F.row_number().over(per_term)).filter(F.col("_rn") <= k).select("doc_id", "term", "w")
     seeds = asked.join(best, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("_seed"))
     floor = _kth_largest(seeds, ["query_id"], "_seed", k, "floor")
-
-    # Words in the order of their bounds; `_weak` is what the word and all weaker ones can add.
     upward = Window.partitionBy("query_id").orderBy(F.col("bound").asc(), F.col("term").asc()).rowsBetween(Window.unboundedPreceding, 0)
     plan = asked.withColumn("_weak", F.sum("bound").over(upward)).join(floor, "query_id", "left")
-    plan = plan.withColumn("_lookup", F.coalesce(F.col("_weak") + MARGIN < F.col("floor"), F.lit(False)))
-    strong = plan.filter(~F.col("_lookup")).select("query_id", "term")
-    weak = plan.filter("_lookup").select("query_id", "term", "_weak", "floor")
-    rest = weak.groupBy("query_id").agg(F.max("_weak").alias("_rest"), F.max("floor").alias("floor"))
-
-    found = strong.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("_strong"))
-    # A document that stays below the bound even with every weak word is out.
-    alive = (
-        found.join(rest, "query_id", "left")
-        .filter(F.col("floor").isNull() | (F.col("_strong") + F.col("_rest") + MARGIN >= F.col("floor")))
-        .select("query_id", "doc_id", "_strong")
+    plan = plan.withColumn("lookup", F.coalesce(F.col("_weak") + MARGIN < F.col("floor"), F.lit(False)))
+    rest = F.coalesce(F.max(F.when(F.col("lookup"), F.col("_weak"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    return plan.select("query_id", "term", "lookup", rest.alias("rest"), "floor")
+
+
+def rank_documents(postings: DataFrame, size: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query, ties by document id."""
+    weighted, bounds = weigh(postings, size)
+    weighted = materialize(weighted, "weights")
+    plan = materialize(plan_terms(weighted, bounds, wanted, k), "search-plan")
+
+    found = (
+        plan.filter(~F.col("lookup"))
+        .join(weighted, "term")
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum("w").alias("_strong"), F.max("rest").alias("rest"), F.max("floor").alias("floor"))
     )
+    # A document that stays below the bound even with every looked-up word is out.
+    alive = found.filter(F.col("floor").isNull() | (F.col("_strong") + F.col("rest") + MARGIN >= F.col("floor")))
     looked_up = (
-        alive.select("query_id", "doc_id")
-        .join(weak.select("query_id", "term"), "query_id")
-        .join(weighted, ["doc_id", "term"])
-        .select("query_id", "doc_id", F.col("w").alias("part"))
-    )
-    total = (
-        alive.select("query_id", "doc_id", F.col("_strong").alias("part"))
-        .unionByName(looked_up)
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("part").cast("decimal(28,12)"), SCORE_DIGITS).cast("double").alias("score"))
+        alive.select("query_id", "doc_id", "_strong")
+        .join(plan.filter("lookup").select("query_id", "term"), "query_id", "left")
+        .join(weighted, ["doc_id", "term"], "left")
     )
+    score = F.max("_strong") + F.coalesce(F.sum("w"), F.lit(0.0))
+    total = looked_up.groupBy("query_id", "doc_id").agg(F.round(score.cast("decimal(28,12)"), SCORE_DIGITS).cast("double").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return total.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
@@ -121,7 +116,7 @@ def search(
     it; ``attributes`` are corpus columns to return with each hit."""
     docs = doc_words(corpus, doc, text)
     wanted = query_terms(queries, query, query_text)
-    postings = build_postings(docs, wanted.select("term").distinct())
+    postings = materialize(build_postings(docs, wanted.select("term").distinct()), "postings")
     hits = rank_documents(postings, corpus_size(docs), wanted, k)
     if attributes:
         hits = hits.join(corpus.select(F.col(doc).alias("doc_id"), *attributes), "doc_id")

@@ -8,11 +8,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracegauge.functions.exprs import AgentPair, range_band, round_half
 from tracegauge.operators import generate as gen
 from tracegauge.operators import pairs, scoring, search
-from tracegauge.operators.ordering import ranked_head
+from tracegauge.operators.ordering import extreme_rows, ranked_head
 from tracegauge.operators.spans import extract_spans, stored_spans
 from tracegauge.plans import dashboard as dash
 from tracegauge.plans import reports as rep
@@ -111,14 +112,9 @@ def _job_query(cap: int, errors_only: bool) -> Query:
 
 def _eval_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with the first answer on record as ground truth, as JSON text."""
-    first = F.min_by("agent_output", F.struct("end_ts", "record_id"))
-    return (
-        rep.ev.roots(spans(spark, sf_dir))
-        .filter(F.col("user_query").isNotNull())
-        .groupBy(F.col("user_query").alias("input_query"))
-        .agg(first.alias("_truth"))
-        .select("input_query", F.to_json(F.create_map(F.lit("ground_truth_output"), F.col("_truth"))).alias("ground_truth_data"))
-    )
+    first = extreme_rows(rep.ev.roots(spans(spark, sf_dir)), ["user_query"], "end_ts", "record_id", ["agent_output"], newest=False)
+    truth = F.to_json(F.create_map(F.lit("ground_truth_output"), F.col("agent_output")))
+    return first.select(F.col("user_query").alias("input_query"), truth.alias("ground_truth_data"))
 
 
 def _eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +338,7 @@ def _to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_spans(events).select("record_type", "agent_name", "run_name", "span_type", "metric", "target_record_id", "score", "has_score")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _shared_characters(output: pd.Series, tool_info: pd.Series) -> pd.Series:
     """Stand-in for a model judge: share of the distinct letters of a sentence found in the source."""
     seen = [set(t.lower()) for t in tool_info.fillna("")]

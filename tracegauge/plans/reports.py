@@ -17,6 +17,7 @@ from tracegauge.functions.exprs import (
     winner,
 )
 from tracegauge.operators import evaluations as ev
+from tracegauge.operators.ordering import extreme_rows
 from tracegauge.operators.profile import value_profile
 from tracegauge.operators.usage import logged_input_tokens
 
@@ -215,8 +216,8 @@ def question_sides(spans: DataFrame, pair: AgentPair = PAIR, dashboard: bool = F
     """One row per question that has a score on at least one side: latest output, latest trace, mean
     latency and metric -> score map of both agents.
 
-    Latest row and mean latency come from one aggregation (``max_by`` and ``avg``), both sides from
-    conditional aggregates over (question, agent) rows. No window or self-join sees a whole question.
+    Latest row and mean latency come from aggregations, both sides from conditional aggregates over
+    (question, agent) rows. No window or self-join sees a whole question.
     A NULL question matches no score and so has no row.
     """
     both = ev.both_agents(spans, _agents(pair))
@@ -229,17 +230,14 @@ def question_sides(spans: DataFrame, pair: AgentPair = PAIR, dashboard: bool = F
     maps = per_metric.groupBy("agent_name", "user_query").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(known, F.struct("metric", "avg_score"))))).alias("scores")
     )
-    # A NULL time counts as the latest; equal times are decided by the record id.
-    newest = F.struct(F.col("end_ts").isNull(), "end_ts", "record_id")
-    latest = (
-        ev.roots(both)
-        .groupBy("agent_name", "user_query")
-        .agg(
-            F.max_by(F.struct("agent_output", "trace_id"), newest).alias("_last"),
-            round_half(F.avg("duration_ms"), 0).alias("latency_ms"),
-        )
-        .select("agent_name", "user_query", "_last.agent_output", "_last.trace_id", "latency_ms")
-    )
+    latest = extreme_rows(
+        ev.roots(both),
+        ["agent_name", "user_query"],
+        "end_ts",
+        "record_id",
+        ["agent_output", "trace_id"],
+        extra=[F.avg("duration_ms").alias("_mean")],
+    ).withColumn("latency_ms", round_half(F.col("_mean"), 0))
     sides = latest.join(maps, ["agent_name", "user_query"], "left")
     cells = ["agent_output", "trace_id", "latency_ms", "scores"]
     return (

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+TYPES = {"string": T.StringType(), "date": T.DateType(), "int": T.IntegerType(), "double": T.DoubleType(), "variant": T.VariantType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name type, ...``; unlike a DDL parse this needs no session."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
 
 
 # Column names, order and types of the input files.
