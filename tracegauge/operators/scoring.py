@@ -43,8 +43,9 @@ def score_correctness(responses: DataFrame, truths: DataFrame, on: str, response
 def score_statements(df: DataFrame, response: str, source: str, scorer: Scorer = word_overlap, threshold: float = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sentence-level support of a response by a source in the same row, with any scorer: one row per
     sentence with ``supported`` 0/1."""
-    rows = df.select(*keep, F.col(source).alias("_source"), F.posexplode(sentences(F.col(response))).alias("sentence_no", "sentence"))
+    rows = df.select(*keep, F.col(source).alias("_source"), F.posexplode_outer(sentences(F.col(response))).alias("sentence_no", "sentence"))
     s = F.col("sentence")
+    rows = rows.filter(s.isNotNull())
     ok = is_abstention(s) | (~is_question(s) & (F.coalesce(scorer(s, F.col("_source")), F.lit(0.0)) >= threshold))
     return rows.select(*keep, "sentence_no", "sentence", ok.cast("int").alias("supported"))
 
@@ -81,11 +82,12 @@ def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: st
     of gathering the earlier turns of each response, the first turn of every word of a conversation is
     computed once and compared with the turn of the sentence, so a long conversation is not collected.
     """
-    features = turns.select(conversation, turn, F.explode(_source_features(F.coalesce(text, F.lit("")))).alias("feature"))
+    # Outer explodes: an inner one makes Spark compute the list twice, the first time in a filter.
+    features = turns.select(conversation, turn, F.explode_outer(_source_features(F.coalesce(text, F.lit("")))).alias("feature"))
     first = features.groupBy(conversation, "feature").agg(F.min(turn).alias("_first"))
-    split = turns.filter(F.col(role) == responder).select(conversation, turn, F.posexplode(sentences(F.col(text))).alias("sentence_no", "sentence"))
+    split = turns.filter(F.col(role) == responder).select(conversation, turn, F.posexplode_outer(sentences(F.col(text))).alias("sentence_no", "sentence"))
     s = F.col("sentence")
-    parts = split.select(
+    parts = split.filter(s.isNotNull()).select(
         conversation,
         turn,
         "sentence_no",

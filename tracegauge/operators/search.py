@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.text import words
-from tracegauge.operators.scratch import materialize
+from tracegauge.operators.scratch import materialize, measured_side
 
 K1 = 1.2
 B = 0.75
 # Scores are ranked after rounding to 6 digits; pruning keeps a wider margin than that.
 SCORE_DIGITS = 6
 MARGIN = 1e-5
+# Documents scored in full per query to find the bound, as a multiple of k.
+SEEDS = 4
+NO_WORD = ""
+# Words are left to the lookup while they can add up to this share of the bound. A larger share fetches
+# fewer documents, a smaller one drops more of them before the lookup. Any share below 1 is exact.
+LOOKUP_SHARE = 0.5
 
 
 def doc_words(corpus: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,18 +36,29 @@ def doc_words(corpus: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
 
 def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, tf, n_words); with a vocabulary only its terms are kept, before the shuffle."""
-    tokens = docs.select("doc_id", "n_words", F.explode("words").alias("term"))
+    # An inner explode makes Spark split every text a second time for a filter on empty lists.
+    tokens = docs.select("doc_id", "n_words", F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
     if vocabulary is not None:
         tokens = tokens.join(vocabulary, "term")
     return tokens.groupBy("doc_id", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings_and_size(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of a vocabulary and the totals of the whole corpus from one pass over the texts: an
+    empty word at the end of every document, which no text contains, carries its length along."""
+    marked = docs.withColumn("words", F.concat("words", F.array(F.lit(NO_WORD))))
+    wanted = vocabulary.unionByName(vocabulary.sparkSession.range(1).select(F.lit(NO_WORD).alias("term")))
+    known = measured_side(wanted)
+    rows = materialize(build_postings(marked, known), "postings")
+    return rows.filter(F.col("term") != NO_WORD), corpus_size(rows.filter(F.col("term") == NO_WORD))
+
+
 def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_words").alias("avg_words"))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
-    return queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    return queries.select(F.col(query).alias("query_id"), F.explode_outer(F.array_distinct(words(F.col(text)))).alias("term")).filter(F.col("term").isNotNull())
 
 
 def _kth_largest(df: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
@@ -61,18 +78,32 @@ def weigh(postings: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weighted, terms.select("term", (F.col("_idf") * F.col("_top")).alias("bound"))
 
 
-def plan_terms(weighted: DataFrame, bounds: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(query_id, term, lookup, rest, floor): which words of a query fetch documents and which are only
-    looked up. ``floor`` is a lower bound of the k-th best score, from the k best documents of every
-    single word; ``rest`` is what all looked-up words can add together."""
-    asked = wanted.join(bounds, "term").select("query_id", "term", "bound")
+def score_floor(weighted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): a lower bound of each query's k-th best score. The best documents of every
+    single word are added up, the most promising of them are scored in full, and the k-th best of
+    those is the bound. Queries with fewer than k such documents get none."""
     per_term = Window.partitionBy("term").orderBy(F.col("w").desc(), F.col("doc_id").asc())
     best = weighted.withColumn("_rn", F.row_number().over(per_term)).filter(F.col("_rn") <= k).select("doc_id", "term", "w")
     seeds = asked.join(best, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("_seed"))
-    floor = _kth_largest(seeds, ["query_id"], "_seed", k, "floor")
+    per_query = Window.partitionBy("query_id").orderBy(F.col("_seed").desc(), F.col("doc_id").asc())
+    tried = seeds.withColumn("_rn", F.row_number().over(per_query)).filter(F.col("_rn") <= SEEDS * k).select("query_id", "doc_id")
+    full = (
+        tried.join(asked.select("query_id", "term"), "query_id")
+        .join(weighted, ["doc_id", "term"])
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum("w").alias("_full"))
+    )
+    return _kth_largest(full, ["query_id"], "_full", k, "floor")
+
+
+def plan_terms(weighted: DataFrame, bounds: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, term, lookup, rest, floor): which words of a query fetch documents and which are only
+    looked up. ``rest`` is what all looked-up words can add together."""
+    asked = wanted.join(bounds, "term").select("query_id", "term", "bound")
+    floor = score_floor(weighted, asked, k)
     upward = Window.partitionBy("query_id").orderBy(F.col("bound").asc(), F.col("term").asc()).rowsBetween(Window.unboundedPreceding, 0)
     plan = asked.withColumn("_weak", F.sum("bound").over(upward)).join(floor, "query_id", "left")
-    plan = plan.withColumn("lookup", F.coalesce(F.col("_weak") + MARGIN < F.col("floor"), F.lit(False)))
+    plan = plan.withColumn("lookup", F.coalesce(F.col("_weak") + MARGIN < LOOKUP_SHARE * F.col("floor"), F.lit(False)))
     rest = F.coalesce(F.max(F.when(F.col("lookup"), F.col("_weak"))).over(Window.partitionBy("query_id")), F.lit(0.0))
     return plan.select("query_id", "term", "lookup", rest.alias("rest"), "floor")
 
@@ -116,8 +147,8 @@ def search(
     it; ``attributes`` are corpus columns to return with each hit."""
     docs = doc_words(corpus, doc, text)
     wanted = query_terms(queries, query, query_text)
-    postings = materialize(build_postings(docs, wanted.select("term").distinct()), "postings")
-    hits = rank_documents(postings, corpus_size(docs), wanted, k)
+    postings, size = postings_and_size(docs, wanted.select("term").distinct())
+    hits = rank_documents(postings, size, wanted, k)
     if attributes:
         hits = hits.join(corpus.select(F.col(doc).alias("doc_id"), *attributes), "doc_id")
     return hits.select("query_id", "rank", "doc_id", "score", *attributes)

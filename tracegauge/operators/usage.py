@@ -35,7 +35,7 @@ def logged_usage(spans: DataFrame, agent: str, lenient: bool = False) -> DataFra
         & (F.col("span_type") == "graph_node")
         & F.col("call_return").contains(USAGE_MARK)
     )
-    found = calls.select("record_id", F.explode(F.regexp_extract_all("call_return", F.lit(USAGE_PATTERN), F.lit(0))).alias("_text"))
+    found = calls.select("record_id", F.explode_outer(F.regexp_extract_all("call_return", F.lit(USAGE_PATTERN), F.lit(0))).alias("_text"))
     usage = found.select("record_id", usage_variant(F.col("_text"), lenient).alias("_usage")).filter(F.col("_usage").isNotNull())
 
     def count_of(key: str) -> Column:

@@ -48,8 +48,7 @@ class AttributeKeys:
         return [f.name for f in fields(cls)]
 
 
-# Attributes that are not text. Counts and durations are read through a decimal because a JSON
-# number may carry a fraction, which a direct read as bigint rejects.
+# Attributes that are not text.
 DOUBLE_COLUMNS = {"score"}
 WHOLE_COLUMNS = {"orchestration_ms", "search_ms", "analyst_ms", "tokens_in", "tokens_out", "tokens_total"}
 
