@@ -1,0 +1,37 @@
+from pyspark.sql import functions as F
+
+from tracegauge.operators import generate as gen
+
+
+def test_cases_and_metrics(spark):
+    cases = gen.support_cases(spark.range(1, 20001)).cache()
+    assert cases.select("case_id").distinct().count() == 20000
+    share = {r.priority: r["count"] / 20000 for r in cases.groupBy("priority").count().collect()}
+    assert all(abs(share[p] - w / 100) < 0.015 for p, w in gen.PRIORITY_WEIGHTS)
+    d = cases.agg(F.min("case_date"), F.max("case_date"), F.countDistinct("customer_id"), F.countDistinct("rep_name"), F.countDistinct("product")).first()
+    assert (str(d[0]), str(d[1]), d[2], d[3], d[4]) == ("2025-12-01", "2026-02-28", 50, 10, 5)
+    m = gen.case_metrics(cases).cache()
+    for r in m.groupBy("priority").agg(F.avg("resolution_time_hours").alias("h"), F.stddev("resolution_time_hours").alias("s"), F.avg("first_response_time_mins").alias("f"), F.avg("escalated").alias("e")).collect():
+        f = gen.PRIORITY_FACTOR[r.priority]
+        assert abs(r.h - 8 * f) < 0.3 and abs(r.s - 3) < 0.25 and abs(r.f + 0.5 - 15 * f) < 0.5
+        assert abs(r.e - (0.3 if r.priority in ("High", "Critical") else 0)) < 0.03
+    low = m.agg(F.min("first_response_time_mins"), F.min("resolution_time_hours"), F.min("num_interactions"), F.min("csat_score"), F.max("csat_score")).first()
+    assert low[0] >= 1 and low[1] >= 0.5 and low[2] >= 1 and low[3] >= 1.0 and low[4] <= 5.0
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    a = gen.case_metrics(gen.support_cases(spark.range(0, 500, 1, 1)))
+    b = gen.case_metrics(gen.support_cases(spark.range(0, 500, 1, 7).repartition(3)))
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+    assert a.exceptAll(gen.case_metrics(gen.support_cases(spark.range(500), seed=7), seed=7)).count() > 0
+
+
+def test_daily_and_weekly(spark):
+    days = gen.day_spine(spark.sql("SELECT date'2025-12-01' AS a, date'2026-02-28' AS b"), "a", "b")
+    d = gen.daily_metrics(days).cache()
+    assert d.count() == 90 and d.select("metric_date").distinct().count() == 90
+    assert d.filter("total_cases NOT BETWEEN 5 AND 20 OR cases_resolved > total_cases OR cases_escalated > total_cases / 4 OR avg_csat_score NOT BETWEEN 1 AND 5").count() == 0
+    reps = spark.createDataFrame([(f"Rep {i}",) for i in range(10)], "rep_name string")
+    w = gen.rep_weeks(reps).cache()
+    assert w.count() == 120 and w.select("rep_name", "week_start").distinct().count() == 120
+    assert w.filter("cases_handled NOT BETWEEN 8 AND 25 OR cases_resolved > cases_handled OR escalation_rate NOT BETWEEN 0.02 AND 0.25").count() == 0
