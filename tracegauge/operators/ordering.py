@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, keys: Sequence[str], time: str, then_by: Sequence[str | Column], name: str = "position", zone: str = "MINUTE") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], time: str, then_by: Sequence[str | Column], name: str = "position", zone: str = "SECOND") -> DataFrame:
     """Number the rows of each group from 1 in the order (time, then_by).
 
     A group is cut into time zones. Rows are numbered inside their zone and shifted by the row
-    counts of the earlier zones, so a long trace is sorted by many tasks, not by one. Rows with a
-    NULL key belong to no group and are dropped; a NULL time sorts first.
+    counts of the earlier zones, so a long trace is sorted by many tasks, not by one. ``zone`` is a
+    ``date_trunc`` unit; the finer it is, the smaller is the most that one task sorts. Rows with a NULL
+    key belong to no group and are dropped; a NULL time sorts first.
     """
     keys = list(keys)
     rows = df.dropna(subset=keys).withColumn(
@@ -45,7 +46,7 @@ def extreme_rows(df: DataFrame, keys: Sequence[str], time: str, tie: str, pick:
     """
     keys = list(keys)
     rows = df.dropna(subset=keys)
-    at = F.coalesce(F.unix_micros(time), F.lit(2**62))
+    at = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**62))
     ends = rows.select("*", at.alias("_at")).groupBy(*keys).agg((F.max("_at") if newest else F.min("_at")).alias("_at"), *extra)
     carried = [c for c in ends.columns if c not in (*keys, "_at")]
     last = rows.select(*keys, at.alias("_at"), F.struct(*pick).alias("_row"), F.col(tie).alias("_tie")).join(ends, [*keys, "_at"])

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegauge.operators.ordering import extreme_rows
+
 GRAINS = ("day", "week", "month", "quarter", "year")
 
 
@@ -174,6 +176,7 @@ def duplicate_keys(layer: MetricLayer, frames: Mapping[str, DataFrame], table: s
     return frames[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def with_example(df: DataFrame, by: Sequence[str], aggregate: Column, example: str, order: Sequence[str]) -> DataFrame:
-    """A metric per group with one example row: the first in the given order."""
-    return df.groupBy(*by).agg(aggregate, F.min_by(example, F.struct(*order)).alias("example"))
+def with_example(df: DataFrame, by: Sequence[str], aggregate: Column, example: str, time: str) -> DataFrame:
+    """A metric per group with one example row: the earliest, then the one with the smallest id."""
+    found = extreme_rows(df.withColumn("example", F.col(example)), by, time, example, ["example"], newest=False, extra=[aggregate])
+    return found.select(*by, *[c for c in found.columns if c not in (*by, "example")], "example")

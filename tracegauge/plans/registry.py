@@ -281,7 +281,7 @@ def _ml(*doubles: str, **arguments) -> Query:
 
 def _ml_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return with_example(orders, ["o_orderpriority"], round_half(F.avg("o_totalprice"), 4).alias("avg_amount"), "o_orderkey", ["o_orderdate", "o_orderkey"])
+    return with_example(orders, ["o_orderpriority"], round_half(F.avg("o_totalprice"), 4).alias("avg_amount"), "o_orderkey", "o_orderdate")
 
 
 # --- search, scoring -------------------------------------------------------------------------
