@@ -375,7 +375,7 @@ def _trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gen_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.support_cases(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return gen.support_cases(spread(table(spark, sf_dir, "orders").select("o_orderkey")), "o_orderkey")
 
 
 def _gen_case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
