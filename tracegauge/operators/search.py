@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegauge.functions.exprs import round_half
 from tracegauge.functions.text import words
 from tracegauge.operators.scratch import materialize, measured_side
 
@@ -128,7 +129,7 @@ def rank_documents(postings: DataFrame, size: DataFrame, wanted: DataFrame, k: i
         .join(weighted, ["doc_id", "term"], "left")
     )
     score = F.max("_strong") + F.coalesce(F.sum("w"), F.lit(0.0))
-    total = looked_up.groupBy("query_id", "doc_id").agg(F.round(score.cast("decimal(28,12)"), SCORE_DIGITS).cast("double").alias("score"))
+    total = looked_up.groupBy("query_id", "doc_id").agg(round_half(score, SCORE_DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return total.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
