@@ -122,20 +122,29 @@ card AS (SELECT coalesce(e.agent_name, l.agent_name) AS agent_name, coalesce(e.m
   FROM e FULL OUTER JOIN l ON e.agent_name = l.agent_name)"""
 
 
-USAGE_B = """
-found AS (SELECT record_id, unnest(regexp_extract_all(call_return, 'usage_metadata=\\{[^}]+\\}')) AS t
-  FROM spans WHERE agent_name = 'AGENT_B' AND span_type = 'graph_node' AND call_return LIKE '%usage_metadata%'),
-fixed AS (SELECT record_id, replace(replace(t, chr(39), chr(34)), 'True', 'true') AS t FROM found),
-parsed AS (SELECT record_id, TRY_CAST(substr(t, strpos(t, '{')) AS JSON) AS u FROM fixed),
-tok_b AS (SELECT record_id, CAST(sum(CAST(u->>'input_tokens' AS BIGINT)) AS BIGINT) AS prompt_tokens,
-  CAST(sum(CAST(u->>'output_tokens' AS BIGINT)) AS BIGINT) AS completion_tokens, CAST(sum(CAST(u->>'total_tokens' AS BIGINT)) AS BIGINT) AS total_tokens
-  FROM parsed WHERE u IS NOT NULL GROUP BY 1),
-tok_a AS (SELECT record_id, CAST(sum(tokens_in) AS BIGINT) AS prompt_tokens, CAST(sum(tokens_out) AS BIGINT) AS completion_tokens,
-  CAST(sum(tokens_total) AS BIGINT) AS total_tokens FROM spans WHERE agent_name = 'AGENT_A' GROUP BY 1),
-a AS (SELECT s.user_query, s.record_id, s.agent_output, s.duration_ms, s.end_ts, t.prompt_tokens, t.completion_tokens, t.total_tokens
-  FROM spans s LEFT JOIN tok_a t ON s.record_id = t.record_id WHERE s.agent_name = 'AGENT_A' AND s.span_type = 'record_root'),
-b AS (SELECT s.user_query, s.record_id, s.agent_output, s.duration_ms, s.end_ts, t.prompt_tokens, t.completion_tokens, t.total_tokens
-  FROM spans s LEFT JOIN tok_b t ON s.record_id = t.record_id WHERE s.agent_name = 'AGENT_B' AND s.span_type = 'record_root')"""
+# Token sums of each record, then one row per response: agent A from attributes, agent B from its call logs.
+def _responses(side: str, usage: str) -> str:
+    agent = f"AGENT_{side.upper()}"
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {t}" for c, t in (("i", "prompt_tokens"), ("o", "completion_tokens"), ("t", "total_tokens")))
+    return f"""
+{side}_usage AS ({usage}),
+{side}_sums AS (SELECT record_id, {sums} FROM {side}_usage GROUP BY record_id),
+{side} AS (SELECT user_query, spans.record_id, agent_output, duration_ms, end_ts, prompt_tokens, completion_tokens, total_tokens
+  FROM spans LEFT JOIN {side}_sums ON {side}_sums.record_id = spans.record_id WHERE {ROOT} AND agent_name = '{agent}')"""
+
+
+_literal = "translate(unnest(regexp_extract_all(call_return, 'usage_metadata=(\\{[^}]+\\})', 1)), chr(39), chr(34))"
+_counts = ", ".join(f"CAST(json_extract_string(j, '$.{k}_tokens') AS BIGINT) AS {c}" for k, c in (("input", "i"), ("output", "o"), ("total", "t")))
+USAGE_B = ",".join(
+    [
+        _responses("a", "SELECT record_id, tokens_in AS i, tokens_out AS o, tokens_total AS t FROM spans WHERE agent_name = 'AGENT_A'"),
+        _responses(
+            "b",
+            f"""SELECT record_id, {_counts} FROM (SELECT record_id, TRY_CAST(replace(lit, 'True', 'true') AS JSON) AS j FROM
+  (SELECT record_id, {_literal} AS lit FROM spans WHERE agent_name = 'AGENT_B' AND span_type = 'graph_node'))""",
+        ),
+    ]
+)
 
 TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
@@ -158,34 +167,32 @@ sides AS (SELECT aq.user_query, aq.p AS a_response_preview, bq.p AS b_response_p
 
 
 def summary(metric: str) -> str:
-    """Report 10 in its original shape: row number, partition mean, score map, full outer join."""
+    """One row per question in ``sheet``: answers by arg_max, scores from the join of all evaluation rows,
+    both agents side by side through filtered aggregates."""
+    sides = ", ".join(
+        f"max(x.{c}) FILTER (x.agent_name = '{agent}') AS {s}_{c}"
+        for s, agent in (("a", "AGENT_A"), ("b", "AGENT_B"))
+        for c in ("output", "latency_ms", "scores", "trace_id")
+    )
     return f"""
-roots AS (SELECT agent_name, user_query, agent_output, record_id, trace_id, duration_ms,
-  row_number() OVER (PARTITION BY agent_name, user_query ORDER BY end_ts DESC NULLS FIRST, record_id DESC) AS rn FROM spans WHERE {ROOT}),
-evals AS (SELECT agent_name, target_record_id, {metric} AS metric, CAST(round(CAST(score AS DECIMAL(28,9)), 2) AS DECIMAL(5,2)) AS score FROM spans WHERE {SCORED}),
-query_evals AS (SELECT r.agent_name, r.user_query, e.metric, CAST(round(CAST(avg(e.score) AS DECIMAL(28,9)), 2) AS DECIMAL(5,2)) AS avg_score
-  FROM roots r JOIN evals e ON r.agent_name = e.agent_name AND r.record_id = e.target_record_id GROUP BY 1, 2, 3),
-query_scores AS (SELECT agent_name, user_query,
-  chr(123) || coalesce(string_agg(chr(34) || metric || chr(34) || ':' || CAST(avg_score AS VARCHAR), ',' ORDER BY metric), '') || chr(125) AS scores
-  FROM query_evals WHERE metric IS NOT NULL GROUP BY 1, 2),
-query_latency AS (SELECT *, {r("avg(duration_ms) OVER (PARTITION BY agent_name, user_query)", 0)} AS avg_latency_ms FROM roots),
-combined AS (SELECT l.agent_name, l.user_query, l.agent_output, l.trace_id, l.avg_latency_ms, s.scores
-  FROM query_latency l LEFT JOIN query_scores s ON l.agent_name = s.agent_name AND l.user_query = s.user_query WHERE l.rn = 1),
-ca AS (SELECT * FROM combined WHERE agent_name = 'AGENT_A'),
-cb AS (SELECT * FROM combined WHERE agent_name = 'AGENT_B')"""
-
-
-SUMMARY_FROM = "FROM ca FULL OUTER JOIN cb ON ca.user_query = cb.user_query WHERE ca.scores IS NOT NULL OR cb.scores IS NOT NULL"
+answers AS (SELECT agent_name, user_query, arg_max(struct_pack(o := agent_output, t := trace_id), (end_ts, record_id)) AS newest, avg(duration_ms) AS ms
+  FROM spans WHERE {ROOT} GROUP BY ALL),
+marks AS (SELECT q.agent_name, q.user_query, {metric} AS name, CAST(round(CAST(avg(CAST(round(CAST(e.score AS DECIMAL(28,9)), 2) AS DECIMAL(5,2))) AS DECIMAL(28,9)), 2) AS DECIMAL(5,2)) AS mark
+  FROM (SELECT * FROM spans WHERE {SCORED}) e JOIN (SELECT agent_name, record_id, user_query FROM spans WHERE {ROOT}) q
+  ON e.agent_name = q.agent_name AND e.target_record_id = q.record_id GROUP BY ALL),
+printed AS (SELECT agent_name, user_query, chr(123) || string_agg(chr(34) || name || chr(34) || ':' || CAST(mark AS VARCHAR), ',' ORDER BY name) || chr(125) AS scores
+  FROM marks GROUP BY ALL),
+x AS (SELECT answers.agent_name, answers.user_query, newest.o AS output, newest.t AS trace_id, {r("ms", 0)} AS latency_ms, printed.scores
+  FROM answers LEFT JOIN printed USING (agent_name, user_query)),
+sheet AS (SELECT x.user_query, {sides} FROM x GROUP BY 1 HAVING count(x.scores) > 0)"""
+
 
 DELTAS = f"""
-roots AS (SELECT agent_name, user_query, record_id FROM spans WHERE {ROOT}),
-evals AS (SELECT agent_name, target_record_id, {CANONICAL} AS metric, score FROM spans WHERE {SCORED}),
-joined AS (SELECT r.user_query, e.metric, r.agent_name, avg(e.score) AS score
-  FROM roots r JOIN evals e ON r.agent_name = e.agent_name AND r.record_id = e.target_record_id GROUP BY 1, 2, 3),
-pivoted AS (SELECT user_query, metric, max(CASE WHEN agent_name = 'AGENT_A' THEN score END) AS sa, max(CASE WHEN agent_name = 'AGENT_B' THEN score END) AS sb
-  FROM joined GROUP BY 1, 2),
-delta AS (SELECT user_query, metric, {r("sa", 3)} AS a_score, {r("sb", 3)} AS b_score, {r("sa - sb", 3)} AS delta, {verdict("sa", "sb")} AS winner
-  FROM pivoted WHERE sa IS NOT NULL AND sb IS NOT NULL)"""
+sides AS (SELECT q.user_query, {CANONICAL} AS metric, avg(e.score) FILTER (q.agent_name = 'AGENT_A') AS sa, avg(e.score) FILTER (q.agent_name = 'AGENT_B') AS sb
+  FROM (SELECT * FROM spans WHERE {SCORED}) e JOIN (SELECT agent_name, record_id, user_query FROM spans WHERE {ROOT}) q
+  ON e.agent_name = q.agent_name AND e.target_record_id = q.record_id GROUP BY ALL
+  HAVING count(e.score) FILTER (q.agent_name = 'AGENT_A') > 0 AND count(e.score) FILTER (q.agent_name = 'AGENT_B') > 0),
+delta AS (SELECT user_query, metric, {r("sa", 3)} AS a_score, {r("sb", 3)} AS b_score, {r("sa - sb", 3)} AS delta, {verdict("sa", "sb")} AS winner FROM sides)"""
 
 EVAL_DATA = f"""
 eval_data AS (SELECT user_query AS input_query, arg_min(agent_output, (end_ts, record_id)) AS truth
@@ -338,7 +345,7 @@ TOOL = f"""SELECT 'AGENT_A' AS agent_name, CASE WHEN has_search THEN 'search' WH
 ORACLE: dict[str, str] = {
     "r13_win_loss_tie": on_spans(
         DELTAS
-        + f""", outcome AS (SELECT metric, {verdict("sa", "sb", ("A_WIN", "B_WIN"))} AS o FROM pivoted WHERE sa IS NOT NULL AND sb IS NOT NULL)
+        + f""", outcome AS (SELECT metric, {verdict("sa", "sb", ("A_WIN", "B_WIN"))} AS o FROM sides)
 SELECT metric, count(*) FILTER (o = 'A_WIN') AS a_wins, count(*) FILTER (o = 'B_WIN') AS b_wins, count(*) FILTER (o = 'TIE') AS ties, count(*) AS total_queries
 FROM outcome GROUP BY 1 ORDER BY 1"""
     ),
@@ -439,9 +446,7 @@ SELECT * FROM ranked WHERE rank <= 100"""
   FROM spans WHERE agent_name = 'AGENT_B' AND {SCORED} GROUP BY 1, 2"""
     ),
     "r10_exec_summary": on_spans(
-        summary("metric")
-        + f""" SELECT coalesce(ca.user_query, cb.user_query) AS user_query, ca.agent_output AS a_output, cb.agent_output AS b_output, ca.avg_latency_ms AS a_latency_ms,
-  cb.avg_latency_ms AS b_latency_ms, ca.scores AS a_eval_scores, cb.scores AS b_eval_scores {SUMMARY_FROM}"""
+        summary("e.metric") + " SELECT user_query, a_output, b_output, a_latency_ms, b_latency_ms, a_scores AS a_eval_scores, b_scores AS b_eval_scores FROM sheet"
     ),
     "r11_metric_comparison": on_spans(
         f"""m AS (SELECT {CANONICAL} AS normalized_metric, avg(CASE WHEN agent_name = 'AGENT_A' THEN score END) AS sa, avg(CASE WHEN agent_name = 'AGENT_B' THEN score END) AS sb,
@@ -450,21 +455,20 @@ SELECT normalized_metric, {r("sa", 4)} AS a_avg, {r("sb", 4)} AS b_avg, {r("sa -
     ),
     "r12_query_delta": on_spans(DELTAS + " SELECT * FROM delta"),
     "d01_exec_with_traces": on_spans(
-        summary(REPLACED)
-        + f""" SELECT coalesce(ca.user_query, cb.user_query) AS user_query, ca.avg_latency_ms AS a_latency_ms, cb.avg_latency_ms AS b_latency_ms, ca.scores AS a_eval_scores,
-  cb.scores AS b_eval_scores, ca.agent_output AS a_output, cb.agent_output AS b_output, ca.trace_id AS a_trace_id, cb.trace_id AS b_trace_id {SUMMARY_FROM}"""
+        summary(REPLACED.replace("metric", "e.metric", 1))
+        + " SELECT user_query, a_latency_ms, b_latency_ms, a_scores AS a_eval_scores, b_scores AS b_eval_scores, a_output, b_output, a_trace_id, b_trace_id FROM sheet"
     ),
     "d02_scorecard_short": on_spans(
         scorecard(3)
         + f" SELECT coalesce({LABEL}, agent_name) AS label, agent_name, avg_eval_score, min_eval_score, avg_latency_ms, median_latency_ms, num_invocations FROM card"
     ),
     "d03_per_query_wide": on_spans(
-        summary(REPLACED)
-        + " SELECT coalesce(ca.user_query, cb.user_query) AS user_query, ca.avg_latency_ms AS a_latency_ms, cb.avg_latency_ms AS b_latency_ms, "
+        summary(REPLACED.replace("metric", "e.metric", 1))
+        + " SELECT user_query, a_latency_ms, b_latency_ms, "
         + ", ".join(
-            f"CAST(json_extract_string(c{s}.scores, '$.{m}') AS DOUBLE) AS {s}_{m}" for s in "ab" for m in ("coherence", "correctness", "groundedness", "logical_consistency")
+            f"CAST(json_extract_string({s}_scores, '$.{m}') AS DOUBLE) AS {s}_{m}" for s in "ab" for m in ("coherence", "correctness", "groundedness", "logical_consistency")
         )
-        + f" {SUMMARY_FROM}"
+        + " FROM sheet"
     ),
     "d04_metric_detail": on_spans(
         f"""SELECT {LABEL} AS agent, {REPLACED} AS metric, {r("avg(score)", 3)} AS avg_score, {r("median(score)", 3)} AS median_score, {r("min(score)", 3)} AS min_score,
