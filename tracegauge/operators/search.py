@@ -44,13 +44,16 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> Data
     return tokens.groupBy("doc_id", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """Add an empty word, which no text contains, to every document. Its posting carries the length of
+    the document, so postings and corpus totals come from one pass over the texts."""
+    return docs.withColumn("words", F.concat("words", F.array(F.lit(NO_WORD))))
+
+
 def postings_and_size(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of a vocabulary and the totals of the whole corpus from one pass over the texts: an
-    empty word at the end of every document, which no text contains, carries its length along."""
-    marked = docs.withColumn("words", F.concat("words", F.array(F.lit(NO_WORD))))
+    """Postings of a vocabulary, and the totals of the whole corpus."""
     wanted = vocabulary.unionByName(vocabulary.sparkSession.range(1).select(F.lit(NO_WORD).alias("term")))
-    known = measured_side(wanted)
-    rows = materialize(build_postings(marked, known), "postings")
+    rows = materialize(build_postings(with_lengths(docs), measured_side(wanted)), "postings")
     return rows.filter(F.col("term") != NO_WORD), corpus_size(rows.filter(F.col("term") == NO_WORD))
 
 

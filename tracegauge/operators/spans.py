@@ -92,13 +92,14 @@ def extract_spans(events: DataFrame, keys: AttributeKeys = AttributeKeys(), keep
     )
 
 
-def write_spans(spans: DataFrame, path: str) -> None:
-    """Store typed spans by agent and span type, so that reports prune to the folders they need.
+def write_spans(spans: DataFrame, path: str, layout: list[str] = LAYOUT) -> None:
+    """Store typed spans by agent and span type, so that reports prune to the folders they need. With
+    very many agents, leave the agent out of the layout.
 
     Rebalancing evens out file sizes: a large (agent, span type) is split over many tasks, small
     ones share a task.
     """
-    spans.hint("rebalance", *LAYOUT).write.mode("overwrite").partitionBy(*LAYOUT).parquet(path)
+    spans.hint("rebalance", *layout).write.mode("overwrite").partitionBy(*layout).parquet(path)
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:

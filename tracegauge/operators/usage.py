@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 USAGE_MARK = "usage_metadata"
 # Patterns of the serialized call log.
-USAGE_PATTERN = r"usage_metadata=\{[^}]+\}"
+USAGE_PATTERN = r"usage_metadata=(\{[^}]+\})"
 INPUT_TOKENS_PATTERN = r"input_tokens.: (\d+)"
 
 
@@ -22,10 +22,10 @@ def usage_variant(text: Column, lenient: bool = False) -> Column:
     Only quotes and ``True`` are rewritten, so text with ``False``, ``None`` or a nested brace does
     not parse and gives NULL. ``lenient`` also rewrites ``False`` and ``None``.
     """
-    json = F.replace(F.replace(text, F.lit("'"), F.lit('"')), F.lit("True"), F.lit("true"))
+    json = F.replace(F.translate(text, "'", '"'), F.lit("True"), F.lit("true"))
     if lenient:
         json = F.replace(F.replace(json, F.lit("False"), F.lit("false")), F.lit("None"), F.lit("null"))
-    return F.try_parse_json(F.substr(json, F.position(F.lit("{"), json)))
+    return F.try_parse_json(json)
 
 
 def logged_usage(spans: DataFrame, agent: str, lenient: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def logged_usage(spans: DataFrame, agent: str, lenient: bool = False) -> DataFra
         & (F.col("span_type") == "graph_node")
         & F.col("call_return").contains(USAGE_MARK)
     )
-    found = calls.select("record_id", F.explode_outer(F.regexp_extract_all("call_return", F.lit(USAGE_PATTERN), F.lit(0))).alias("_text"))
+    found = calls.select("record_id", F.explode_outer(F.regexp_extract_all("call_return", F.lit(USAGE_PATTERN), F.lit(1))).alias("_text"))
     usage = found.select("record_id", usage_variant(F.col("_text"), lenient).alias("_usage")).filter(F.col("_usage").isNotNull())
 
     def count_of(key: str) -> Column:

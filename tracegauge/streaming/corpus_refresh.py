@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracegauge.operators.search import build_postings, corpus_size, doc_words, query_terms, rank_documents
+from tracegauge.operators.search import NO_WORD, build_postings, corpus_size, doc_words, query_terms, rank_documents, with_lengths
 
 
 def start_refresh(
@@ -19,15 +19,14 @@ def start_refresh(
 ) -> StreamingQuery:
     """Index new and changed documents from a streaming DataFrame.
 
-    Each micro-batch writes its own folder and overwrites it when the batch is repeated after a
-    failure, so every document is indexed exactly once. ``target_lag`` is the trigger interval;
+    Each micro-batch, which holds a document once, writes its own folder and overwrites it when the
+    batch is repeated after a failure, so every document is indexed exactly once. ``target_lag`` is the trigger interval;
     ``None`` takes what is there and stops.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = doc_words(batch, doc, text)
-        docs.select("doc_id", "n_words").write.mode("overwrite").parquet(f"{index}/docs/batch={batch_id}")
-        build_postings(docs).write.mode("overwrite").parquet(f"{index}/postings/batch={batch_id}")
+        rows = build_postings(with_lengths(doc_words(batch, doc, text)))
+        rows.write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
 
     writer = documents.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if target_lag is None else writer.trigger(processingTime=target_lag)
@@ -36,13 +35,14 @@ def start_refresh(
 
 def current_docs(spark: SparkSession, index: str) -> DataFrame:
     """The newest version of every document: the highest batch it occurs in."""
-    docs = spark.read.parquet(f"{index}/docs")
+    docs = spark.read.parquet(index).filter(F.col("term") == NO_WORD)
     return docs.groupBy("doc_id").agg(F.max_by("n_words", "batch").alias("n_words"), F.max("batch").alias("batch"))
 
 
 def current_postings(spark: SparkSession, index: str) -> DataFrame:
     newest = current_docs(spark, index).select("doc_id", "batch")
-    return spark.read.parquet(f"{index}/postings").join(newest, ["doc_id", "batch"]).drop("batch")
+    postings = spark.read.parquet(index).filter(F.col("term") != NO_WORD)
+    return postings.join(newest, ["doc_id", "batch"]).drop("batch")
 
 
 def search_index(spark: SparkSession, index: str, queries: DataFrame, k: int = 10, query: str = "item_id", text: str = "text") -> DataFrame:
