@@ -95,7 +95,8 @@ def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: st
         is_question(s).alias("_asks"),
         F.explode_outer(_statement_features(s)).alias("feature"),
     )
-    matched = parts.join(first, [conversation, "feature"], "left").withColumn("_hit", F.coalesce(F.col("_first") < F.col(turn), F.lit(False)))
+    # Both sides are exploded from texts, so Spark's size estimate is far too low to broadcast by.
+    matched = parts.join(first.hint("merge"), [conversation, "feature"], "left").withColumn("_hit", F.coalesce(F.col("_first") < F.col(turn), F.lit(False)))
     is_word, is_number = F.col("feature").startswith("w:"), F.col("feature").startswith("n:")
     counted = matched.groupBy(conversation, turn, "sentence_no").agg(
         F.count_if(is_word).alias("_words"),
