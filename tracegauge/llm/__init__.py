@@ -1 +1,10 @@
-"""Operators for preparing training text. Nothing outside this folder imports it."""
+"""Operators for preparing training text. Nothing outside this folder imports it.
+
+Functions that tasks run are sent with the tasks, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracegauge.llm.ann import nearest
 from tracegauge.llm.oracle import ORACLE_SQL
+from tracegauge.llm.packing import pack, pieces
 from tracegauge.llm.quality_rules import quality_rules
+from tracegauge.llm.token_counts import token_counts
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +25,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(_table(spark, sf_dir, "documents"), BYTE_BPE)).drop("part")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_counts": op3_token_counts,
+    "op8_ann": op8_ann,
+    "op9_packing": op9_packing,
 }
 SQL = ORACLE_SQL
