@@ -163,12 +163,12 @@ def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | Non
     scores: dict[str, float] = {}
     for path, text, linked in found:
         worth, parts = max(0.0, len(text) - 2.0 * linked), path.split("/")
-        for depth in range(len(parts) - 1, 1, -1):
+        for depth in range(len(parts) - 1, 0, -1):
             container = "/".join(parts[:depth])
             scores[container] = scores.get(container, 0.0) + worth * 0.9 ** (len(parts) - 1 - depth)
     if not scores:
         return None
-    named = lambda c: 2.0 if _MAIN.search(c[c.rindex("/") :]) else 1.0
+    named = lambda c: 2.0 if c and _MAIN.search(c[c.rindex("/") :]) else 1.0
     best = max(scores, key=lambda c: (scores[c] * named(c), -len(c), c))
     return best, scores[best]
 

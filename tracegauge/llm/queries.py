@@ -13,6 +13,7 @@ from tracegauge.llm.html_text import extract
 from tracegauge.llm.oracle import ORACLE_SQL
 from tracegauge.llm.packing import pack, pieces
 from tracegauge.llm.quality_rules import quality_rules
+from tracegauge.llm.substring_dedup import dedup_words
 from tracegauge.llm.token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,11 +43,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents"), BYTE_BPE)).drop("part")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = ORACLE_SQL

@@ -123,3 +123,8 @@ def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
         best = np.where(take, best[step:], best[:-step])
         width += step
     return at[:n]
+
+
+def byte_items(data: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each byte."""
+    return _BYTE[data]
