@@ -14,6 +14,7 @@ from tracegauge.llm.oracle import ORACLE_SQL
 from tracegauge.llm.packing import pack, pieces
 from tracegauge.llm.quality_rules import quality_rules
 from tracegauge.llm.substring_dedup import dedup_words
+from tracegauge.llm.suffix_dedup import dedup_bytes
 from tracegauge.llm.token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +36,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,

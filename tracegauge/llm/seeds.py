@@ -151,8 +151,8 @@ def _cut(scheme: Scheme) -> Callable:
 
 def without_windows(classes: DataFrame, shared: DataFrame, repeated: DataFrame, scheme: Scheme) -> DataFrame:
     """k1, k2, n, n_removed, n_spans, digest and ``kept_text`` (null: the text as it is) of every class, from
-    the repeated windows (cid, start) of classes without copies."""
-    starts = repeated.groupBy("cid").agg(F.collect_list("start").alias("starts"))
+    the ``starts`` of repeated windows (cid, array) of classes without copies."""
+    starts = repeated.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = shared.select("cid", "text").join(starts, "cid").mapInArrow(_cut(scheme), "cid long, n_removed long, n_spans long, kept_digest string, kept_text string")
     all_gone = (F.col("copies") > 1) & (F.col("n") >= scheme.length)
     none = hashlib.sha256(b"").hexdigest()

@@ -55,7 +55,7 @@ def _results(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
     shared = texts_with_shared_anchors(texts, classes)
     windows = shared.mapInArrow(_extend(scheme), "window long, cid long, copies long, start int")
     twice = windows.groupBy("window").agg(F.sum("copies").alias("places")).filter("places > 1").select("window")
-    repeated = windows.filter("copies = 1").join(twice, "window").select("cid", "start")
+    repeated = windows.filter("copies = 1").join(twice, "window").groupBy("cid").agg(F.collect_list("start").alias("starts"))
     return without_windows(classes, shared, repeated, scheme)
 
 
