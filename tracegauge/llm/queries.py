@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.llm.ann import nearest
 from tracegauge.llm.html_text import extract
+from tracegauge.llm.ngram_join import similar_documents
 from tracegauge.llm.oracle import ORACLE_SQL
 from tracegauge.llm.packing import pack, pieces
 from tracegauge.llm.quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -54,6 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
