@@ -13,11 +13,14 @@ from tracegauge.llm.html_text import extract
 from tracegauge.llm.ngram_join import similar_documents
 from tracegauge.llm.oracle import ORACLE_SQL
 from tracegauge.llm.packing import pack, pieces
+from tracegauge.llm.pii import pseudonyms
 from tracegauge.llm.quality_rules import quality_rules
 from tracegauge.llm.substring_dedup import dedup_words
 from tracegauge.llm.suffix_dedup import dedup_bytes
 from tracegauge.llm.token_counts import token_counts
 
+#: Stands in for the secret that a real run passes.
+PSEUDONYM_KEY = "key for the registered query"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -45,6 +48,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pii": op6_pii,
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
