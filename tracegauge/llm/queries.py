@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.llm.ann import nearest
 from tracegauge.llm.html_text import extract
+from tracegauge.llm.merge_dropout import round_trip
 from tracegauge.llm.ngram_join import similar_documents
 from tracegauge.llm.oracle import ORACLE_SQL
 from tracegauge.llm.packing import pack, pieces
@@ -21,6 +22,7 @@ from tracegauge.llm.token_counts import token_counts
 
 #: Stands in for the secret that a real run passes.
 PSEUDONYM_KEY = "key for the registered query"
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -52,6 +54,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
+    "op7_merge_dropout": op7_merge_dropout,
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
