@@ -131,5 +131,7 @@ def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", ma
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).cast("string").alias("host"), F.col(text).alias("_text"))
     flags = with_measures(rows.select("host", "_text"), "_text").drop("_text")
     verdicts = stored(host_verdicts(flags, "host", max_rate).filter("host_rejected").select("host"), "verdicts")
-    passed = with_measures(rows, "_text").filter(~F.col("base_failed"))
+    # A filter sinks below a projection of deterministic columns by repeating their expressions; a row number keeps it above.
+    measured = with_measures(rows, "_text").withColumn("_nth", F.monotonically_increasing_id())
+    passed = measured.filter(~F.col("base_failed") & (F.col("_nth") >= 0))
     return passed.join(verdicts, "host", "left_anti").select("_row.*")
