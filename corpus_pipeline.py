@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored
 from tracegauge.llm.ngram_join import one_of_each
@@ -25,6 +26,11 @@ from tracegauge.llm.queries import BYTE_BPE, PSEUDONYM_KEY
 from tracegauge.llm.substring_dedup import cut_documents
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the new text; a null text keeps what it had."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_documents(docs)
 
@@ -34,11 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cut_documents(docs)
+    return _with_length(cut_documents(docs))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs, PSEUDONYM_KEY)
+    return _with_length(pseudonymise(docs, PSEUDONYM_KEY))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

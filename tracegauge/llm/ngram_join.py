@@ -109,7 +109,8 @@ def _whole_sets(size: int, percent: int):
 def _shared_tokens(sets: DataFrame, column: str) -> DataFrame:
     """cid, n and ``shared``: the tokens of ``column`` that other rows have too, as (df, token), rarest first."""
     rows = sets.select("cid", "n", F.explode(column).alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written first: a join can split a hot key only if both sides come from a plain shuffle.
+    counts = stored(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens")
     return rows.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
 
 

@@ -102,9 +102,12 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_with_shared_anchors(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, copies, ``hits`` (places of anchors found elsewhere too) and text of every class that has any."""
+    """cid, copies, ``hits`` (places of anchors found elsewhere too) and text of every class that has any.
+
+    The shared anchors are written first: a join can split a hot key only if both sides come from a plain
+    shuffle, not from an aggregation in the same stage."""
     places = classes.select("cid", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("cid", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    shared = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    shared = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
     hits = places.join(shared, "anchor").groupBy("cid").agg(F.collect_list("place").alias("hits"))
     wanted = stored(classes.select("cid", "k1", "k2", "copies").join(hits, "cid"), "hits")
     found = texts.mapInArrow(_once, texts.schema).join(wanted, ["k1", "k2"])

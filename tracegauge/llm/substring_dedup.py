@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegauge.llm.common import stored
 from tracegauge.llm.seeds import Scheme, keyed, per_document, text_classes, texts_with_shared_anchors, with_cut_text, without_windows
 from tracegauge.llm.words import pieces, run_hashes
 
@@ -54,7 +55,7 @@ def _results(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
     classes = text_classes(texts, scheme)
     shared = texts_with_shared_anchors(texts, classes)
     windows = shared.mapInArrow(_extend(scheme), "window long, cid long, copies long, start int")
-    twice = windows.groupBy("window").agg(F.sum("copies").alias("places")).filter("places > 1").select("window")
+    twice = stored(windows.groupBy("window").agg(F.sum("copies").alias("places")).filter("places > 1").select("window"), "repeated-windows")
     repeated = windows.filter("copies = 1").join(twice, "window").groupBy("cid").agg(F.collect_list("start").alias("starts"))
     return without_windows(classes, shared, repeated, scheme)
 
