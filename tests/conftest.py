@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ def spark():
     from tracegauge.session import local_session
 
     os.environ.setdefault("TRACEGAUGE_SHUFFLE", "4")
-    return local_session("4", "tracegauge-tests")
+    return local_session("4", "tracegauge-tests", os.environ.get("TEST_SCRATCH", tempfile.mkdtemp(prefix="tracegauge-tests-")))
 
 
 @pytest.fixture(scope="session")

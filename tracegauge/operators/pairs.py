@@ -77,7 +77,7 @@ def pair_averages(spans: DataFrame, pair: AgentPair = AgentPair()) -> DataFrame:
     )
 
 
-def widest_pairs(spans: DataFrame, pair: AgentPair = AgentPair(), top: int = 100) -> DataFrame:
+def widest_pairs(spans: DataFrame, top: int, pair: AgentPair = AgentPair()) -> DataFrame:
     """The ``top`` response pairs with the largest latency gap, in the order (gap descending,
     question, record of A, record of B), with previews, percentages and token counts.
 

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegauge.functions.exprs import range_band, round_half
-from tracegauge.functions.text import is_abstention, is_question, numbers, sentences, words
+from tracegauge.functions.text import ABSTENTIONS, is_abstention, is_question, numbers, rounded_forms, sentences, words
 from tracegauge.operators.ordering import with_position
 
 Scorer = Callable[[Column, Column], Column]
 OVERLAP = 0.6
-MAX_DECIMALS = 4
 LETTERS = r"\p{L}+"
 
 
@@ -36,46 +35,52 @@ def word_overlap(statement: Column, source: Column) -> Column:
 
 
 def score_correctness(responses: DataFrame, truths: DataFrame, on: str, response: str, truth: str, scorer: Scorer = token_f1) -> DataFrame:
-    """Join responses to the ground truth of their question and score each."""
-    return responses.join(truths.select(on, truth), on).withColumn("score", round_half(scorer(F.col(response), F.col(truth)), 4))
+    """Join responses to the ground truth of their question and score each; one without a ground truth
+    stays, with a NULL score."""
+    return responses.join(truths.select(on, truth), on, "left").withColumn("score", round_half(scorer(F.col(response), F.col(truth)), 4))
 
 
-def score_statements(df: DataFrame, response: str, source: str, scorer: Scorer = word_overlap, threshold: float = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_statements(
+    df: DataFrame, response: str, source: str, scorer: Scorer = word_overlap, threshold: float = OVERLAP, keep: tuple[str, ...] = (), check_numbers: bool = True
+) -> DataFrame:
     """Sentence-level support of a response by a source in the same row, with any scorer: one row per
-    sentence with ``supported`` 0/1."""
+    sentence with ``supported`` 0/1. ``check_numbers`` also asks that every number of the sentence
+    occurs in the source, up to rounding."""
     rows = df.select(*keep, F.col(source).alias("_source"), F.posexplode_outer(sentences(F.col(response))).alias("sentence_no", "sentence"))
     s = F.col("sentence")
     rows = rows.filter(s.isNotNull())
-    ok = is_abstention(s) | (~is_question(s) & (F.coalesce(scorer(s, F.col("_source")), F.lit(0.0)) >= threshold))
+    backed = F.coalesce(scorer(s, F.col("_source")), F.lit(0.0)) >= threshold
+    if check_numbers:
+        backed = backed & numbers_backed(s, F.col("_source"))
+    ok = is_abstention(s) | (~is_question(s) & backed)
     return rows.select(*keep, "sentence_no", "sentence", ok.cast("int").alias("supported"))
 
 
-def _plain_number(value: Column) -> Column:
-    return F.regexp_replace(value.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+def _word_features(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
 
 
 def _statement_features(sentence: Column) -> Column:
     """Words as ``w:...`` and numbers as ``n:...``, each once."""
-    word = F.transform(F.regexp_extract_all(F.lower(sentence), F.lit(LETTERS), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
-    number = F.transform(numbers(sentence), lambda x: F.concat(F.lit("n:"), F.coalesce(_plain_number(x.try_cast("decimal(38,10)")), x)))
-    return F.array_distinct(F.concat(word, number))
+    number = F.transform(numbers(sentence), lambda x: F.concat(F.lit("n:"), x))
+    return F.array_distinct(F.concat(_word_features(sentence), number))
 
 
 def _source_features(text: Column) -> Column:
     """As for statements, with every number also in its rounded forms."""
-    word = F.transform(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
+    number = F.transform(F.flatten(F.transform(numbers(text), rounded_forms)), lambda x: F.concat(F.lit("n:"), x))
+    return F.array_distinct(F.concat(_word_features(text), number))
 
-    def forms(x: Column) -> Column:
-        value = x.try_cast("decimal(38,10)")
-        rounded = [_plain_number(F.round(value, d)) for d in range(MAX_DECIMALS + 1)]
-        return F.transform(F.array(F.coalesce(_plain_number(value), x), *[F.coalesce(r, x) for r in rounded]), lambda f: F.concat(F.lit("n:"), f))
 
-    return F.array_distinct(F.concat(word, F.flatten(F.transform(numbers(text), forms))))
+def numbers_backed(statement: Column, source: Column) -> Column:
+    """Whether every number of a statement occurs in the source, up to rounding."""
+    return F.size(F.array_except(numbers(statement), F.flatten(F.transform(numbers(F.coalesce(source, F.lit(""))), rounded_forms)))) == 0
 
 
-def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", responder: str = "assistant", threshold: float = OVERLAP) -> DataFrame:
+def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", responder: str = "assistant", threshold: float = OVERLAP, evidence_roles: tuple[str, ...] | None = None, abstentions: tuple[str, ...] = ABSTENTIONS) -> DataFrame:
     """One row per sentence of every response, with ``supported`` 0/1 by the earlier turns of its
-    conversation.
+    conversation. Evidence are the turns of ``evidence_roles``, or all that are not the responder's own:
+    saying a thing twice does not support it.
 
     A sentence is supported if at least ``threshold`` of its words and all of its numbers (up to
     rounding) occurred before, or if it admits a gap in the data; questions are not supported. Instead
@@ -83,7 +88,8 @@ def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: st
     computed once and compared with the turn of the sentence, so a long conversation is not collected.
     """
     # Outer explodes: an inner one makes Spark compute the list twice, the first time in a filter.
-    features = turns.select(conversation, turn, F.explode_outer(_source_features(F.coalesce(text, F.lit("")))).alias("feature"))
+    evidence = turns.filter(F.col(role).isin(*evidence_roles) if evidence_roles else ~F.col(role).eqNullSafe(F.lit(responder)))
+    features = evidence.select(conversation, turn, F.explode_outer(_source_features(F.coalesce(text, F.lit("")))).alias("feature"))
     first = features.groupBy(conversation, "feature").agg(F.min(turn).alias("_first"))
     split = turns.filter(F.col(role) == responder).select(conversation, turn, F.posexplode_outer(sentences(F.col(text))).alias("sentence_no", "sentence"))
     s = F.col("sentence")
@@ -91,7 +97,7 @@ def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: st
         conversation,
         turn,
         "sentence_no",
-        is_abstention(s).alias("_abstains"),
+        is_abstention(s, abstentions).alias("_abstains"),
         is_question(s).alias("_asks"),
         F.explode_outer(_statement_features(s)).alias("feature"),
     )
@@ -115,36 +121,56 @@ def grounded_sentences(turns: DataFrame, conversation: str = "conv_id", turn: st
     return counted.select(conversation, turn, F.col("sentence_no").cast("bigint").alias("sentence_no"), ok.cast("int").alias("supported"))
 
 
-def score_groundedness(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", **options) -> DataFrame:
-    """Score of each response: supported sentences / all sentences, with its band."""
-    scores = (
-        grounded_sentences(turns, conversation, turn, **options)
+def score_groundedness(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", responder: str = "assistant", **options) -> DataFrame:
+    """Score of each response: supported sentences / all sentences, with its band. A response without a
+    sentence stays, with a NULL score."""
+    counts = (
+        grounded_sentences(turns, conversation, turn, role=role, responder=responder, **options)
         .groupBy(conversation, turn)
         .agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("supported").cast("bigint").alias("n_supported"))
-        .withColumn("score", round_half(F.col("n_supported") / F.col("n_sentences").cast("double"), 4))
+    )
+    zero = F.lit(0).cast("bigint")
+    scores = (
+        turns.filter(F.col(role) == responder)
+        .select(conversation, turn)
+        .distinct()
+        .join(counts, [conversation, turn], "left")
+        .withColumns({"n_sentences": F.coalesce("n_sentences", zero), "n_supported": F.coalesce("n_supported", zero)})
+        .withColumn("score", round_half(F.col("n_supported") / F.nullif(F.col("n_sentences"), zero).cast("double"), 4))
     )
     return scores.withColumn("band", range_band(F.col("score")))
 
 
-def trace_documents(spans: DataFrame, steps_per_part: int = 100) -> DataFrame:
-    """Each trace as one ordered document for trace-level scorers, in parts of ``steps_per_part``
-    steps. A trace of usual length is one part; a very long one is many parts of bounded size, built
-    by many tasks. Payloads are kept whole."""
-    payload = F.coalesce("agent_output", "search_query", "analyst_sql", "retrieval_query", "call_return", "planning_output", F.lit(""))
+#: Texts of a step that a trace document shows: what went in, what was asked, what came back.
+STEP_TEXTS = ("user_query", "search_query", "analyst_sql", "retrieval_query", "planning_output", "call_return", "agent_output")
+#: Characters of one line of a trace document; a longer one goes on in further pieces.
+LINE_CHARS = 8192
+
+
+def trace_documents(spans: DataFrame, steps_per_part: int = 100, line_chars: int = LINE_CHARS) -> DataFrame:
+    """Each trace as one ordered document for trace-level scorers, with input, query and return of every
+    step, in parts of ``steps_per_part`` steps.
+
+    No text is cut away. The first ``line_chars`` characters of each step stand in piece 0 of its part,
+    the next ones in piece 1, and so on, so that neither many steps nor a long return make a
+    document larger than ``steps_per_part * line_chars`` characters.
+    """
     rows = spans.filter((F.col("record_type") == "SPAN") & F.col("trace_id").isNotNull()).select(
-        "trace_id",
-        "agent_name",
-        F.coalesce("span_type", "call_function", F.lit("step")).alias("step"),
-        payload.alias("payload"),
-        "metric",
-        "start_ts",
+        "trace_id", "agent_name", F.coalesce("span_type", "call_function", F.lit("step")).alias("step"), "metric", "start_ts", *STEP_TEXTS
     )
-    placed = with_position(rows, ["trace_id"], "start_ts", ["step", F.col("metric").asc_nulls_first(), "payload"])
-    line = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("step"), F.when(F.col("payload") != "", F.concat(F.lit(": "), F.col("payload"))).otherwise(""))
+    order = ["step", *[F.col(c).asc_nulls_first() for c in ("metric", *STEP_TEXTS)]]
+    placed = with_position(rows, ["trace_id"], "start_ts", order)
+    texts = [F.when(F.col(c) != "", F.concat(F.lit(f"{c}: "), F.col(c))) for c in STEP_TEXTS]
+    line = F.concat_ws(" | ", F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("step")), *texts)
     part = F.floor((F.col("position") - 1) / steps_per_part).cast("bigint")
+    lines = placed.select("trace_id", part.alias("part"), "position", "agent_name", line.alias("line"))
+    last = F.floor((F.greatest(F.length("line"), F.lit(1)) - 1) / line_chars).cast("bigint")
+    pieces = lines.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    shown = F.substring("line", (F.col("piece") * line_chars + 1).cast("int"), F.lit(line_chars))
+    mark = F.when(F.col("piece") > 0, F.concat(F.lit("["), F.col("position").cast("string"), F.lit("."), F.col("piece").cast("string"), F.lit("] "))).otherwise("")
     return (
-        placed.select("trace_id", part.alias("part"), "position", line.alias("line"), "agent_name")
-        .groupBy("trace_id", "part")
+        pieces.withColumn("line", F.concat(mark, shown))
+        .groupBy("trace_id", "part", "piece")
         .agg(
             F.max("agent_name").alias("agent_name"),
             F.count(F.lit(1)).alias("n_steps"),
@@ -153,12 +179,14 @@ def trace_documents(spans: DataFrame, steps_per_part: int = 100) -> DataFrame:
     )
 
 
-def score_documents(documents: DataFrame, scorer: Callable[[Column], Column]) -> DataFrame:
-    """Trace-level score from the scores of the parts, weighted by their steps."""
-    parts = documents.select("trace_id", "n_steps", scorer(F.col("document")).alias("_score"))
-    return parts.groupBy("trace_id").agg(
-        round_half(F.sum(F.col("_score") * F.col("n_steps")) / F.sum("n_steps"), 4).alias("score"), F.sum("n_steps").alias("n_steps")
-    )
+def score_documents(documents: DataFrame, measure: Callable[[Column], dict[str, Column]], finish: Callable[[dict[str, Column]], Column]) -> DataFrame:
+    """Trace-level score. ``measure`` gives named numbers of one document, these are added up over the
+    parts of a trace, and ``finish`` makes the sums into a score. A score of sums does not depend on
+    how a trace is cut into parts."""
+    states = measure(F.col("document"))
+    parts = documents.select("trace_id", *[c.alias(f"_s_{n}") for n, c in states.items()])
+    sums = parts.groupBy("trace_id").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in states])
+    return sums.select("trace_id", round_half(finish({n: F.col(f"_s_{n}") for n in states}), 4).alias("score"), *[F.col(f"_s_{n}").alias(n) for n in states])
 
 
 def to_event_rows(scores: DataFrame, agent: Column, run: Column, metric: Column, target: Column, score: Column, time: Column) -> DataFrame:

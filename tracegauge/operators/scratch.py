@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegauge.session import shared_dir
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables. The application owns them: nothing else
+    reads them, and ``drop_scratch`` removes them."""
+    return f"{shared_dir(spark)}/tracegauge/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables, once no DataFrame reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read, and read it back: it is computed once, its
-    lineage ends there, and it outlives any executor. Without a shared folder the DataFrame itself is
-    returned and Spark computes it where it is used."""
+    lineage ends there, and it outlives any executor."""
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if base is None:
-        return df
-    path = f"{base}/tracegauge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

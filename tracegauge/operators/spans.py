@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegauge.session import shared_dir
+from tracegauge.operators.scratch import scratch_dir
 from tracegauge.sources.attributes import DOUBLE_COLUMNS, PRESENCE, SPAN_SCHEMA, WHOLE_COLUMNS, AttributeKeys
 from tracegauge.functions.exprs import elapsed_ms
 
@@ -92,37 +94,55 @@ def extract_spans(events: DataFrame, keys: AttributeKeys = AttributeKeys(), keep
     )
 
 
+#: Marks a layout value that a folder name cannot hold as it is.
+ESCAPE = "~"
+
+
 def write_spans(spans: DataFrame, path: str, layout: list[str] = LAYOUT) -> None:
     """Store typed spans by agent and span type, so that reports prune to the folders they need. With
     very many agents, leave the agent out of the layout.
 
     Rebalancing evens out file sizes: a large (agent, span type) is split over many tasks, small
-    ones share a task.
+    ones share a task. Files are sorted by record and trace and carry bloom filters on both, so a
+    lookup of one of them skips nearly all row groups. An empty name would become NULL as a folder
+    name, so it is stored with a mark in front.
     """
-    spans.hint("rebalance", *layout).write.mode("overwrite").partitionBy(*layout).parquet(path)
+    for c in layout:
+        spans = spans.withColumn(c, F.when((F.col(c) == "") | F.col(c).startswith(ESCAPE), F.concat(F.lit(ESCAPE), c)).otherwise(F.col(c)))
+    rows = spans.hint("rebalance", *layout).sortWithinPartitions(*layout, "record_id", "trace_id")
+    writer = rows.write.mode("overwrite").partitionBy(*layout)
+    for c in ("record_id", "trace_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
 
 
-def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SPAN_SCHEMA).parquet(path)
+def read_spans(spark: SparkSession, path: str, layout: list[str] = LAYOUT) -> DataFrame:
+    stored = spark.read.schema(SPAN_SCHEMA).parquet(path)
+    named = {c: F.when(F.col(c).startswith(ESCAPE), F.substring(c, 2, 2**31 - 1)).otherwise(F.col(c)) for c in layout}
+    return stored.select(*[named[c].alias(c) if c in named else c for c in stored.columns])
 
 
 _stored: dict[tuple[str, str], str] = {}
 
 
-def stored_spans(spark: SparkSession, source: str, events, refresh: bool = False) -> DataFrame:
-    """The span table of one event source, extracted at its first use in the application.
+def source_state(table: DataFrame) -> str:
+    """A digest of the files of a table: names, sizes and times of change, added up by Spark."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return hashlib.sha1(f"{row[0]} {row[1]}".encode()).hexdigest()[:16]
+
+
+def stored_spans(table: DataFrame, events: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The span table of one event source, extracted at its first use in the application and again when
+    the files of ``table`` have changed. ``events`` turns the table into event rows.
 
-    ``events`` is called for the event DataFrame when the table has to be written. The table lives
-    in the shared folder, so losing an executor loses nothing. Without a shared folder the spans
-    are extracted in place.
+    The table lives in the shared folder, so losing an executor loses nothing. A new state of the
+    source gets a new folder, so a report that still reads the old one is not disturbed.
     """
-    base = shared_dir(spark)
-    if base is None:
-        return extract_spans(events())
-    app = spark.sparkContext.applicationId
-    slot = (app, source)
-    if refresh or slot not in _stored:
-        path = f"{base}/tracegauge/{app}/spans-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
-        write_spans(extract_spans(events()), path)
+    spark = table.sparkSession
+    slot = (spark.sparkContext.applicationId, source_state(table))
+    if slot not in _stored:
+        path = f"{scratch_dir(spark)}/spans-{slot[1]}-{uuid.uuid4().hex[:8]}"
+        write_spans(extract_spans(events(table)), path)
         _stored[slot] = path
     return read_spans(spark, _stored[slot])

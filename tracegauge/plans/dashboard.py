@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.functions.exprs import (
@@ -183,6 +183,11 @@ def _timeline_rows(spans: DataFrame, agent: str, trace_id: str | None) -> DataFr
     return rows if trace_id is None else rows.filter(F.col("trace_id") == trace_id)
 
 
+def _all_shown(rows: DataFrame) -> list[Column]:
+    """An order by every shown column: rows that it leaves tied look the same."""
+    return [F.col(c).asc_nulls_first() for c in ("step", "duration_ms", *sorted(set(rows.columns) - {"trace_id", "step", "duration_ms", "start_ts"}))]
+
+
 def timeline_a(spans: DataFrame, pair: AgentPair = PAIR, trace_id: str | None = None) -> DataFrame:
     """Steps of agent A's traces in start order; all traces, or the one given."""
     rows = _timeline_rows(spans, pair.a, trace_id).select(
@@ -195,7 +200,7 @@ def timeline_a(spans: DataFrame, pair: AgentPair = PAIR, trace_id: str | None =
         "start_ts",
     )
     detail = first_text(F.col("search_query"), F.col("analyst_sql"))
-    return with_position(rows, ["trace_id"], "start_ts", ["step", "duration_ms"], "step_no").select(
+    return with_position(rows, ["trace_id"], "start_ts", _all_shown(rows), "step_no").select(
         "trace_id",
         "step_no",
         "step",
@@ -220,7 +225,7 @@ def timeline_b(spans: DataFrame, pair: AgentPair = PAIR, trace_id: str | None =
         "duration_ms",
         "start_ts",
     )
-    return with_position(rows, ["trace_id"], "start_ts", ["step", "duration_ms"], "step_no").select(
+    return with_position(rows, ["trace_id"], "start_ts", _all_shown(rows), "step_no").select(
         "trace_id",
         "step_no",
         "step",

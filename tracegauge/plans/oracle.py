@@ -7,9 +7,7 @@ the engine's own functions, and search scores every document.
 
 from __future__ import annotations
 
-from tracegauge.functions.text import ABSTENTIONS
-from tracegauge.operators import generate as gen
-from tracegauge.operators import search, scoring
+from tracegauge.operators import search
 from tracegauge.sources import trace_view
 
 EVENTS = f"""
@@ -205,8 +203,8 @@ CORRECTNESS = (
     EVAL_DATA
     + f""",
 w AS (SELECT s.record_id, s.agent_name, s.run_name, s.user_query, list_distinct({WORDS.format("s.agent_output")}) AS x, list_distinct({WORDS.format("d.truth")}) AS y
-  FROM spans s JOIN eval_data d ON s.user_query = d.input_query WHERE s.{ROOT}),
-f1 AS (SELECT record_id, agent_name, run_name, user_query, {r("CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END", 4)} AS score FROM w)"""
+  FROM spans s LEFT JOIN eval_data d ON s.user_query = d.input_query WHERE s.{ROOT}),
+f1 AS (SELECT record_id, agent_name, run_name, user_query, {r("CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END", 4)} AS score FROM w)"""
 )
 
 
@@ -226,74 +224,39 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 LETTERS = "regexp_extract_all(lower({0}), '\\p{{L}}+')"
-NUMBERS = "regexp_extract_all({0}, '[0-9]+(?:\\.[0-9]+)?')"
-PLAIN = "regexp_replace(CAST(CAST({0} AS DECIMAL(38,10)) AS VARCHAR), '\\.?0+$', '')"
-_abstain = " OR ".join(f"contains(replace(lower(sentence), '’', chr(39)), {chr(39) + a.replace(chr(39), chr(39) * 2) + chr(39)})" for a in ABSTENTIONS)
-_forms = ", ".join([f"coalesce({PLAIN.format('TRY_CAST(x AS DECIMAL(38,10))')}, x)"] + [f"coalesce({PLAIN.format(f'round(TRY_CAST(x AS DECIMAL(38,10)), {d})')}, x)" for d in range(scoring.MAX_DECIMALS + 1)])
+# A number as sign and digits, thousands separators left out; a hyphen behind a letter or digit is no sign.
+NUMBERS = "regexp_extract_all(regexp_replace(replace({0}, '−', '-'), '([\\p{{L}}\\p{{N}}])-', '\\1 ', 'g'), '[-+]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?')"
+_size = "CAST(replace(ltrim({0}, '+-'), ',', '') AS DECIMAL(38,12))"
+_places = "length(rtrim(split_part({0}, '.', 2), '0'))"
+# Phrases that admit a gap in the data.
+_gaps = ["i don't have", "i do not have", "i don't know", "i do not know", "i cannot find", "i can't find", "no data available", "not enough information"]
+_abstain = " OR ".join(f"contains(replace(lower(sentence), '’', chr(39)), {chr(39) + a.replace(chr(39), chr(39) * 2) + chr(39)})" for a in _gaps)
 
 # Each response sentence is compared with all earlier turns of its conversation.
 GROUNDED = f"""
 WITH said AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), 1) AS pos
   FROM conversations WHERE role = 'assistant'),
 sents AS (SELECT conv_id, turn, pos, trim(raw) AS sentence FROM said WHERE length(trim(raw)) > 0),
-src_words AS (SELECT DISTINCT conv_id, turn, unnest({LETTERS.format("text")}) AS w FROM conversations),
-src_raw AS (SELECT conv_id, turn, unnest({NUMBERS.format("text")}) AS x FROM conversations),
-src_nums AS (SELECT DISTINCT conv_id, turn, unnest([{_forms}]) AS w FROM src_raw),
+src AS (SELECT * FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+src_words AS (SELECT DISTINCT conv_id, turn, unnest({LETTERS.format("text")}) AS w FROM src),
+src_raw AS (SELECT conv_id, turn, unnest({NUMBERS.format("text")}) AS x FROM src),
+src_nums AS (SELECT DISTINCT conv_id, turn, {_size.format("x")} AS v, x LIKE '-%' AS neg, {_places.format("x")} AS places FROM src_raw),
 ws AS (SELECT conv_id, turn, pos, unnest(list_distinct({LETTERS.format("sentence")})) AS w FROM sents),
 ns_raw AS (SELECT conv_id, turn, pos, unnest({NUMBERS.format("sentence")}) AS x FROM sents),
-ns AS (SELECT DISTINCT conv_id, turn, pos, coalesce({PLAIN.format("TRY_CAST(x AS DECIMAL(38,10))")}, x) AS w FROM ns_raw),
+ns AS (SELECT DISTINCT conv_id, turn, pos, {_size.format("x")} AS v, x LIKE '-%' AS neg, {_places.format("x")} AS places FROM ns_raw),
 wc AS (SELECT conv_id, turn, pos, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM src_words s WHERE s.conv_id = ws.conv_id AND s.turn < ws.turn AND s.w = ws.w)) AS hit FROM ws GROUP BY 1, 2, 3),
-nc AS (SELECT conv_id, turn, pos, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM src_nums s WHERE s.conv_id = ns.conv_id AND s.turn < ns.turn AND s.w = ns.w)) AS hit FROM ns GROUP BY 1, 2, 3),
+nc AS (SELECT conv_id, turn, pos, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM src_nums s WHERE s.conv_id = ns.conv_id AND s.turn < ns.turn AND (ns.v = 0 OR s.neg = ns.neg)
+    AND (s.v = ns.v OR (ns.places < s.places AND s.v >= ns.v - CAST('0.' || repeat('0', ns.places) || '5' AS DECIMAL(38,12)) AND s.v < ns.v + CAST('0.' || repeat('0', ns.places) || '5' AS DECIMAL(38,12)))))) AS hit FROM ns GROUP BY 1, 2, 3),
 judged AS (SELECT t.conv_id, t.turn, t.pos, CASE WHEN {_abstain} THEN 1 WHEN rtrim(sentence) LIKE '%?' THEN 0
-    WHEN coalesce(wc.n, 0) + coalesce(nc.n, 0) > 0 AND coalesce(wc.hit, 0) >= {scoring.OVERLAP} * coalesce(wc.n, 0) AND coalesce(nc.hit, 0) = coalesce(nc.n, 0) THEN 1 ELSE 0 END AS supported
+    WHEN coalesce(wc.n, 0) + coalesce(nc.n, 0) > 0 AND coalesce(wc.hit, 0) >= 0.6 * coalesce(wc.n, 0) AND coalesce(nc.hit, 0) = coalesce(nc.n, 0) THEN 1 ELSE 0 END AS supported
   FROM sents t LEFT JOIN wc ON wc.conv_id = t.conv_id AND wc.turn = t.turn AND wc.pos = t.pos LEFT JOIN nc ON nc.conv_id = t.conv_id AND nc.turn = t.turn AND nc.pos = t.pos),
 totals AS (SELECT conv_id, turn, count(*) AS n_sentences, CAST(sum(supported) AS BIGINT) AS n_supported FROM judged GROUP BY 1, 2),
-final AS (SELECT *, {r("n_supported / CAST(n_sentences AS DOUBLE)", 4)} AS score FROM totals)
+asked AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant'),
+final AS (SELECT asked.conv_id, asked.turn, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_supported, 0) AS n_supported, {r("n_supported / CAST(n_sentences AS DOUBLE)", 4)} AS score
+  FROM asked LEFT JOIN totals ON totals.conv_id = asked.conv_id AND totals.turn = asked.turn)
 SELECT conv_id, turn, n_sentences, n_supported, score, {band("score")} AS band FROM final"""
 
 
-# Generated tables -----------------------------------------------------------------------------
-
-
-def uniform(key: str, salt: str, seed: int = 42) -> str:
-    return f"(CAST('0x' || left(md5({key} || ':{seed}:{salt}'), {gen.HASH_DIGITS}) AS BIGINT) / {float(16**gen.HASH_DIGITS)!r})"
-
-
-def whole(key: str, salt: str, low: int, high: int) -> str:
-    return f"CAST(floor({uniform(key, salt)} * {high - low + 1}) + {low} AS INTEGER)"
-
-
-def normal(key: str, salt: str, mean: str, deviation: float) -> str:
-    return f"({mean} + sqrt(-2.0 * ln(CAST(1.0 AS DOUBLE) - {uniform(key, salt + 'u')})) * cos(2 * pi() * {uniform(key, salt + 'v')}) * CAST({deviation} AS DOUBLE))"
-
-
-def choice(key: str, salt: str, weighted) -> str:
-    u, reached, out = f"{uniform(key, salt)} * {sum(w for _, w in weighted)}", 0, "CASE"
-    for value, weight in weighted[:-1]:
-        reached += weight
-        out += f" WHEN {u} < {reached} THEN '{value}'"
-    return out + f" ELSE '{weighted[-1][0]}' END"
-
-
-def clamp(value: str, top: float | None = None) -> str:
-    low = f"greatest(CAST(1.0 AS DOUBLE), {r(value, 1)})"
-    return low if top is None else f"least(CAST({top} AS DOUBLE), {low})"
-
-
-_K = "CAST(o_orderkey AS VARCHAR)"
-_kind = f"{choice(_K, 'category', [(c, 1) for c in gen.CATEGORIES])} || ' problem ' || {whole(_K, 'issue', 1, 4)}"
-_product = f"'Product ' || {whole(_K, 'product', 1, gen.PRODUCTS)}"
-CASES = f"""cases AS (SELECT 'CASE-' || CASE WHEN length({_K}) >= 5 THEN {_K} ELSE lpad({_K}, 5, '0') END AS case_id,
-  'CUST-' || lpad(CAST({whole(_K, 'customer', 1, gen.CUSTOMERS)} AS VARCHAR), 4, '0') AS customer_id,
-  CAST(DATE '{gen.START}' + {whole(_K, 'day', 0, gen.DAYS - 1)} AS DATE) AS case_date, {_product} AS product,
-  {choice(_K, 'category', [(c, 1) for c in gen.CATEGORIES])} AS issue_category,
-  {_kind} || ' with ' || {_product} AS issue_summary, 'Applied the known fix for ' || {_kind} AS resolution_summary,
-  'Rep ' || lpad(CAST({whole(_K, 'rep', 1, gen.REPS)} AS VARCHAR), 2, '0') AS rep_name,
-  {choice(_K, 'status', gen.STATUS_WEIGHTS)} AS status, {choice(_K, 'priority', gen.PRIORITY_WEIGHTS)} AS priority FROM orders)"""
-_factor = "CASE priority " + " ".join(f"WHEN '{p}' THEN CAST({f} AS DOUBLE)" for p, f in gen.PRIORITY_FACTOR.items()) + " END"
-_W = "rep_name || '/' || CAST(wk AS VARCHAR)"
-_D = "CAST(metric_date AS VARCHAR)"
-
 # Metric layer ---------------------------------------------------------------------------------
 
 DAILY = f"""daily AS (SELECT CAST(o_orderdate AS DATE) AS metric_date, count(*) AS day_cases, count(*) FILTER (o_orderstatus = 'F') AS day_resolved,
@@ -309,25 +272,27 @@ JOBS = """jobs AS (SELECT event_id AS job_id, CASE user_id % 3 WHEN 0 THEN 'AI_E
   CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS state,
   CASE WHEN event_type = 'error' THEN regexp_extract(props, '[0-9]+', 0) END AS error_code,
   CASE WHEN event_type = 'error' THEN 'failed after ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS error_message,
-  props AS query_text, ts FROM events)"""
+  props AS query_text, ts, CASE WHEN event_id % 11 <> 0 THEN ts + CAST(round(value * 100) AS INTEGER) * INTERVAL 1 MILLISECOND END AS done FROM events)"""
 
 
 def jobs(cap: int, extra: str) -> str:
     return f"""WITH {JOBS}, newest AS (SELECT * FROM jobs WHERE ts >= (SELECT max(ts) FROM jobs) - INTERVAL 7 DAYS {extra} ORDER BY ts DESC, job_id LIMIT {cap})
-SELECT name, state, error_code, error_message, query_text, epoch_us(ts) AS scheduled_us, job_id FROM newest WHERE name ILIKE '%ai_evaluation%' OR name ILIKE '%eval%'"""
+SELECT name, state, error_code, error_message, query_text, epoch_us(ts) AS scheduled_us, epoch_us(done) AS completed_us, job_id FROM newest WHERE name ILIKE '%ai_evaluation%' OR name ILIKE '%eval%'"""
 
 
 # Trace order ----------------------------------------------------------------------------------
 
 PLACED = """
 steps AS (SELECT trace_id, agent_name, coalesce(span_type, call_function, 'step') AS step,
-  coalesce(agent_output, search_query, analyst_sql, retrieval_query, call_return, planning_output, '') AS payload,
+  user_query, search_query, analyst_sql, retrieval_query, planning_output, call_return, agent_output,
   row_number() OVER (PARTITION BY trace_id ORDER BY start_ts) AS position FROM spans WHERE record_type = 'SPAN' AND trace_id IS NOT NULL),
-lines AS (SELECT *, '[' || position || '] ' || step || CASE WHEN payload <> '' THEN ': ' || payload ELSE '' END AS line FROM steps)"""
+lines AS (SELECT *, concat_ws(' | ', '[' || position || '] ' || step, """ + ", ".join(
+    f"CASE WHEN {c} <> '' THEN '{c}: ' || {c} END" for c in ("user_query", "search_query", "analyst_sql", "retrieval_query", "planning_output", "call_return", "agent_output")
+) + """) AS line FROM steps)"""
 
 
 def documents(steps: int) -> str:
-    return f"""SELECT trace_id, CAST(floor((position - 1) / {steps}) AS BIGINT) AS part, max(agent_name) AS agent_name, count(*) AS n_steps,
+    return f"""SELECT trace_id, CAST(floor((position - 1) / {steps}) AS BIGINT) AS part, CAST(0 AS BIGINT) AS piece, max(agent_name) AS agent_name, count(*) AS n_steps,
   string_agg(line, chr(10) ORDER BY position) AS document FROM lines GROUP BY 1, 2"""
 
 
@@ -391,7 +356,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "order_abs_diff": on_spans(
         SIDE_BY_SIDE
         + """, ranked AS (SELECT user_query, latency_diff_ms, row_number() OVER (ORDER BY abs(latency_diff_ms) DESC NULLS FIRST, user_query) AS rank FROM sides)
-SELECT * FROM ranked WHERE rank <= 100"""
+SELECT user_query, latency_diff_ms, abs(latency_diff_ms) AS abs_diff_ms FROM ranked"""
     ),
     "first_20": on_spans(
         DELTAS + ", ranked AS (SELECT *, row_number() OVER (ORDER BY metric, delta DESC, user_query) AS rank FROM delta) SELECT * FROM ranked WHERE rank <= 20"
@@ -532,6 +497,13 @@ FROM g GROUP BY 1, 2""",
     "score_groundedness": GROUNDED,
     "score_correctness": on_spans(CORRECTNESS + f" SELECT record_id, agent_name, user_query, score, {band('score')} AS band FROM f1"),
     "score_range_band": on_spans(f"SELECT agent_name, metric, {band('score')} AS band, count(*) AS n FROM spans WHERE {SCORED} GROUP BY 1, 2, 3"),
+    "score_custom_metric": on_spans(
+        f"""said AS (SELECT record_id, agent_name, user_query, trim(unnest(string_split(regexp_replace(agent_output, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS sentence FROM spans WHERE {ROOT}),
+  sets AS (SELECT *, list_distinct(regexp_extract_all(lower(sentence), '\\p{{L}}')) AS x, list_distinct(regexp_extract_all(lower(coalesce(user_query, '')), '\\p{{L}}')) AS y FROM said WHERE length(sentence) > 0),
+  judged AS (SELECT record_id, agent_name, CASE WHEN {_abstain} THEN 1 WHEN rtrim(sentence) LIKE '%?' THEN 0 WHEN len(x) > 0 AND len(list_intersect(x, y)) / CAST(len(x) AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS ok FROM sets),
+  f AS (SELECT record_id, agent_name, {r("avg(ok)", 4)} AS score FROM judged GROUP BY 1, 2)
+SELECT *, {band("score")} AS band FROM f"""
+    ),
     "score_to_events": on_spans(
         CORRECTNESS
         + """ SELECT 'SPAN' AS record_type, agent_name, run_name, 'eval_root' AS span_type, 'token_f1' AS metric, record_id AS target_record_id, score, TRUE AS has_score FROM f1"""
@@ -539,28 +511,6 @@ FROM g GROUP BY 1, 2""",
     "trace_documents": on_spans(f"{PLACED} {documents(100)}"),
     "trace_document_parts": on_spans(f"{PLACED} {documents(3)}"),
     "trace_scores": on_spans(
-        f"""{PLACED} SELECT trace_id, {r("avg(CASE WHEN contains(line, ': ') THEN 1 ELSE 0 END)", 4)} AS score, count(*) AS n_steps FROM lines GROUP BY 1"""
-    ),
-    "gen_cases": f"WITH {CASES} SELECT * FROM cases",
-    "gen_case_metrics": f"""WITH {CASES}, c AS (SELECT *, {_factor} AS f FROM cases)
-SELECT case_id, customer_id, case_date, product, issue_category, priority,
-  greatest(1, CAST(trunc({normal("case_id", "frt", "f * 15", 5.0)}) AS INTEGER)) AS first_response_time_mins,
-  greatest(CAST(0.5 AS DOUBLE), {r(normal("case_id", "res", "f * 8", 3.0), 1)}) AS resolution_time_hours,
-  greatest(1, CAST(trunc({normal("case_id", "int", "f * 3", 1.5)}) AS INTEGER)) AS num_interactions,
-  {clamp(normal("case_id", "csat", "CAST(4.0 AS DOUBLE) - (f - 1) * CAST(0.5 AS DOUBLE)", 0.8), 5.0)} AS csat_score,
-  CASE WHEN priority IN ('High', 'Critical') AND {uniform("case_id", "esc")} < 0.3 THEN 1 ELSE 0 END AS escalated FROM c""",
-    "gen_daily": f"""WITH days AS (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS DATE) AS metric_date),
-t AS (SELECT metric_date, {whole(_D, "total", 5, 20)} AS total_cases FROM days)
-SELECT metric_date, total_cases, CAST(trunc(total_cases * (0.6 + {uniform(_D, "resolved")} * {0.95 - 0.6!r})) AS INTEGER) AS cases_resolved,
-  CAST(trunc(total_cases * (0.05 + {uniform(_D, "escalated")} * {0.2 - 0.05!r})) AS INTEGER) AS cases_escalated,
-  {clamp(normal(_D, "res", "CAST(10.0 AS DOUBLE)", 3.0))} AS avg_resolution_time_hours, {clamp(normal(_D, "csat", "CAST(3.8 AS DOUBLE)", 0.4), 5.0)} AS avg_csat_score,
-  {clamp(normal(_D, "frt", "CAST(18.0 AS DOUBLE)", 5.0))} AS avg_first_response_mins FROM t""",
-    "gen_rep_weeks": f"""WITH w AS (SELECT s_name AS rep_name, unnest(range({gen.WEEKS})) AS wk FROM supplier), h AS (SELECT *, {whole(_W, "handled", 8, 25)} AS cases_handled FROM w)
-SELECT rep_name, CAST(DATE '{gen.START}' + CAST(wk * 7 AS INTEGER) AS DATE) AS week_start, cases_handled,
-  CAST(trunc(cases_handled * (0.7 + {uniform(_W, "resolved")} * {0.98 - 0.7!r})) AS INTEGER) AS cases_resolved,
-  {clamp(normal(_W, "res", "CAST(9.0 AS DOUBLE)", 2.5))} AS avg_resolution_time_hours, {clamp(normal(_W, "csat", "CAST(3.9 AS DOUBLE)", 0.5), 5.0)} AS avg_csat_score,
-  {r(f"0.02 + {uniform(_W, 'esc')} * {0.25 - 0.02!r}", 2)} AS escalation_rate FROM h""",
-    "corpus_refresh": f"""WITH t AS (SELECT doc_id, unnest({WORDS.format("text")}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
-c AS (SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, max(tf) AS max_tf FROM p GROUP BY 1)
-SELECT d.doc_id, CAST(len({WORDS.format("d.text")}) AS BIGINT) AS n_words, n_terms, n_tokens, max_tf FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
+        f"""{PLACED} SELECT trace_id, {r("avg(CASE WHEN contains(line, ' | ') THEN 1 ELSE 0 END)", 4)} AS score, count(*) FILTER (contains(line, ' | ')) AS n_shown, count(*) AS n_steps FROM lines GROUP BY 1"""
+    ),
 }

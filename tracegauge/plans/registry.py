@@ -5,23 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracegauge.functions.exprs import AgentPair, range_band, round_half
-from tracegauge.operators import generate as gen
 from tracegauge.operators import pairs, scoring, search
-from tracegauge.operators.ordering import extreme_rows, ranked_head
+from tracegauge.operators.ordering import extreme_rows
+from tracegauge.operators.scratch import scratch_dir
 from tracegauge.operators.spans import extract_spans, stored_spans
 from tracegauge.plans import dashboard as dash
 from tracegauge.plans import reports as rep
 from tracegauge.plans.metrics import Condition, Field, LogicalTable, Metric, MetricLayer, metric_query, verified_query, with_example
-from tracegauge.session import shared_dir, spread
 from tracegauge.sources import scans, tables
 from tracegauge.sources.trace_view import trace_events
-from tracegauge.streaming import corpus_refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = AgentPair()
@@ -34,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_spans(spark, f"{sf_dir}/events.parquet", lambda: trace_events(spark, sf_dir))
+    return stored_spans(table(spark, sf_dir, "events"), trace_events)
 
 
 def _on_spans(report: Callable[..., DataFrame], **options) -> Query:
@@ -48,7 +44,7 @@ SPAN_TEXT = ["record_type", "trace_id", "agent_name", "span_type", "record_id",
 
 def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All typed columns, straight from the event table."""
-    typed = extract_spans(trace_events(spark, sf_dir))
+    typed = extract_spans(trace_events(table(spark, sf_dir, "events")))
     return typed.withColumn("start_us", F.unix_micros("start_ts")).drop("start_ts", "end_ts")
 
 
@@ -97,6 +93,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed, F.concat(F.lit("failed after "), F.col("value").cast("decimal(18,2)").cast("string"))).alias("error_message"),
         F.col("props").alias("query_text"),
         F.col("ts").cast("timestamp").alias("scheduled_time"),
+        F.when(F.col("event_id") % 11 != 0, F.timestamp_add("MILLISECOND", F.round(F.col("value") * 100).cast("int"), F.col("ts").cast("timestamp"))).alias("completed_time"),
     )
 
 
@@ -105,7 +102,7 @@ def _job_query(cap: int, errors_only: bool) -> Query:
         jobs = _jobs(spark, sf_dir)
         newest = jobs.select(F.max("scheduled_time")).scalar()
         rows = scans.job_history(jobs, ["%ai_evaluation%", "%eval%"], 7, cap, errors_only, newest)
-        return rows.select("name", "state", "error_code", "error_message", "query_text", F.unix_micros("scheduled_time").alias("scheduled_us"), "job_id")
+        return rows.select("name", "state", "error_code", "error_message", "query_text", F.unix_micros("scheduled_time").alias("scheduled_us"), F.unix_micros("completed_time").alias("completed_us"), "job_id")
 
     return run
 
@@ -123,13 +120,9 @@ def _eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _src_dataset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a dataset version, read it back, show the first five rows."""
-    base = shared_dir(spark)
-    data = _eval_dataset(spark, sf_dir)
-    if base is not None:
-        path = f"{base}/tracegauge/datasets/{uuid.uuid4().hex}"
-        tables.write_dataset_version(data, path, "v1")
-        data = tables.read_dataset_version(spark, path, "v1")
-    return scans.first_rows(data, [F.col("query_text").asc()], 5)
+    path = f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    tables.write_dataset_version(_eval_dataset(spark, sf_dir), path, "v1")
+    return scans.first_rows(tables.read_dataset_version(spark, path, "v1"), [F.col("query_text").asc()], 5)
 
 
 def _eval_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +159,10 @@ def _try_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions by the size of the latency difference, ranked."""
+    """All questions by the size of the latency difference."""
     d = pairs.response_statistics(spans(spark, sf_dir)).select("user_query", "latency_diff_ms")
     order = [F.abs("latency_diff_ms").desc_nulls_first(), F.col("user_query").asc()]
-    return ranked_head(d, order, 100)
+    return d.withColumn("abs_diff_ms", F.abs("latency_diff_ms")).orderBy(*order)
 
 
 def _first_20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +281,7 @@ def _ml_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def _search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +299,7 @@ def _search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations"))
+    return table(spark, sf_dir, "conversations")
 
 
 def _groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,18 +331,17 @@ def _to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_spans(events).select("record_type", "agent_name", "run_name", "span_type", "metric", "target_record_id", "score", "has_score")
 
 
-@F.pandas_udf(T.DoubleType())
-def _shared_characters(output: pd.Series, tool_info: pd.Series) -> pd.Series:
-    """Stand-in for a model judge: share of the distinct letters of a sentence found in the source."""
-    seen = [set(t.lower()) for t in tool_info.fillna("")]
-    parts = [{c for c in o.lower() if c.isalpha()} for o in output.fillna("")]
-    return pd.Series([len(p & s) / len(p) if p else 0.0 for p, s in zip(parts, seen)], dtype="float64")
+def shared_letters(statement: Column, source: Column) -> Column:
+    """Share of the distinct letters of a statement that the source has."""
+    letters = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"\p{L}"), F.lit(0)))
+    own = letters(statement)
+    return F.coalesce(F.size(F.array_intersect(own, letters(source))) / F.nullif(F.size(own), F.lit(0)).cast("double"), F.lit(0.0))
 
 
 def _custom_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user-supplied Arrow scorer over response sentences and the text of their question."""
+    """A user-supplied scorer over response sentences and the text of their question."""
     roots = rep.ev.roots(spans(spark, sf_dir)).select("record_id", "agent_name", "agent_output", "user_query")
-    lines = scoring.score_statements(roots, "agent_output", "user_query", _shared_characters, 0.5, keep=("record_id", "agent_name"))
+    lines = scoring.score_statements(roots, "agent_output", "user_query", shared_letters, 0.5, keep=("record_id", "agent_name"), check_numbers=False)
     scores = lines.groupBy("record_id", "agent_name").agg(round_half(F.avg("supported"), 4).alias("score"))
     return scores.withColumn("band", range_band(F.col("score")))
 
@@ -364,46 +356,13 @@ def _trace_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def steps_with_payload(document):
-        lines = F.split(document, "\n")
-        return F.size(F.filter(lines, lambda x: x.contains(": "))) / F.size(lines).cast("double")
+    """Share of the steps of a trace that show any text."""
 
-    return scoring.score_documents(_trace_documents(spark, sf_dir), steps_with_payload)
+    def measure(document: Column) -> dict[str, Column]:
+        steps = F.filter(F.split(document, "\n"), lambda x: x.rlike(r"^\[[0-9]+\] "))
+        return {"n_shown": F.size(F.filter(steps, lambda x: x.contains(" | "))).cast("bigint"), "n_steps": F.size(steps).cast("bigint")}
 
-
-# --- generator, streaming --------------------------------------------------------------------
-
-
-def _gen_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.support_cases(spread(table(spark, sf_dir, "orders").select("o_orderkey")), "o_orderkey")
-
-
-def _gen_case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.case_metrics(_gen_cases(spark, sf_dir))
-
-
-def _gen_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
-    return gen.daily_metrics(gen.day_spine(bounds, "first", "last"))
-
-
-def _gen_rep_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.rep_weeks(table(spark, sf_dir, "supplier"), "s_name")
-
-
-def _corpus_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream the documents into a fresh index and list what the index holds per document."""
-    base = shared_dir(spark)
-    if base is None:
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder for the search index")
-    where = f"{base}/tracegauge/corpus/{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
-    corpus_refresh.start_refresh(stream, f"{where}/index", f"{where}/checkpoint", target_lag=None).awaitTermination()
-    postings = corpus_refresh.current_postings(spark, f"{where}/index")
-    counts = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
-    docs = corpus_refresh.current_docs(spark, f"{where}/index").select("doc_id", "n_words")
-    return docs.join(counts, "doc_id", "left").select("doc_id", "n_words", "n_terms", "n_tokens", "max_tf")
+    return scoring.score_documents(_trace_documents(spark, sf_dir), measure, lambda s: s["n_shown"] / s["n_steps"].cast("double"))
 
 
 def _root_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +398,7 @@ QUERIES: dict[str, Query] = {
     "r06_agent_span_totals": _on_spans(rep.agent_span_totals),
     "r06b_root_input_tokens": _root_tokens,
     "r07_side_by_side": _on_spans(pairs.response_statistics),
-    "r07_widest_pairs": _on_spans(pairs.widest_pairs),
+    "r07_widest_pairs": _on_spans(pairs.widest_pairs, top=100),
     "r07b_pair_averages": _on_spans(pairs.pair_averages),
     "r08_score_buckets": _on_spans(rep.score_buckets),
     "r09_run_comparison": _on_spans(rep.run_comparison),
@@ -501,9 +460,4 @@ QUERIES: dict[str, Query] = {
     "trace_documents": _trace_documents,
     "trace_document_parts": _trace_parts,
     "trace_scores": _trace_scores,
-    "gen_cases": _gen_cases,
-    "gen_case_metrics": _gen_case_metrics,
-    "gen_daily": _gen_daily,
-    "gen_rep_weeks": _gen_rep_weeks,
-    "corpus_refresh": _corpus_refresh,
 }

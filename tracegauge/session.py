@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str = "*", app: str = "tracegauge") -> SparkSession:
-    """A single-machine session for tests and benchmarks; on a cluster use the session it gives you."""
-    spark = (
+def local_session(cpus: str = "*", app: str = "tracegauge", scratch: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benchmarks; on a cluster use the session it gives you.
+    ``scratch`` is its folder for intermediate tables; without one they go below the warehouse."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("TRACEGAUGE_SHUFFLE", "8"))
@@ -18,36 +18,13 @@ def local_session(cpus: str = "*", app: str = "tracegauge") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TRACEGAUGE_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is missing, a local master gets a temporary folder (one machine, so it is
-    shared by definition) and any other master gets ``None``: callers must then not write scratch
-    tables.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    made = getattr(spark, "_tracegauge_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="tracegauge-")
-        spark._tracegauge_dir = made
-    return made
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer files than the session has cores.
-
-    A large table has far more files than cores and is left alone, so this never adds a shuffle
-    to a scan that is parallel already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session, or the warehouse
+    where that is unset. Intermediate tables go below it on any master."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

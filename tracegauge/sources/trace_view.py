@@ -7,11 +7,9 @@ alike, so an independent engine can build the same table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.session import spread
-
 ROWS_PER_TRACE = 9
 
 CORE = [
@@ -99,11 +97,14 @@ ROW = [
 ]
 
 
-def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table: record_type, start_timestamp, timestamp, trace, record, record_attributes."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def trace_events(events: DataFrame) -> DataFrame:
+    """The event table: record_type, start_timestamp, timestamp, trace, record, record_attributes.
+
+    The narrow rows are dealt out before each becomes nine wide ones, as a file of the test table
+    cannot be split."""
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
-        events.select("*", F.explode(F.sequence(F.lit(0), F.lit(ROWS_PER_TRACE - 1))).alias("n"))
+        events.repartition(parts, "event_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(ROWS_PER_TRACE - 1))).alias("n"))
         .selectExpr(*CORE)
         .selectExpr("*", *FLAT)
         .selectExpr(*ROW)
