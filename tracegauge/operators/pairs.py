@@ -94,30 +94,34 @@ def widest_pairs(spans: DataFrame, top: int, pair: AgentPair = AgentPair()) -> D
         for s, agent in (("a", pair.a), ("b", pair.b))
     }
     lat = F.col("duration_ms")
-    ranges = {s: df.groupBy("user_query").agg(F.min(lat).alias(f"{s}_min"), F.max(lat).alias(f"{s}_max")) for s, df in sides.items()}
+    ranges = {s: df.groupBy("user_query").agg(F.min(lat).alias(f"{s}_min"), F.max(lat).alias(f"{s}_max"), F.count(lat).alias(f"{s}_n")) for s, df in sides.items()}
     widest = F.greatest(F.col("a_max") - F.col("b_min"), F.col("b_max") - F.col("a_min"))
     questions = materialize(
-        ranges["a"].join(ranges["b"], "user_query").orderBy(widest.desc(), F.col("user_query").asc()).limit(top).select("user_query"),
+        ranges["a"].join(ranges["b"], "user_query").orderBy(widest.desc(), F.col("user_query").asc()).limit(top).select("user_query", "a_n", "b_n"),
         "widest-questions",
     )
 
     def extremes(side: str, largest: bool) -> DataFrame:
         # At most `top` questions, so the broadcast is bounded by the caller's parameter.
-        rows = sides[side].join(F.broadcast(questions), "user_query", "left_semi")
+        rows = sides[side].join(F.broadcast(questions), "user_query")
         order = lat.desc() if largest else lat.asc()
         w = Window.partitionBy("user_query").orderBy(order, F.col("record_id").asc())
         return rows.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= top).select(
             "user_query",
-            F.col("_i").alias(f"{side}_i"),
+            F.col("_i").cast("bigint").alias(f"{side}_i"),
+            F.col("b_n" if side == "a" else "a_n").alias("_others"),
             F.col("record_id").alias(f"{side}_record_id"),
             lat.alias(f"{side}_latency_ms"),
             F.left("agent_output", F.lit(200)).alias(f"{side}_response_preview"),
         )
 
     def candidates(a_largest: bool) -> DataFrame:
-        joined = extremes("a", a_largest).join(extremes("b", not a_largest), "user_query")
+        # The j-th row of the other side is wanted for every j up to top / i, so only those pairs are formed.
+        partners = F.sequence(F.lit(1).cast("bigint"), F.least(F.floor(F.lit(top) / F.col("a_i")), "_others"))
+        left = extremes("a", a_largest).withColumn("b_i", F.explode(partners)).drop("_others")
+        joined = left.join(extremes("b", not a_largest).drop("_others"), ["user_query", "b_i"])
         ahead = F.col("a_latency_ms") >= F.col("b_latency_ms") if a_largest else F.col("a_latency_ms") < F.col("b_latency_ms")
-        return joined.filter((F.col("a_i") * F.col("b_i") <= top) & ahead).drop("a_i", "b_i")
+        return joined.filter(ahead).drop("a_i", "b_i")
 
     gap = F.abs(F.col("a_latency_ms") - F.col("b_latency_ms"))
     order = [gap.desc(), F.col("user_query").asc(), F.col("a_record_id").asc(), F.col("b_record_id").asc()]

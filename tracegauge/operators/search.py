@@ -26,7 +26,7 @@ SEEDS = 4
 NO_WORD = ""
 # Words are left to the lookup while they can add up to this share of the bound. A larger share fetches
 # fewer documents, a smaller one drops more of them before the lookup. Any share below 1 is exact.
-LOOKUP_SHARE = 0.5
+LOOKUP_SHARE = 0.9
 
 
 def doc_words(corpus: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,10 +208,15 @@ f1 AS (SELECT record_id, agent_name, run_name, user_query, {r("CASE WHEN x IS NU
 )
 
 
+CORPUS = """SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, d.text || ' Resolution: ' || coalesce('quality ' || CAST(l.quality AS VARCHAR), '') AS corpus_text
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+
 def bm25(where: str, k: int) -> str:
     """Exhaustive scoring: every query against every document that shares a word with it."""
     return f"""
-docs AS MATERIALIZED (SELECT doc_id, lang, source, text, {WORDS.format("text")} AS ws FROM documents WHERE {where}),
+corpus AS ({CORPUS}),
+docs AS MATERIALIZED (SELECT *, {WORDS.format("corpus_text")} AS ws FROM corpus WHERE {where}),
 size AS (SELECT count(*) AS n, avg(len(ws)) AS avg_words FROM docs),
 tokens AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS term FROM docs),
 postings AS (SELECT doc_id, n_words, term, count(*) AS tf FROM tokens GROUP BY 1, 2, 3),
@@ -489,9 +494,9 @@ SELECT o_orderstatus AS category, CAST(date_trunc('quarter', o_orderdate) AS DAT
   CAST(sum(day_resolved) AS BIGINT) AS sum_daily_resolved, {r("avg(day_avg_amount)", 4)} AS daily_avg_amount, max(day_avg_amount) AS daily_max_amount FROM daily GROUP BY 1""",
     "ml_rep_metrics": f"""WITH {REPS} SELECT rep, sum(handled) AS total_handled, sum(returned) AS total_returned, {r("avg(avg_discount)", 6)} AS rep_avg_discount,
   {r("avg(avg_tax)", 6)} AS rep_avg_tax, {r("avg(late_rate)", 6)} AS rep_avg_late_rate FROM reps GROUP BY 1""",
-    "search_topk": f"WITH {bm25('TRUE', 10)} SELECT h.query_id, h.rank, h.doc_id, h.score, d.lang, d.source FROM hits h JOIN docs d ON d.doc_id = h.doc_id",
-    "search_topk_filtered": f"WITH {bm25(LONG_ENGLISH, 5)} SELECT h.query_id, h.rank, h.doc_id, h.score, d.lang, d.source FROM hits h JOIN docs d ON d.doc_id = h.doc_id",
-    "search_grouped": f"""WITH {bm25('TRUE', 20)}, g AS (SELECT h.query_id, md5(d.text) AS text_md5, h.rank, h.doc_id FROM hits h JOIN docs d ON d.doc_id = h.doc_id)
+    "search_topk": f"WITH {bm25('TRUE', 10)} SELECT h.query_id, h.rank, h.doc_id, h.score, d.lang, d.source, d.quality FROM hits h JOIN docs d ON d.doc_id = h.doc_id",
+    "search_topk_filtered": f"WITH {bm25(LONG_ENGLISH, 5)} SELECT h.query_id, h.rank, h.doc_id, h.score, d.lang, d.source, d.quality FROM hits h JOIN docs d ON d.doc_id = h.doc_id",
+    "search_grouped": f"""WITH {bm25('TRUE', 20)}, g AS (SELECT h.query_id, md5(d.corpus_text) AS text_md5, h.rank, h.doc_id FROM hits h JOIN docs d ON d.doc_id = h.doc_id)
 SELECT query_id, text_md5, count(*) AS n_hits, min(rank) AS best_rank, min(doc_id) AS first_id, array_to_string(list_slice(list_sort(list_distinct(list(doc_id))), 1, 3), ',') AS example_ids
 FROM g GROUP BY 1, 2""",
     "score_groundedness": GROUNDED,

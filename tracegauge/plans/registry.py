@@ -280,22 +280,21 @@ def _ml_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search, scoring -------------------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+SHOWN = ("lang", "source", "quality")
 
 
 def _search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), attributes=("lang", "source"))
+    return search.search(_corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), text="corpus_text", attributes=SHOWN)
 
 
 def _search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _documents(spark, sf_dir).filter((F.col("lang") == "en") & (F.col("n_chars") >= 200))
-    return search.search(corpus, table(spark, sf_dir, "benchmark"), k=5, attributes=("lang", "source"))
+    corpus = _corpus(spark, sf_dir).filter((F.col("lang") == "en") & (F.col("n_chars") >= 200))
+    return search.search(corpus, table(spark, sf_dir, "benchmark"), k=5, text="corpus_text", attributes=SHOWN)
 
 
 def _search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=20, attributes=("text",))
-    return search.group_hits(hits.withColumn("text_md5", F.md5("text")), "text_md5")
+    corpus = _corpus(spark, sf_dir).withColumn("text_md5", F.md5("corpus_text"))
+    return search.group_hits(search.search(corpus, table(spark, sf_dir, "benchmark"), k=20, text="corpus_text", attributes=("text_md5",)), "text_md5")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
