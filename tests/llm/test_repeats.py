@@ -69,6 +69,14 @@ def test_bytes(docs_of, seed):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw[i]), gone.sum(), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("places", [0, 3])
+def test_bytes_of_hot_anchors(docs_of, monkeypatch, places):
+    from tracegauge.llm import seeds
+
+    monkeypatch.setattr(seeds, "HOT_PLACES", places)
+    test_bytes(docs_of, 3)
+
+
 def test_expansion_equals_counting():
     rnd = random.Random(1)
     for trial in range(150):

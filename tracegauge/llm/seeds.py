@@ -23,6 +23,10 @@ from tracegauge.llm.common import stored, text_key
 from tracegauge.llm.words import byte_items, pieces, run_hashes, sliding_argmin, word_hashes, word_spans
 
 
+#: Places of an anchor beyond which its windows are no longer brought together in one task.
+HOT_PLACES = 4096
+
+
 class Scheme:
     """What an item is, and how long seeds and windows are."""
 
@@ -102,17 +106,19 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_with_shared_anchors(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, copies, ``hits`` (places of anchors found elsewhere too) and text of every class that has any.
+    """cid, copies, ``hits`` (places of anchors found elsewhere too), text and ``hot`` (places of anchors found
+    at more than HOT_PLACES places) of every class that has any.
 
     The shared anchors are written first: a join can split a hot key only if both sides come from a plain
     shuffle, not from an aggregation in the same stage."""
     places = classes.select("cid", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("cid", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    shared = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
-    hits = places.join(shared, "anchor").groupBy("cid").agg(F.collect_list("place").alias("hits"))
+    shared = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "shared-anchors")
+    lists = [F.collect_list("place").alias("hits"), F.collect_list(F.when(F.col("n") > HOT_PLACES, F.col("place"))).alias("hot")]
+    hits = places.join(shared, "anchor").groupBy("cid").agg(*lists)
     wanted = stored(classes.select("cid", "k1", "k2", "copies").join(hits, "cid"), "hits")
     found = texts.mapInArrow(_once, texts.schema).join(wanted, ["k1", "k2"])
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
-    return stored(found.withColumn("nth", first).filter("nth = 1").select("cid", "copies", "hits", "text"), "shared-texts")
+    return stored(found.withColumn("nth", first).filter("nth = 1").select("cid", "copies", "hits", "text", "hot"), "shared-texts")
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

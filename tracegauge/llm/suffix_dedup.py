@@ -8,7 +8,9 @@ order, and the expansion stops at the minimum length. Neighbours that are still
 at least that many bytes: both places start a repeated string.
 
 Equal segments of an anchor are sent once per task and looked at once; if several places have one, all
-its windows repeat. A task holds about ``TASK_BYTES`` of segments at a time, or one anchor's different ones.
+its windows repeat. A task holds about ``TASK_BYTES`` of segments at a time, and at most ``HOT_PLACES``
+segments of one anchor. The windows of an anchor with more places than that go to a task each, by their
+hash, and are counted there: equal ones are sent once per task, so no group is large.
 
 Defined results: a null or empty text, and one shorter than the minimum, keeps everything. Rows with equal
 texts repeat each other, whatever their ids. An empty table gives an empty result. Other columns are
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.llm.seeds import Scheme, keyed, per_document, text_classes, texts_with_shared_anchors, without_windows
-from tracegauge.llm.words import byte_items, pieces, run_hashes
+from tracegauge.llm.words import mix, pieces, run_hashes
 
 #: Bytes of segments whose transform is built at once.
 TASK_BYTES = 1 << 20
+#: Sets the keys of single windows apart from those of anchors.
+HOT_KEY = np.uint64(0x8EBC6AF09C88C6E3)
 _BITS = 9  # a byte, or the end of a segment
 _PACK = 7  # symbols in one sort key
 
@@ -127,10 +131,16 @@ def _segments(scheme: Scheme, with_bytes: bool):
                 if not len(start):
                     continue
                 anchor = chosen[start]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(start) != 1)]))
+                is_hot = np.zeros(len(items) + 1, bool)
+                for i in range(len(at) - 1):
+                    is_hot[first[i] + batch.column(4)[row + i].values.to_numpy()] = True
+                alone = is_hot[anchor]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(start) != 1) | alone[1:]]))
                 a, b = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])] + scheme.length
                 owner = np.searchsorted(first, a, "right") - 1
-                key, raw = hashes[anchor[new]].view(np.int64), data.tobytes()
+                alone = alone[new]
+                windows = mix(run_hashes(items, scheme.length)[a] ^ HOT_KEY)
+                key, raw = np.where(alone, windows, hashes[anchor[new]]).view(np.int64), data.tobytes()
                 h1, h2 = _digest(items, a, b, scheme.length)
                 if not with_bytes:
                     own = copies[row + owner] == 1
@@ -142,7 +152,7 @@ def _segments(scheme: Scheme, with_bytes: bool):
                     old[1] += m
                 at_ = [k for k, _ in seen.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at_]), pa.array(h1[at_]), pa.array(h2[at_]), pa.array([m for _, m in seen.values()], pa.int64()), pa.array([raw[a[k] : b[k]] for k in at_], pa.binary())],
+                    [pa.array(key[at_]), pa.array(h1[at_]), pa.array(h2[at_]), pa.array([m for _, m in seen.values()], pa.int64()), pa.array([b"" if alone[k] else raw[a[k] : b[k]] for k in at_], pa.binary())],
                     ["anchor", "h1", "h2", "m", "segment"],
                 )
 
@@ -182,7 +192,7 @@ def _expand(length: int):
             group.clear()
             if len(own) == 1:
                 a, x, y, m, s = own[0]
-                return [(a, x, y, np.arange(len(s) - length + 1, dtype=np.int32))] if m > 1 else []
+                return [(a, x, y, np.arange(max(1, len(s) - length + 1), dtype=np.int32))] if m > 1 else []
             pending.extend(own)
             size += sum(len(p[4]) for p in own)
             return []
