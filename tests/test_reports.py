@@ -226,3 +226,12 @@ def test_unknown_agent_has_no_label(make_spans):
 
     row = spans.select(display_name(F.col("agent_name"), pair).alias("x"), display_name(F.col("agent_name"), pair, True).alias("y")).first()
     assert (row.x, row.y) == (None, "other")
+
+
+def test_score_text_that_does_not_parse_counts_as_no_scores(spark):
+    from tracegauge.plans.dashboard import per_query_from_text
+
+    rows = [("q1", 1, 2, '{"coherence":0.5}', None), ("q2", 1, 2, "not json", "")]
+    df = spark.createDataFrame(rows, "user_query string, a_latency_ms int, b_latency_ms int, a_eval_scores string, b_eval_scores string")
+    got = per_query_from_text(df, ("coherence",)).collect()
+    assert [(r.a_coherence, r.b_coherence) for r in got] == [(0.5, None), (None, None)]

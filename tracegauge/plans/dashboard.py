@@ -66,6 +66,14 @@ def per_query_wide(spans: DataFrame, pair: AgentPair = PAIR, metrics: tuple[str,
     return sides.select("user_query", "a_latency_ms", "b_latency_ms", *cells).orderBy("user_query")
 
 
+def per_query_from_text(rows: DataFrame, metrics: tuple[str, ...] = KNOWN_METRICS) -> DataFrame:
+    """The same from rows whose scores are JSON text, as ``exec_with_traces`` gives them. Missing text
+    and text that does not parse count as no scores."""
+    read = lambda s: F.from_json(f"{s}_eval_scores", "map<string,double>")
+    cells = [F.try_element_at(read(s), F.lit(m)).alias(f"{s}_{m}") for s in "ab" for m in metrics]
+    return rows.select("user_query", "a_latency_ms", "b_latency_ms", *cells).orderBy("user_query")
+
+
 def metric_detail(spans: DataFrame, pair: AgentPair = PAIR) -> DataFrame:
     rows = ev.scored(ev.both_agents(spans, (pair.a, pair.b))).select(
         "agent_name", replaced_metric(F.col("metric")).alias("metric"), "score"

@@ -39,6 +39,7 @@ spans AS MATERIALIZED (SELECT
   json_extract_string(trace, '$.trace_id') AS trace_id,
   json_extract_string(record, '$.severity_text') AS severity,
   {_text("obs.agent.name")} AS agent_name,
+  {_text("obs.agent.type")} AS agent_type,
   {_text("obs.span_type")} AS span_type,
   {_text("obs.record_id")} AS record_id,
   {_text("obs.root.input")} AS user_query,
@@ -320,7 +321,7 @@ SELECT metric, count(*) FILTER (o = 'A_WIN') AS a_wins, count(*) FILTER (o = 'B_
 FROM outcome GROUP BY 1 ORDER BY 1"""
     ),
     "extract_spans": on_spans("SELECT * EXCLUDE (start_ts, end_ts), epoch_us(start_ts) AS start_us FROM spans"),
-    "src_agent_events": on_spans(f"SELECT {SPAN_TEXT}, duration_ms FROM spans WHERE agent_name = 'AGENT_A'"),
+    "src_agent_events": on_spans(f"SELECT {SPAN_TEXT}, duration_ms FROM spans WHERE agent_name = 'AGENT_A' AND agent_type = 'NATIVE AGENT'"),
     "src_all_events": on_spans(f"SELECT {SPAN_TEXT}, duration_ms FROM spans"),
     "src_events_of_run": on_spans(f"SELECT {SPAN_TEXT}, duration_ms FROM spans WHERE run_name = 'RUN_1'"),
     "src_eval_run_latest": on_spans(
@@ -519,3 +520,4 @@ SELECT *, {band("score")} AS band FROM f"""
         f"""{PLACED} SELECT trace_id, {r("avg(CASE WHEN contains(line, ' | ') THEN 1 ELSE 0 END)", 4)} AS score, count(*) FILTER (contains(line, ' | ')) AS n_shown, count(*) AS n_steps FROM lines GROUP BY 1"""
     ),
 }
+ORACLE["d03_scores_from_text"] = ORACLE["d03_per_query_wide"]

@@ -53,12 +53,12 @@ def _scan_columns(df: DataFrame) -> DataFrame:
 
 
 def _src_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan_columns(scans.agent_events(spans(spark, sf_dir), PAIR.a))
+    return _scan_columns(scans.agent_events(spans(spark, sf_dir), PAIR.a, "NATIVE AGENT"))
 
 
 def _src_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
-    return _scan_columns(scans.all_events(scans.agent_events(s, PAIR.a), scans.agent_events(s, PAIR.b)))
+    return _scan_columns(scans.all_events(scans.agent_events(s, PAIR.a, "NATIVE AGENT"), scans.agent_events(s, PAIR.b, "EXTERNAL AGENT")))
 
 
 def _src_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "d01_exec_with_traces": _on_spans(dash.exec_with_traces),
     "d02_scorecard_short": _on_spans(dash.scorecard_short),
     "d03_per_query_wide": _on_spans(dash.per_query_wide),
+    "d03_scores_from_text": lambda spark, sf_dir: dash.per_query_from_text(dash.exec_with_traces(spans(spark, sf_dir))),
     "d04_metric_detail": _on_spans(dash.metric_detail),
     "d05_bucket_facets": _on_spans(dash.bucket_facets),
     "d06_root_latency": _on_spans(dash.root_latency),

@@ -16,6 +16,7 @@ class AttributeKeys:
     """Typed column -> attribute name. Several names separated by ``|`` are tried in turn."""
 
     agent_name: str = "obs.agent.name"
+    agent_type: str = "obs.agent.type"
     span_type: str = "obs.span_type"
     record_id: str = "obs.record_id"
     user_query: str = "obs.root.input"
@@ -60,6 +61,17 @@ PRESENCE = {
     "has_orchestration": "orchestration_ms",
 }
 
+EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("record_type", T.StringType()),
+        T.StructField("start_timestamp", T.TimestampType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("trace", T.StringType()),
+        T.StructField("record", T.StringType()),
+        T.StructField("record_attributes", T.StringType()),
+    ]
+)
+
 SPAN_SCHEMA = T.StructType(
     [
         T.StructField("record_type", T.StringType()),

@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegauge.operators.ordering import ranked_head
+from tracegauge.sources.attributes import EVENT_SCHEMA
 
 
-def agent_events(spans: DataFrame, agent: str) -> DataFrame:
-    """All rows of one agent. On the stored span table this reads that agent's folders only."""
-    return spans.filter(F.col("agent_name") == agent)
+def event_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored event table (Parquet), ready for ``extract_spans``."""
+    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+
+
+def agent_events(spans: DataFrame, agent: str, agent_type: str | None = None) -> DataFrame:
+    """All rows of one agent, or of the one with this type where several share a name. On the stored span
+    table this reads that agent's folders only."""
+    rows = spans.filter(F.col("agent_name") == agent)
+    return rows if agent_type is None else rows.filter(F.col("agent_type") == agent_type)
 
 
 def all_events(*scans: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ def _when(condition: str, text: str) -> str:
 ATTRIBUTES = " || ".join(
     [
         """'{"obs.agent.name":"' || agent_name || '","obs.record_id":"' || record_id || '"'""",
+    """',"obs.agent.type":"' || CASE agent_name WHEN 'AGENT_A' THEN 'NATIVE AGENT' ELSE 'EXTERNAL AGENT' END || '"'""",
         # The run name is stored under an older attribute name in a third of the traces.
         """CASE WHEN event_id % 3 = 2 THEN ',"obs.legacy.run.name":"RUN_' ELSE ',"obs.run.name":"RUN_' END || CAST(event_id % 3 AS STRING) || '"'""",
         _when("span_type IS NOT NULL", """',"obs.span_type":"' || span_type || '"'"""),
