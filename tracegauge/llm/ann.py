@@ -102,26 +102,25 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(scalars)], [*batch.schema.names, "code", "scalar"])
 
     coded = stored(rows.mapInArrow(code, "vec_id long, vector array<double>, dim int, row long, code binary, scalar double"), "codes")
-    asked = coded.filter(is_query).select("vec_id", "vector", "dim", "row")
+    # New names: columns of one table on both sides of a cogroup confuse Spark's column pruning.
+    asked = coded.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("dim").alias("query_dim"), F.col("row").alias("query_row"))
     sizes = coded.agg(F.count("*"), F.count_if(is_query)).first()
     shards, groups = max(1, -(-sizes[0] // shard_rows)), max(1, -(-sizes[1] // group_queries))
-    left = coded.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    keys = ["dim", "shard", "group"]
+    left = coded.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = asked.withColumn("group", F.pmod(F.xxhash64("query_row"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def cell(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
         if len(candidates) and len(queries):
             dim = candidates["dim"][0].as_py()
-            matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            numbers = lambda t: t["row"].to_numpy()
+            matrix = lambda column: column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
             ids = candidates["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
             codes = np.frombuffer(b"".join(candidates["code"].to_pylist()), np.uint8).reshape(len(candidates), -1)
-            found = reranked(codes, candidates["scalar"].to_numpy(), matrix(candidates), ids, numbers(candidates), matrix(queries), numbers(queries), k, bits, seed, deviations)
+            found = reranked(codes, candidates["scalar"].to_numpy(), matrix(candidates["vector"]), ids, candidates["row"].to_numpy(), matrix(queries["query"]), queries["query_row"].to_numpy(), k, bits, seed, deviations)
         q, c, s = zip(*found) if found else ((), (), ())
         pick = lambda t, name, at: t[name].combine_chunks().take(pa.array(at, pa.int64())) if len(t) else pa.array([], pa.int64())
-        return pa.table({"query_row": pick(queries, "row", q), "query_id": pick(queries, "vec_id", q), "vec_id": pick(candidates, "vec_id", c), "score": pa.array(s, pa.float64())})
+        return pa.table({"query_row": pick(queries, "query_row", q), "query_id": pick(queries, "query_id", q), "vec_id": pick(candidates, "vec_id", c), "score": pa.array(s, pa.float64())})
 
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "query_row long, query_id long, vec_id long, score double")
+    best = left.groupBy("dim", "shard", "group").cogroup(right.groupBy("query_dim", "shard", "group")).applyInArrow(cell, "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
