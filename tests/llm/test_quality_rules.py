@@ -36,7 +36,7 @@ def test_measures(docs_of):
         r, m = got[i], measures(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
         assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
-        assert r.kept == (not r.base_failed)  # one host tells nothing about hosts; its rate is below the limit
+        assert r.kept == (not r.base_failed)  # one host is no worse than all hosts
 
 
 def test_bad_host_goes_and_small_host_is_drawn_to_the_rest(docs_of):

@@ -106,7 +106,7 @@ def test_dropout_varies_and_decodes(docs_of):
             seen.setdefault(r.doc_id, set()).add(tuple(r.ids))
     again = {r.doc_id: tuple(r.ids) for r in encode(docs, PIECES, dropout=0.3, seed=2).collect()}
     assert all(again[i] in seen[i] for i in again)
-    assert len(seen[4]) == 2 and len(seen[13]) == 2
+    assert sum(len(x) == 2 for x in seen.values()) >= 6
     assert len(Model(PIECES).segment(" understanding")) < len(Model(PIECES).segment(" understanding", 2**63, 9))
     digests = round_trip(docs, PIECES).collect()
     assert {r.doc_id: r.n_chars for r in digests} == {i: len(t or "") for i, t in enumerate(TEXTS)}

@@ -123,7 +123,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if tag == "br" and parts:
                 parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             end_block()
         if m[1]:
             for depth in range(len(stack) - 1, 0, -1):
@@ -135,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE and len(stack) > 1:
+        if tag not in INLINE and tag not in RAW and len(stack) > 1:
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = stack[depth].tag
                 if open_tag == "p" or (open_tag in SELF_CLOSING and open_tag == tag):

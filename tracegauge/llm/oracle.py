@@ -38,7 +38,7 @@ a AS (
 v AS (
   SELECT source, bool_or(CASE WHEN alike >= 1 THEN f / n
                               WHEN alike > 0 THEN (f + (1 / alike - 1) * mean) / (n + 1 / alike - 1)
-                              ELSE mean END > 0.8) AS host_rejected
+                              ELSE mean END > 0.8 AND f / n > mean) AS host_rejected
   FROM h JOIN a USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(host_rejected, false) AS kept, coalesce(host_rejected, false) AS host_rejected

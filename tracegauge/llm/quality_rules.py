@@ -2,7 +2,8 @@
 
 Every document is measured by itself. The failures of each rule are then added up by host, the rate of
 each host is drawn towards the rate of all hosts by a beta prior fitted to the hosts themselves, and a
-host whose shrunk rate of any rule is above the limit is rejected with all its documents.
+host whose shrunk rate of any rule is above the limit, and above the rate of all hosts, is rejected with all
+its documents.
 
 Only column expressions are used. A text is measured inside its own row, so no word is shuffled; what
 is shuffled is one small row of sums for each host and task.
@@ -74,7 +75,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.8) -> DataFrame:
-    """One row per host: documents, failures and shrunk rate of each rule, and ``host_rejected``.
+    """One row per host: documents, failures and shrunk rate of each rule, and ``host_rejected``: whether a
+    shrunk rate is above ``max_rate`` and the host fails more often than all hosts together.
 
     The prior of a rule is a beta distribution with the mean of all documents and the strength that the
     spread between hosts implies (one-way analysis of variance on the failures). Equal hosts give an
@@ -97,7 +99,7 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.8) -> Data
     rejected = []
     for r in RULES:
         out = out.withColumn(f"rate_{r}", _shrunk(r))
-        rejected.append(F.col(f"rate_{r}") > max_rate)
+        rejected.append((F.col(f"rate_{r}") > max_rate) & (F.col(f"f_{r}") / n > F.col(f"t_{r}") / F.col("docs")))
     out = out.withColumn("host_rejected", reduce(lambda a, b: a | b, rejected))
     return out.select("host", "n", *[f"f_{r}" for r in RULES], *[f"rate_{r}" for r in RULES], "host_rejected")
 
@@ -105,12 +107,12 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.8) -> Data
 def _shrunk(rule: str) -> Column:
     f, n, docs, hosts = F.col(f"f_{rule}"), F.col("n"), F.col("docs"), F.col("hosts")
     mean = F.col(f"t_{rule}") / docs
-    between = (F.col(f"q_{rule}") - F.col(f"t_{rule}") * mean) / (hosts - 1)
-    within = (F.col(f"t_{rule}") - F.col(f"q_{rule}")) / (docs - hosts)
-    size = (docs - F.col("nn") / docs) / (hosts - 1)
-    alike = (between - within) / (between + (size - 1) * within)  # correlation inside a host
+    between = F.try_divide(F.col(f"q_{rule}") - F.col(f"t_{rule}") * mean, hosts - 1)
+    within = F.try_divide(F.col(f"t_{rule}") - F.col(f"q_{rule}"), docs - hosts)
+    size = F.try_divide(docs - F.col("nn") / docs, hosts - 1)
+    alike = F.try_divide(between - within, between + (size - 1) * within)  # correlation inside a host
     # rate = (f + s * mean) / (n + s) with strength s = 1 / alike - 1, written without dividing by alike
-    pulled = (f * alike + (1 - alike) * mean) / (n * alike + (1 - alike))
+    pulled = F.try_divide(f * alike + (1 - alike) * mean, n * alike + (1 - alike))
     spread = (hosts > 1) & (docs > hosts) & (alike > 0)
     return F.when(spread, F.when(alike >= 1, f / n).otherwise(pulled)).otherwise(mean)
 
