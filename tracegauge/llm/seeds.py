@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored, text_key
+from tracegauge.llm.sent_texts import SENT, send_once, unpacked
 from tracegauge.llm.words import byte_items, pieces, run_hashes, sliding_argmin, word_hashes, word_spans
 
 
@@ -91,22 +92,8 @@ def text_classes(texts: DataFrame, scheme: Scheme) -> DataFrame:
     return stored(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop copies within a task, so that a text with very many copies is sent once per task."""
-    seen: set = set()
-    for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        new = []
-        for k in keys:
-            new.append(k not in seen)
-            seen.add(k)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        yield batch if all(new) else batch.filter(pa.array(new))
-
-
 def texts_with_shared_anchors(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, copies, ``hits`` (places of anchors found elsewhere too), text and ``hot`` (places of anchors found
+    """cid, copies, ``hits`` (places of anchors found elsewhere too), ``packed`` text and ``hot`` (places of anchors found
     at more than HOT_PLACES places) of every class that has any.
 
     The shared anchors are written first: a join can split a hot key only if both sides come from a plain
@@ -116,9 +103,9 @@ def texts_with_shared_anchors(texts: DataFrame, classes: DataFrame) -> DataFrame
     lists = [F.collect_list("place").alias("hits"), F.collect_list(F.when(F.col("n") > HOT_PLACES, F.col("place"))).alias("hot")]
     hits = places.join(shared, "anchor").groupBy("cid").agg(*lists)
     wanted = stored(classes.select("cid", "k1", "k2", "copies").join(hits, "cid"), "hits")
-    found = texts.mapInArrow(_once, texts.schema).join(wanted, ["k1", "k2"])
+    found = texts.mapInArrow(send_once, SENT).join(wanted, ["k1", "k2"])
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
-    return stored(found.withColumn("nth", first).filter("nth = 1").select("cid", "copies", "hits", "text", "hot"), "shared-texts")
+    return stored(found.withColumn("nth", first).filter("nth = 1").select("cid", "copies", "hits", "packed", "hot"), "shared-texts")
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +120,7 @@ def _cut(scheme: Scheme) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, digests, kept = [], [], [], []
-            for row, data, at in pieces(batch.column(1)):
+            for row, data, at in pieces(unpacked(batch.column(1))):
                 _, start, end, first = scheme.items(data, at)
                 raw = data.tobytes()
                 for i in range(len(at) - 1):
@@ -162,7 +149,7 @@ def without_windows(classes: DataFrame, shared: DataFrame, repeated: DataFrame,
     """k1, k2, n, n_removed, n_spans, digest and ``kept_text`` (null: the text as it is) of every class, from
     the ``starts`` of repeated windows (cid, array) of classes without copies."""
     starts = repeated.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    cut = shared.select("cid", "text").join(starts, "cid").mapInArrow(_cut(scheme), "cid long, n_removed long, n_spans long, kept_digest string, kept_text string")
+    cut = shared.select("cid", "packed").join(starts, "cid").mapInArrow(_cut(scheme), "cid long, n_removed long, n_spans long, kept_digest string, kept_text string")
     all_gone = (F.col("copies") > 1) & (F.col("n") >= scheme.length)
     none = hashlib.sha256(b"").hexdigest()
     return stored(

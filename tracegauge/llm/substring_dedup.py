@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored
 from tracegauge.llm.seeds import Scheme, keyed, per_document, text_classes, texts_with_shared_anchors, with_cut_text, without_windows
+from tracegauge.llm.sent_texts import unpacked
 from tracegauge.llm.words import pieces, run_hashes
 
 
@@ -32,7 +33,7 @@ def _extend(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, data, at in pieces(batch.column(3)):
+            for row, data, at in pieces(unpacked(batch.column(3))):
                 items, _, _, first = scheme.items(data, at)
                 _, chosen, whole = scheme.anchors(items, first)
                 hit = np.zeros(len(items) + 1, bool)

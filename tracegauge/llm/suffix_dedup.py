@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.llm.seeds import Scheme, keyed, per_document, text_classes, texts_with_shared_anchors, without_windows
+from tracegauge.llm.sent_texts import unpacked
 from tracegauge.llm.words import mix, pieces, run_hashes
 
 #: Bytes of segments whose transform is built at once.
@@ -121,7 +122,7 @@ def _segments(scheme: Scheme, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, data, at in pieces(batch.column(3)):
+            for row, data, at in pieces(unpacked(batch.column(3))):
                 items, _, _, first = scheme.items(data, at)
                 hashes, chosen, whole = scheme.anchors(items, first)
                 hit = np.zeros(len(items) + 1, bool)
