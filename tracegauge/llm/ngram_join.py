@@ -7,11 +7,12 @@ has to pass this filter under three orders before it is verified:
 
 1. by hash: a set goes on if its prefix, lengthened by a tenth, shares enough tokens with other sets;
 2. by frequency among the sets that went on, rarest first: a set needs ceil(t * n) tokens that others have,
-   and candidates are those that meet in the prefix of its rarest tokens;
+   and candidates are those that meet in the prefix of its rarest tokens, early enough for the rest to
+   hold what is needed, and whose token parities do not show too many differences;
 3. by another hash: candidates must also share a token of these prefixes.
 
 Equal sets are one class before the join. Components need no pair that they already imply: a class is first
-verified against one leader of each of its prefix tokens, in several rounds with other leaders, and only
+verified against one leader of each of its prefix tokens, in two rounds with different leaders, and only
 classes of a token that are still apart are then compared with all others of it. No link is lost: every
 candidate pair is either verified or inside one component.
 
@@ -31,7 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored, text_key
-from tracegauge.llm.components import components
+from tracegauge.llm.components import components, smallest_within_two
+from tracegauge.llm.sent_texts import SENT, send_once, unpacked
 from tracegauge.llm.words import mix, pieces, run_hashes, word_hashes, word_spans
 
 #: Bits of a token that the first filter looks at; tokens that agree in them can only add candidates.
@@ -39,7 +41,10 @@ SHORT_BITS = 48
 #: Percent of the set by which the first prefix is longer than it must be.
 EXTRA = 10
 #: Rounds of leaders.
-ROUNDS = 3
+ROUNDS = 2
+#: Numbers of 64 parity bits that stand for the shared tokens of a set.
+SIGNS = 8
+INDEX = ["token", "cid", "n", "place", "alone", *[f"s{i}" for i in range(SIGNS)]]
 
 
 def _sets(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -88,13 +93,13 @@ def _sign(size: int, percent: int, with_prefix: bool):
 
 
 def _whole_sets(size: int, percent: int):
-    """cid, text -> cid, n, tokens and the prefix under the third order."""
+    """cid, packed -> cid, n, tokens and the prefix under the third order."""
     other = np.uint64(0xE7037ED1A0B428DB)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, sets, thirds = [], [], []
-            for _, data, at in pieces(batch.column(1)):
+            for _, data, at in pieces(unpacked(batch.column(1))):
                 for tokens in _sets(data, at, size):
                     n = len(tokens)
                     ns.append(n)
@@ -123,29 +128,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def _fit(percent: int) -> Column:
-    """Sizes na and nb that allow the similarity."""
-    return (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+def _index(percent: int):
+    """cid, n, shared (tokens that others have, rarest first) -> one row for each token of the prefix under
+    the second order, with its place there, the number of tokens that no other set has (``alone``) and
+    the parities of the shared tokens, dealt to 64 * SIGNS bits by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            bit = (mix(flat) >> np.uint64(40)).astype(np.int64) % (64 * SIGNS)
+            kept, rows, places, signs = [], [], [], np.zeros((len(cids), SIGNS), np.int64)
+            for i, (n, x, y) in enumerate(zip(sizes, ends[:-1], ends[1:])):
+                k = int(y - x) - -(-int(n) * percent // 100) + 1
+                kept.append(flat[x : x + k])
+                rows.append(np.full(k, i))
+                places.append(np.arange(k) + n - (y - x))
+                odd = (np.bincount(bit[x:y], minlength=64 * SIGNS) & 1).astype(np.uint8)
+                signs[i] = np.packbits(odd).view(np.int64)
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            columns = [np.concatenate(kept).view(np.int64) if kept else row, cids[row], sizes[row], np.concatenate(places) if places else row, (sizes - np.diff(ends))[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *signs[row].T]], INDEX)
+
+    return run
+
+
+def _close(percent: int) -> Column:
+    """Whether two rows of a token can belong to similar sets: by their sizes, by what is left behind the
+    token in both, and by the tokens that surely stand in one set only."""
+    size = F.col("n_a") + F.col("n_b")
+    common = F.ceil(size * percent / (100 + percent))
+    fit = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    behind = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= common
+    apart = F.col("alone_a") + F.col("alone_b")
+    for i in range(SIGNS):
+        apart = apart + F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b")))
+    return fit & behind & (apart <= size - 2 * common)
 
 
 def _linked(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, component of classes that have a link, from the candidates' index (token, cid, n)."""
+    """cid, component of classes that have a link, from the candidates' index (rows of INDEX)."""
     spark, tested, links, labels = index.sparkSession, None, None, None
+    own = [*INDEX[1:], "component"]
+    side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in own])
+    differ = F.col("component_a") != F.col("component_b")
     for turn in range(ROUNDS + 1):
         here = index.withColumn("component", F.col("cid")) if labels is None else index.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         if labels is not None:
             apart = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-            here = here.join(apart, "token")
-        a = here.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        lead = F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")))
-        b = here.groupBy("token").agg(lead.alias("l")).select("token", "l.b", "l.nb", "l.cb")
+            here = stored(here.join(apart, "token"), "apart")
+        leader = F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *own))
+        leaders = stored(here.groupBy("token").agg(leader.alias("l")).select("token", "l.*").drop("h"), "leaders")
         if turn < ROUNDS:
-            pairs = a.join(b, "token").filter((F.col("ca") != F.col("cb")) & _fit(percent))
+            pairs = side(here, "a").join(side(leaders, "b"), "token").filter(differ & _close(percent))
         else:  # all that are still apart: those outside the leader's component with the rest of the token
-            outside = a.join(b.select("token", "cb"), "token").filter("ca <> cb").drop("cb")
-            rest = here.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(b.select("token", F.col("cb").alias("main")), "token")
-            pairs = outside.join(rest, "token").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fit(percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            mains = leaders.select("token", F.col("component").alias("main"))
+            outside = side(here.join(mains, "token").filter("component <> main").drop("main"), "a")
+            rest = side(here, "b").join(mains, "token")
+            once = (F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b"))
+            pairs = stored(outside, "outside").join(stored(rest, "rest"), "token").filter(differ & once & _close(percent))
+        pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -156,10 +199,19 @@ def _linked(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         found = stored(_verified(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
-        labels = stored(components(links), "components").withColumnRenamed("node", "cid")
-    if labels is None:
+        if turn < ROUNDS:
+            labels = stored(smallest_within_two(links), "labels").withColumnRenamed("node", "cid")
+    if links is None:
         return spark.createDataFrame([], "cid long, component long")
-    return labels
+    if labels is None:
+        return components(links).withColumnRenamed("node", "cid")
+    # Links inside a label say nothing new, and those between two labels count once.
+    for c in "ab":
+        links = links.join(labels.select(F.col("cid").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    between = links.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    joined = stored(components(between), "components").select(F.col("node").alias("label"), F.col("component").alias("whole"))
+    ends = links.select(F.col("a").alias("cid"), F.col("la").alias("label")).union(links.select("b", "lb")).distinct()
+    return ends.join(joined, "label", "left").select("cid", F.coalesce("whole", "label").alias("component"))
 
 
 def _classes_and_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -171,27 +223,19 @@ def _classes_and_components(docs: DataFrame, size: int, percent: int) -> DataFra
 
     near = _shared_tokens(classes, "prefix").filter(F.size("shared") > F.floor(_need(F.col("n"), percent) * EXTRA / 100))
     wanted = stored(near.select("cid").join(classes.select("cid", "k.k1", "k.k2"), "cid"), "first-filter")
-    texts = docs.select("k1", "k2", "text").mapInArrow(_once, "k1 long, k2 long, text string").join(wanted, ["k1", "k2"])
-    one = texts.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).filter("nth = 1").select("cid", "text")
+    texts = docs.select("k1", "k2", "text").mapInArrow(send_once, SENT).join(wanted, ["k1", "k2"])
+    one = texts.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).filter("nth = 1").select("cid", "packed")
     sets = stored(one.mapInArrow(_whole_sets(size, percent), "cid long, n long, tokens array<long>, third array<long>"), "whole-sets")
 
     need, have = _need(F.col("n"), percent), F.size("shared")
-    rare = _shared_tokens(sets, "tokens").filter(have >= need)
-    index = rare.select("cid", "n", F.explode(F.slice("shared", 1, have - need.cast("int") + 1)).alias("s")).select(F.col("s.token").alias("token"), "cid", "n")
+    rare = _shared_tokens(sets, "tokens").filter(have >= need).select("cid", "n", F.transform("shared", lambda x: x["token"]).alias("shared"))
+    index = rare.mapInArrow(_index(percent), ", ".join(f"{c} long" for c in INDEX))
     linked = _linked(stored(index, "index"), sets, percent)
     own = classes.select("f1", "f2", "cid", "least").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = own.groupBy("component").agg(F.min("least").alias("component_id"))
     return stored(own.select("f1", "f2", "component").join(names, "component"), "set-components")
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop copies within a batch, so that a text with very many copies is not sent for each of them."""
-    for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        first = dict(zip(reversed(keys), range(len(keys) - 1, -1, -1)))
-        yield batch if len(first) == len(keys) else batch.take(pa.array(sorted(first.values())))
-
-
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
