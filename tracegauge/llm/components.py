@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from tracegauge.llm.common import stored
 
 
-def smallest_within_two(links: DataFrame) -> DataFrame:
-    """node, component: the smallest node within two links. Nodes with the same one are in one component;
-    the reverse need not hold. For links that all lead to a few leaders it nearly does, in one job."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    near = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.join(near.withColumnRenamed("u", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("m").alias("component"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``links`` (a, b; longs).
 

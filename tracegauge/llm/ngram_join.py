@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored, text_key
-from tracegauge.llm.components import components, smallest_within_two
+from tracegauge.llm.components import components
 from tracegauge.llm.sent_texts import SENT, send_once, unpacked
 from tracegauge.llm.words import mix, pieces, run_hashes, word_hashes, word_spans
 
@@ -169,7 +169,7 @@ def _close(percent: int) -> Column:
 
 def _linked(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """cid, component of classes that have a link, from the candidates' index (rows of INDEX)."""
-    spark, tested, links, labels = index.sparkSession, None, None, None
+    spark, tested, labels = index.sparkSession, None, None
     own = [*INDEX[1:], "component"]
     side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in own])
     differ = F.col("component_a") != F.col("component_b")
@@ -197,21 +197,24 @@ def _linked(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 continue
             break
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        if turn < ROUNDS:
-            labels = stored(smallest_within_two(links), "labels").withColumnRenamed("node", "cid")
-    if links is None:
-        return spark.createDataFrame([], "cid long, component long")
+        labels = _merged(labels, stored(_verified(pairs, sets, percent), "links"))
+    return spark.createDataFrame([], "cid long, component long") if labels is None else labels
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """cid, component after more links. Those inside a component say nothing new, and those between two
+    components count once."""
+    ends = links.select(F.col("a").alias("cid")).union(links.select("b")).distinct()
     if labels is None:
-        return components(links).withColumnRenamed("node", "cid")
-    # Links inside a label say nothing new, and those between two labels count once.
+        nodes = ends.withColumn("component", F.col("cid"))
+    else:
+        nodes = labels.union(ends.join(labels, "cid", "left_anti").withColumn("component", F.col("cid")))
+    nodes = stored(nodes, "nodes")
     for c in "ab":
-        links = links.join(labels.select(F.col("cid").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+        links = links.join(nodes.select(F.col("cid").alias(c), F.col("component").alias(f"l{c}")), c)
     between = links.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    joined = stored(components(between), "components").select(F.col("node").alias("label"), F.col("component").alias("whole"))
-    ends = links.select(F.col("a").alias("cid"), F.col("la").alias("label")).union(links.select("b", "lb")).distinct()
-    return ends.join(joined, "label", "left").select("cid", F.coalesce("whole", "label").alias("component"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return stored(nodes.join(joined, "component", "left").select("cid", F.coalesce("whole", "component").alias("component")), "components")
 
 
 def _classes_and_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
