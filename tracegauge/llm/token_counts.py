@@ -21,19 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.llm.pretokens import Cache, Units, tokenizer
+from tracegauge.llm.pretokens import Encoder, Units, n_ids
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """Numbers of tokens of the commonest units of a bounded sample."""
+    """Numbers of tokens of the commonest words of a bounded sample, each with a space before it."""
     counts: Counter = Counter()
-    units = Units(path)
     for row in docs.select(text).limit(sample_rows).toLocalIterator():
         if row[0]:
-            counts.update(units.of(row[0]))
-    common = [u for u, _ in counts.most_common(table_size)]
-    t = tokenizer(path)
-    return {u: len(x.ids) for u, x in zip(common, t.encode_batch(common, add_special_tokens=False))}
+            counts.update(w for w in row[0].split(" ")[1:] if Units.sound(w))
+    units = Units(path)
+    common = [w for w, _ in counts.most_common(table_size) if not units.special_in(w)]
+    return {w: n_ids(units.word_ids(w)) for w in common}
 
 
 def token_counts(
@@ -44,22 +43,19 @@ def token_counts(
     limit: int = 512,
     sample_rows: int = 1000,
     table_size: int = 32768,
-    cache_size: int = 500_000,
+    cache_size: int = 300_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and ``over_limit`` (more than ``limit`` tokens) of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, "text", path, sample_rows, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, units = tokenizer(path), Units(path)
-        cache = Cache(lambda new: (len(x.ids) for x in t.encode_batch(new, add_special_tokens=False)), cache_size, table.value)
+        encoder = Encoder(path, n_ids, cache_size, table.value)
         for batch in batches:
             sizes, tokens = [], []
             for text in batch.column(1).to_pylist():
-                found = Counter(units.of(text)) if text else Counter()
-                known = cache.fill(found)
                 sizes.append(len(text.encode()) if text else 0)
-                tokens.append(sum(known[u] * n for u, n in found.items()))
+                tokens.append(sum(encoder.values(text)) if text else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
