@@ -18,10 +18,12 @@ alike. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegauge.llm.common import text_key
-from tracegauge.llm.pretokens import Cache
+from tracegauge.llm.pretokens import Memo
 
 MARK = "▁"
+#: Units up to this length keep their agenda in a list instead of a heap.
+SHORT = 40
+#: Stands for a pair that makes no piece.
+NONE = float("-inf")
 
 
 class Model:
@@ -67,6 +73,8 @@ class Model:
         n, score = len(unit), self.score
         if n == 1:
             return [unit]
+        if n <= SHORT:
+            return self._short(unit, rate, key)
         symbols, before, after = list(unit), list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = []
         for i in range(n - 1):
@@ -95,6 +103,27 @@ class Model:
                     heapq.heappush(agenda, (-s, front, symbols[front] + piece, left))
         return [s for s in symbols if s]
 
+    def _short(self, unit: str, rate: int, key: int) -> list[str]:
+        """The same for a short unit: the agenda is a list of scores, one for each pair of neighbours."""
+        get, symbols, at = self.score.get, list(unit), list(range(len(unit)))
+        agenda = [get(a + b, NONE) for a, b in zip(unit, unit[1:])]
+        while agenda:
+            best = max(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            piece = symbols[i] + symbols[i + 1]
+            if rate and xxhash.xxh3_64_intdigest(f"{at[i]} {len(symbols[i])} {piece} {unit}", key) < rate:
+                agenda[i] = NONE
+                continue
+            symbols[i] = piece
+            del symbols[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(piece + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + piece, NONE)
+        return symbols
+
     def ids(self, unit: str, rate: int = 0, key: int = 0) -> bytes:
         out = []
         for piece in self.segment(unit, rate, key):
@@ -105,35 +134,43 @@ class Model:
                 out.append(i)
         return np.array(out, "<i4").tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode()[1:]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 300_000) -> DataFrame:
-    """doc_id and ``ids`` of every row."""
+class Encoder:
+    """Encodes texts in one task; ``variant`` picks one of the segmentations of a seed."""
+
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, cache_size: int) -> None:
+        self.model, rate = Model(path), int(dropout * 2**64)
+        keys = [xxhash.xxh3_64_intdigest(f"{seed} {v}") for v in range(variants)]
+        self.known = [Memo(lambda u, k=k: self.model.ids(u, rate, k), cache_size) for k in keys]
+
+    def packed(self, text: str | None, variant: int) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
+        return b"".join(map(self.known[variant].__getitem__, self.model.units.findall(" " + text))) if text else b""
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, dropout: float, variants: int) -> tuple[DataFrame, str]:
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be at least 0 and below 1")
-    rate = int(dropout * 2**64)
     _, which = text_key(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(which, F.lit(variants)).cast("int").alias("variant"))
+    return rows, rows.schema["doc_id"].dataType.simpleString()
+
+
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 200_000) -> DataFrame:
+    """doc_id and ``ids`` of every row."""
+    rows, id_type = _rows(docs, doc_id, text, dropout, variants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
-        keys = [xxhash.xxh3_64_intdigest(f"{seed} {v}") for v in range(variants)]
-        caches = [Cache(lambda new, k=k: (model.ids(u, rate, k) for u in new), cache_size) for k in keys]
+        encoder = Encoder(path, dropout, seed, variants, cache_size)
         for batch in batches:
-            parts, ends, total = [], [0], 0
-            for text, variant in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if text:
-                    units = model.units.findall(" " + text)
-                    ids = b"".join(map(caches[variant].fill(set(units)).__getitem__, units))
-                    parts.append(ids)
-                    total += len(ids) // 4
-                ends.append(total)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            parts = [encoder.packed(t, v) for t, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 
 
@@ -151,16 +188,21 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and n_chars of the decoded text."""
-    decoded = decode(encode(docs, path, doc_id, text, **options), path)
-    id_type = decoded.schema["doc_id"].dataType.simpleString()
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 200_000) -> DataFrame:
+    """Every row encoded and decoded in one task: doc_id, n_ids, ids_crc32 (of little-endian 32-bit ids),
+    decoded_sha256 and n_chars of the decoded text."""
+    rows, id_type = _rows(docs, doc_id, text, dropout, variants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, dropout, seed, variants, cache_size)
         for batch in batches:
-            flat, ends = batch.column(1).flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), batch.column(2)], ["doc_id", "n_ids", "ids_crc32", "decoded"])
-
-    digests = decoded.mapInArrow(run, f"doc_id {id_type}, n_ids long, ids_crc32 long, decoded string")
-    return digests.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("n_chars"))
+            out: list[list] = [[], [], [], []]
+            for own, variant in zip(batch.column(1), batch.column(2).to_pylist()):
+                packed = encoder.packed(own.as_py(), variant)
+                decoded = encoder.model.decode(array("i", packed)) if packed else ""
+                for to, x in zip(out, (len(packed) // 4, zlib.crc32(packed), hashlib.sha256(decoded.encode()).hexdigest(), len(decoded))):
+                    to.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "n_chars"])
+
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_ids long, ids_crc32 long, decoded_sha256 string, n_chars long")
