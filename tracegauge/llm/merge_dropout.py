@@ -159,7 +159,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str, dropout: float, variants: int
     return rows, rows.schema["doc_id"].dataType.simpleString()
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 500_000) -> DataFrame:
     """doc_id and ``ids`` of every row."""
     rows, id_type = _rows(docs, doc_id, text, dropout, variants)
 
@@ -188,7 +188,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 200_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 500_000) -> DataFrame:
     """Every row encoded and decoded in one task: doc_id, n_ids, ids_crc32 (of little-endian 32-bit ids),
     decoded_sha256 and n_chars of the decoded text."""
     rows, id_type = _rows(docs, doc_id, text, dropout, variants)
