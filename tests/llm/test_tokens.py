@@ -6,8 +6,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
-from tracegauge.llm.merge_dropout import Model, decode, encode, round_trip
+from tracegauge.llm.merge_dropout import Encoder, Model, Skips, decode, encode, round_trip
 from tracegauge.llm.packing import combinations, fullest, pack, pieces, sequences
 from tracegauge.llm.pretokens import tokenizer
 from tracegauge.llm.token_counts import token_counts
@@ -112,6 +113,41 @@ def test_dropout_varies_and_decodes(docs_of):
     assert {r.doc_id: r.n_chars for r in digests} == {i: len(t or "") for i, t in enumerate(TEXTS)}
 
 
+def test_every_occurrence_has_its_own_skips(docs_of):
+    texts = ["understanding " * 400] * 3
+    rows = decode(encode(docs_of(texts), PIECES, dropout=0.3), PIECES).collect()
+    assert all(r.decoded == texts[0] for r in rows) and len({tuple(r.ids) for r in rows}) == 3
+    model, rate = Model(PIECES), int(0.3 * 2**64)
+    skips = Skips(rate)
+    units = model.units.findall(" " + texts[0])
+    for cache_size in (1, 10, 1000):
+        encoder, seen = Encoder(PIECES, 0.3, 7, cache_size), set()
+        for document in (5, "x"):
+            keys = skips.keys(xxhash.xxh3_64_intdigest(f"7 {document}"), len(units)).tolist()
+            pieces = [model.segment(u, rate, k) for u, k in zip(units, keys)]
+            assert encoder.packed(texts[0], document) == b"".join(map(model.packed, pieces))
+            seen |= {tuple(p) for p in pieces}
+        assert len(seen) > 20
+
+
+def test_share_of_skips():
+    for rate in (0.0001, 0.1, 0.9):
+        skips = Skips(int(rate * 2**64))
+        keys = skips.keys(3, 2000)
+        numbers = [[*skips.of(k, "x" * 100)] for k in keys.tolist()]
+        assert all(a == sorted(set(a)) and all(0 <= x < 300 for x in a) for a in numbers)
+        n, want = sum(map(len, numbers)), rate * 300 * 2000
+        assert abs(n - want) < 5 * (want * (1 - rate)) ** 0.5
+        assert all(g == (a[0] if a and a[0] < 64 else 64) for g, a in zip(skips.first(keys).tolist(), numbers))
+
+
+def test_long_units_decode():
+    model = Model(PIECES)
+    for unit in ("understanding" * 300, "w" * 41, "é日x" * 30):
+        for rate in (0, 2**62, 2**63):
+            assert "".join(model.segment(unit, rate, 5)) == unit
+
+
 def test_empty_table(docs_of):
     docs = docs_of(["x"]).limit(0)
     assert token_counts(docs, BPE).count() == 0 and pack(pieces(docs, BPE)).count() == 0 and round_trip(docs, PIECES).count() == 0

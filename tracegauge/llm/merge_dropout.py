@@ -2,18 +2,20 @@
 
 A text is encoded as the library does it: pairs of neighbouring symbols stand in an agenda ordered by the
 score of the piece they make, the leftmost first among equals, and are merged until none is left. With a
-dropout rate, each candidate merge that comes up is skipped if a keyed hash of the seed, the variant, the
-two symbols and their place falls below the rate. So one seed gives one segmentation, other seeds and
-the variants (a text's own hash picks one) give others, and every one decodes to the same text.
+dropout rate, each candidate merge that comes up is skipped with that chance, independently of all others.
+The chances are drawn from a keyed hash of the seed, the document's id and the place of the word in its
+text. So one seed gives one result, every occurrence of a word and every copy of a text under another id is
+segmented by itself, and every segmentation decodes to the same text.
 
 No piece joins a character to a space behind it, so a run of spaces with the word behind it is encoded by
-itself, and each worker keeps the segmentations it has made, up to a bound.
+itself. Draws are taken as the numbers of the candidates that are skipped: the segmentation of a word depends
+on these numbers alone, so each worker keeps the ones it has made by word and numbers, up to a bound.
 
 Decoding is exact for every text: characters without a piece become byte pieces, and so does U+2581, which
 the library would take for a space. With rate 0 the ids are the library's for all texts without U+2581.
 
-Defined results: a null or empty text has no ids and decodes to an empty text. Repeated rows are encoded
-alike. An empty table gives an empty result. Other columns are ignored.
+Defined results: a null or empty text has no ids and decodes to an empty text. Repeated rows (equal id and
+text) are encoded alike. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +36,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegauge.llm.common import text_key
 from tracegauge.llm.pretokens import Memo
 
 MARK = "▁"
 #: Units up to this length keep their agenda in a list instead of a heap.
 SHORT = 40
+#: Segmentations with skips are kept for units up to this length.
+KEPT = 16
+#: Skips are drawn for so many candidates at once.
+AHEAD = 64
 #: Stands for a pair that makes no piece.
 NONE = float("-inf")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed permutation of the 64-bit numbers that spreads neighbours (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Skips:
+    """Which candidates are skipped at one rate, drawn as gaps: the number of candidates before the next skip."""
+
+    def __init__(self, rate: int) -> None:
+        chance = rate / 2**64
+        self.bounds = [min(int((1 - (1 - chance) ** (k + 1)) * 2**64), 2**64 - 1) for k in range(AHEAD)]
+        self.table = np.array(self.bounds, np.uint64)
+
+    def keys(self, key: int, n: int) -> np.ndarray:
+        """Keys of the ``n`` occurrences of a document."""
+        return _mixed(np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """The first gap of each occurrence; AHEAD stands for none among so many."""
+        return np.searchsorted(self.table, keys, "right")
+
+    def of(self, key: int, unit: str) -> Iterator[int]:
+        """The numbers of the skipped candidates of one occurrence, in order. A unit has fewer than three for each character."""
+        at, end = bisect_right(self.bounds, key), 3 * len(unit)
+        gap = at
+        while at < end:
+            if gap < AHEAD:
+                yield at
+                at += 1
+            key = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"))
+            gap = bisect_right(self.bounds, key)
+            at += gap
+
+
 class Model:
     """Pieces of a model file; in them a space is a space."""
 
@@ -69,12 +113,18 @@ class Model:
         self.units = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in p for p in self.id) else r" *[^ ]+| +")
 
     def segment(self, unit: str, rate: int = 0, key: int = 0) -> list[str]:
-        """The pieces of one unit; ``rate`` of 2**64 candidate merges is skipped."""
+        """The pieces of one unit; ``rate`` of 2**64 candidate merges is skipped, drawn by ``key``."""
+        return self.without(unit, Skips(rate).of(key, unit) if rate else iter(()))[0]
+
+    def without(self, unit: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """The pieces of one unit, without the candidate merges whose numbers, in order, are in ``skips``, and
+        how many candidates came up."""
         n, score = len(unit), self.score
         if n == 1:
-            return [unit]
+            return [unit], 0
         if n <= SHORT:
-            return self._short(unit, rate, key)
+            return self._short(unit, skips)
+        number, skip = 0, next(skips, -1)
         symbols, before, after = list(unit), list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = []
         for i in range(n - 1):
@@ -87,7 +137,9 @@ class Model:
             a, b = symbols[left], symbols[right]
             if not a or not b or after[left] != right or len(a) + len(b) != len(piece):
                 continue
-            if rate and xxhash.xxh3_64_intdigest(f"{left} {len(a)} {piece} {unit}", key) < rate:
+            number += 1
+            if number - 1 == skip:
+                skip = next(skips, -1)
                 continue
             symbols[left], symbols[right] = piece, ""
             behind = after[left] = after[right]
@@ -101,72 +153,110 @@ class Model:
                 s = score.get(symbols[front] + piece)
                 if s is not None:
                     heapq.heappush(agenda, (-s, front, symbols[front] + piece, left))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], number
 
-    def _short(self, unit: str, rate: int, key: int) -> list[str]:
+    def _short(self, unit: str, skips: Iterator[int]) -> tuple[list[str], int]:
         """The same for a short unit: the agenda is a list of scores, one for each pair of neighbours."""
-        get, symbols, at = self.score.get, list(unit), list(range(len(unit)))
+        get, symbols, number, skip = self.score.get, list(unit), 0, next(skips, -1)
         agenda = [get(a + b, NONE) for a, b in zip(unit, unit[1:])]
         while agenda:
             best = max(agenda)
             if best == NONE:
                 break
             i = agenda.index(best)
-            piece = symbols[i] + symbols[i + 1]
-            if rate and xxhash.xxh3_64_intdigest(f"{at[i]} {len(symbols[i])} {piece} {unit}", key) < rate:
-                agenda[i] = NONE
+            number += 1
+            if number - 1 == skip:
+                agenda[i], skip = NONE, next(skips, -1)
                 continue
-            symbols[i] = piece
-            del symbols[i + 1], at[i + 1], agenda[i]
+            piece = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(piece + symbols[i + 1], NONE)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + piece, NONE)
-        return symbols
-
-    def ids(self, unit: str, rate: int = 0, key: int = 0) -> bytes:
-        out = []
-        for piece in self.segment(unit, rate, key):
+        return symbols, number
+
+    def packed(self, pieces: list[str]) -> bytes:
+        """The ids of pieces as little-endian 32-bit numbers."""
+        try:
+            return array("i", map(self.id.__getitem__, pieces)).tobytes()
+        except KeyError:
+            out = []
+        for piece in pieces:
             i = self.id.get(piece)
             if i is None:
                 out += [self.byte_ids[b] for b in piece.encode()]
             else:
                 out.append(i)
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode()[1:]
 
 
 class Encoder:
-    """Encodes texts in one task; ``variant`` picks one of the segmentations of a seed."""
-
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, cache_size: int) -> None:
-        self.model, rate = Model(path), int(dropout * 2**64)
-        keys = [xxhash.xxh3_64_intdigest(f"{seed} {v}") for v in range(variants)]
-        self.known = [Memo(lambda u, k=k: self.model.ids(u, rate, k), cache_size) for k in keys]
-
-    def packed(self, text: str | None, variant: int) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        return b"".join(map(self.known[variant].__getitem__, self.model.units.findall(" " + text))) if text else b""
-
-
-def _rows(docs: DataFrame, doc_id: str, text: str, dropout: float, variants: int) -> tuple[DataFrame, str]:
+    """Encodes texts in one task."""
+
+    def __init__(self, path: str, dropout: float, seed: int, cache_size: int) -> None:
+        self.model, self.seed = Model(path), seed
+        self.skips = Skips(int(dropout * 2**64)) if int(dropout * 2**64) else None
+        #: Without skips, by unit; and with skips, by unit and the numbers that came up and were skipped.
+        self.known = Memo(lambda unit: self._made(unit, []), cache_size)
+        self.varied, self.room = {}, cache_size
+
+    def _made(self, unit: str, numbers: list[int]) -> tuple[int, bytes]:
+        """The number of candidates of a unit that come up, of which ``numbers`` are skipped, and its ids."""
+        pieces, candidates = self.model.without(unit, iter(numbers))
+        return candidates, self.model.packed(pieces)
+
+    def _with_skips(self, unit: str, key: int) -> bytes:
+        """The ids of one occurrence."""
+        if len(unit) > KEPT:
+            return self.model.packed(self.model.without(unit, self.skips.of(key, unit))[0])
+        skips, made, held = self.skips.of(key, unit), self.known.get(unit), (unit,)
+        while made:
+            number = next(skips, sys.maxsize)
+            if number >= made[0]:
+                return made[1]
+            held += (number,)
+            made = self.varied.get(held)
+        numbers = [*self.skips.of(key, unit)]
+        made = self._made(unit, numbers)
+        used = [x for x in numbers if x < made[0]]
+        keep = self.varied if used else self.known
+        if len(keep) >= self.room:
+            keep.clear()
+        keep[(unit, *used) if used else unit] = made
+        return made[1]
+
+    def packed(self, text: str | None, document: object) -> bytes:
+        """The ids of the text of a document as little-endian 32-bit numbers."""
+        if not text:
+            return b""
+        units = self.model.units.findall(" " + text)
+        if not self.skips:
+            return b"".join([self.known[unit][1] for unit in units])
+        keys = self.skips.keys(xxhash.xxh3_64_intdigest(f"{self.seed} {document}"), len(units))
+        known = map(self.known.get, units, repeat((sys.maxsize, b"")))
+        rows = zip(units, known, self.skips.first(keys).tolist(), keys.tolist())
+        return b"".join([made[1] if gap >= made[0] else self._with_skips(unit, key) for unit, made, gap, key in rows])
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, dropout: float) -> tuple[DataFrame, str]:
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be at least 0 and below 1")
-    _, which = text_key(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(which, F.lit(variants)).cast("int").alias("variant"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows, rows.schema["doc_id"].dataType.simpleString()
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, cache_size: int = 500_000) -> DataFrame:
     """doc_id and ``ids`` of every row."""
-    rows, id_type = _rows(docs, doc_id, text, dropout, variants)
+    rows, id_type = _rows(docs, doc_id, text, dropout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, dropout, seed, variants, cache_size)
+        encoder = Encoder(path, dropout, seed, cache_size)
         for batch in batches:
-            parts = [encoder.packed(t, v) for t, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            parts = [encoder.packed(t.as_py(), d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -188,17 +278,17 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 2, cache_size: int = 500_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, cache_size: int = 500_000) -> DataFrame:
     """Every row encoded and decoded in one task: doc_id, n_ids, ids_crc32 (of little-endian 32-bit ids),
     decoded_sha256 and n_chars of the decoded text."""
-    rows, id_type = _rows(docs, doc_id, text, dropout, variants)
+    rows, id_type = _rows(docs, doc_id, text, dropout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, dropout, seed, variants, cache_size)
+        encoder = Encoder(path, dropout, seed, cache_size)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for own, variant in zip(batch.column(1), batch.column(2).to_pylist()):
-                packed = encoder.packed(own.as_py(), variant)
+            for document, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packed = encoder.packed(own.as_py(), document)
                 decoded = encoder.model.decode(array("i", packed)) if packed else ""
                 for to, x in zip(out, (len(packed) // 4, zlib.crc32(packed), hashlib.sha256(decoded.encode()).hexdigest(), len(decoded))):
                     to.append(x)
