@@ -46,3 +46,21 @@ def test_header_inside_an_article_is_text():
     found = blocks("<html><body><header>Site</header><article class=a1><header class=entry-header><h1>Head</h1></header><p>Body text</article></body></html>")
     assert [t for _, t, _ in found] == ["Head", "Body text"]
     assert best_container(found)[0] == "/html/body/article.a0"
+
+
+def texts(page):
+    return [t for _, t, _ in blocks(page)]
+
+
+def test_svg_ends_where_browsers_end_it():
+    assert texts('<body><p>One <svg class="i" /> two</p><p>Three</p><svg><path d="x"/><text>no</text></svg><p>Four') == ["One two", "Three", "Four"]
+    assert texts("<body><svg width=1/><p>One</p><svg><g/><p>Two</p><svg></svg>") == ["One", "Two"]
+    assert texts("<body><svg><foreignObject><div>no</div></foreignObject></svg><p>One") == ["One"]
+
+
+def test_names_alone_do_not_hide_most_of_a_page():
+    for name in ("commentary", "social-policy", "side", "share-prices"):
+        assert texts(f"<body><p>Intro</p><div class='{name}'><p>{'A long article. ' * 9}</p><div class=share>Share it</div></div>") == ["Intro", ("A long article. " * 9).strip()]
+    for name in ("side", "social", "related", "comment", "comments", "commentlist", "comment-12"):
+        assert texts(f"<body><p>{'A long article. ' * 9}</p><div class='{name}'>Beside it</div>") == [("A long article. " * 9).strip()]
+    assert texts(f"<body><p>Short</p><div class=comments>{'A reader says this. ' * 9}</div>") == ["Short"]

@@ -36,9 +36,13 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 #: Words in a class or id that mark menus, notices, adverts, comments and the like.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|alert|alerts|advert\w*|adbox|banner|breadcrumbs?|comments?|comment\w*|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|sidebars|side|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget\w*)(?:[\s_-]|$)",
+    r"(?:^|[\s_-])(?:ad|ads|alert|alerts|advert\w*|adbox|banner|breadcrumbs?|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|sidebars|side|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget\w*)(?:[\s_-]|$)",
     re.I,
 )
+#: The same for comments and consent, which are furniture even where they are most of a page.
+NEVER_TEXT = re.compile(r"(?:^|[\s_-])(?:comments?\d*|commentlist|commentform|cookies?|consent|disqus|gdpr|replies|reply|respond)(?:[\s_-]|$)", re.I)
+#: Tags that end an <svg> they stand in.
+_OUT_OF_SVG = re.compile(r"</svg\s*>|<foreignobject\b|<(?:p|div|h[1-6]|ul|ol|dl|table|pre|blockquote|span|img|body)(?=[\s/>])", re.I)
 #: A header above the article; inside it a header is part of the text.
 HEADER = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|$)", re.I)
 #: Roles with the same meaning.
@@ -52,21 +56,24 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link")
+    __slots__ = ("tag", "path", "skip", "link", "named")
 
-    def __init__(self, tag: str, path: str, skip: bool, link: bool) -> None:
-        self.tag, self.path, self.skip, self.link = tag, path, skip, link
+    def __init__(self, tag: str, path: str, skip: bool, link: bool, named: tuple[int, ...] = ()) -> None:
+        #: ``named`` has a number for each element around the text whose class or id marks furniture.
+        self.tag, self.path, self.skip, self.link, self.named = tag, path, skip, link, named
 
 
-def _child(parent: Node, tag: str, attributes: str) -> Node:
+def _child(parent: Node, tag: str, attributes: str, number: int) -> Node:
     if tag in INLINE and not (parent.skip or attributes):
-        return Node(tag, parent.path, False, parent.link or tag == "a")
-    skip, names, main = parent.skip or tag in RAW or tag in ASIDE, "", bool(_MAIN.search(parent.path))
+        return Node(tag, parent.path, False, parent.link or tag == "a", parent.named)
+    marked, skip, names, main = False, parent.skip or tag in RAW or tag in ASIDE, "", bool(_MAIN.search(parent.path))
     if attributes and not skip:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                skip = skip or tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(value) or (not main and HEADER.search(value)))
+                if tag not in ("body", "html", "article", "main"):
+                    skip = skip or bool(NEVER_TEXT.search(value))
+                    marked = marked or bool(FURNITURE.search(value) or (not main and HEADER.search(value)))
                 if key == "class":
                     names = "." + ".".join(sorted(_DIGITS.sub("0", value).split()))
             elif key == "role":
@@ -75,13 +82,28 @@ def _child(parent: Node, tag: str, attributes: str) -> Node:
                 skip = True
     if tag == "header" and not main:
         skip = True
-    return Node(tag, parent.path if tag in INLINE else f"{parent.path}/{tag}{names}", skip, parent.link or tag == "a")
+    if tag in INLINE:
+        return Node(tag, parent.path, skip or marked, parent.link or tag == "a", parent.named)
+    return Node(tag, f"{parent.path}/{tag}{names}", skip, parent.link or tag == "a", (*parent.named, number) if marked else parent.named)
+
+
+def _without_named(found: list[tuple[str, str, int]], around: list[tuple[int, ...]]) -> list[tuple[str, str, int]]:
+    """The blocks outside elements that are furniture by name. One with most of the page's text outside links is not."""
+    if not any(around):
+        return found
+    total, held = 0, {}
+    for (_, text, linked), named in zip(found, around):
+        total += len(text) - linked
+        for number in named:
+            held[number] = held.get(number, 0) + len(text) - linked
+    return [block for block, named in zip(found, around) if all(2 * held[number] > total for number in named)]
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path of the block, text, characters in links) of each block outside furniture, in page order."""
     out: list[tuple[str, str, int]] = []
-    stack, parts, linked, place = [Node("", "", False, False)], [], 0, ""
+    around: list[tuple[int, ...]] = []
+    stack, parts, linked, place, named = [Node("", "", False, False)], [], 0, "", ()
 
     def end_block() -> None:
         nonlocal linked
@@ -89,18 +111,19 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 out.append((place, text, linked))
+                around.append(named)
             parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal place, linked
+        nonlocal place, linked, named
         top = stack[-1]
         if not raw or top.skip:
             return
         if not parts:
             if raw.isspace():
                 return
-            place = top.path
+            place, named = top.path, top.named
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if top.link:
@@ -143,7 +166,14 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     break
                 if open_tag not in INLINE:
                     break
-        node = _child(stack[-1], tag, m[3])
+        node = _child(stack[-1], tag, m[3], m.start())
+        if tag == "svg":
+            if not m[3].endswith("/") or re.search(r"=\s*[^\s\"']+/$", m[3]):
+                end = _OUT_OF_SVG.search(page, at)
+                if end and end[0].lower() == "<foreignobject":
+                    end = re.compile(r"</svg\s*>", re.I).search(page, at)
+                at = n if end is None else end.end() if end[0][1] == "/" else end.start()
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
@@ -151,7 +181,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if not m[3].endswith("/") or tag not in ("path", "use"):
             stack.append(node)
     end_block()
-    return out
+    return _without_named(out, around)
 
 
 def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
