@@ -64,3 +64,22 @@ def test_names_alone_do_not_hide_most_of_a_page():
     for name in ("side", "social", "related", "comment", "comments", "commentlist", "comment-12"):
         assert texts(f"<body><p>{'A long article. ' * 9}</p><div class='{name}'>Beside it</div>") == [("A long article. " * 9).strip()]
     assert texts(f"<body><p>Short</p><div class=comments>{'A reader says this. ' * 9}</div>") == ["Short"]
+
+
+def test_text_beside_the_best_box(spark):
+    entry = "<div class=entry>" + "<p>A paragraph of the article. </p>" * 99 + "</div>"
+    post = f"<body><div class=wrap><div class=post><h1>Headline</h1>{entry}<div class=box><p>A box.</p></div></div></div>"
+    flat = f"<body><h1>Headline</h1><p>Lead.</p>{entry}<div class=teasers><p>See more.</p></div>"
+    rows = [(i, "http://a.example/", post) for i in range(3)] + [(i, "http://b.example/", flat) for i in range(3, 6)]
+    article = "A paragraph of the article.\n" * 98 + "A paragraph of the article."
+    for r in extract(pages(spark, rows)).collect():
+        assert r.text == (f"Headline\n{article}\nA box." if r.page_id < 3 else f"Headline\nLead.\n{article}")
+
+
+def test_two_templates_on_a_host(spark):
+    one = "<body><div class=story><p>" + "A long story. " * 30 + "</p></div>"
+    two = "<body><div class=story><p>One line.</p></div><div class=review><p>" + "A long review. " * 30 + "</p></div>"
+    rows = [(i, "http://a.example/", one) for i in range(5)] + [(i, "http://a.example/", two) for i in range(5, 8)]
+    got = {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
+    assert all(got[i] == ("A long story. " * 30).strip() for i in range(5))
+    assert all(got[i] == "One line.\n" + ("A long review. " * 30).strip() for i in range(5, 8))

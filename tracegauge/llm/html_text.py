@@ -2,9 +2,12 @@
 
 A page is read into blocks of text, each with its container: the path of tags and classes from the root,
 in generalised form (digits become 0, positions are left out). Containers of a page are scored by
-the text they hold outside links. Every page votes for its best container; votes are added up by host and
-the path with the most weight wins. Each page is then extracted again with its host's winning path.
-A page without that path (or without a host) falls back to its own best container.
+the text they hold outside links; the best one is widened to the boxes around it in which it makes up most of
+the text. Every page votes for its container; votes are added up by host and the path with the most pages
+wins. Each page is then extracted again with its host's winning path, with headings and paragraphs that
+stand beside it in the body. A page without that path (or without a host) falls back to its own container.
+Where the winner holds less than half as much as a page's own container, and two pages of the host or more
+voted for that, the page gets the text of both.
 
 Defined results: null or empty html gives an empty text. A null or unparsable url is no host. Repeated rows
 vote and are extracted once each. Unclosed tags, stray end tags, comments and pages that break off
@@ -51,6 +54,9 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.I)
 _MAIN = re.compile(r"/(?:article|main)(?:[./]|$)")
+#: The body, and headings and paragraphs directly in it.
+_TOP = re.compile(r"(?:/html(?:\.[^/]*)?)?(?:/body(?:\.[^/]*)?)?")
+_BESIDE = re.compile(_TOP.pattern + r"/(?:h[1-6]|p)(?:\.[^/]*)?")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
@@ -200,12 +206,38 @@ def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | Non
         return None
     named = lambda c: 2.0 if c and _MAIN.search(c[c.rindex("/") :]) else 1.0
     best = max(scores, key=lambda c: (scores[c] * named(c), -len(c), c))
-    return best, scores[best]
+    best = _widened(found, best)
+    return best, scores.get(best, 0.0)
 
 
-def text_under(found: list[tuple[str, str, int]], container: str) -> str:
+def _worth(found: list[tuple[str, str, int]], container: str) -> int:
     inside = container + "/"
-    return "\n".join(text for path, text, _ in found if path.startswith(inside) or path == container)
+    return sum(max(0, len(text) - 2 * linked) for path, text, linked in found if path.startswith(inside) or path == container)
+
+
+def _widened(found: list[tuple[str, str, int]], best: str) -> str:
+    """The outermost box around ``best``, below the body, that adds text to it and of which it has at least half."""
+    own, wide, held, outer = _worth(found, best), best, _worth(found, best), best
+    while outer.count("/") > 1 and not _TOP.fullmatch(outer):
+        outer = outer[: outer.rindex("/")]
+        if not outer or _TOP.fullmatch(outer):
+            break
+        worth = _worth(found, outer)
+        if 2 * own < worth:
+            break
+        if worth > held:
+            wide, held = outer, worth
+    return wide
+
+
+def text_under(found: list[tuple[str, str, int]], container: str, *others: str) -> str:
+    """The blocks in the containers, in page order, and headings and paragraphs beside them in the body."""
+    containers = (container, *others)
+    inside = tuple(c + "/" for c in containers)
+    held = [path.startswith(inside) or path in containers for path, _, _ in found]
+    if not any(held):
+        return ""
+    return "\n".join(text for (path, text, linked), own in zip(found, held) if own or (2 * linked < len(text) and _BESIDE.fullmatch(path)))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -227,19 +259,25 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     votes = rows.filter(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html").mapInArrow(vote, "host string, path string, weight double")
     tally = votes.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("weight").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("weight"), "path"))
-    winners = stored(tally.withColumn("rank", rank).filter("rank = 1").select("host", F.col("path").alias("winner")), "winners")
+    ranked = tally.withColumn("rank", rank).filter("rank = 1 or pages > 1")
+    others = F.collect_set(F.when(F.col("rank") > 1, F.col("path"))).alias("others")
+    winners = stored(ranked.groupBy("host").agg(F.max(F.when(F.col("rank") == 1, F.col("path"))).alias("winner"), others), "winners")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, used = [], []
-            for text, winner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, winner, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 found = blocks(text) if text else []
                 own = text_under(found, winner) if winner is not None else ""
-                if not own and (best := best_container(found)):
-                    winner, own = best[0], text_under(found, best[0])
+                if not own or others:
+                    best = best_container(found)
+                    if best and not own:
+                        winner, own = best[0], text_under(found, best[0])
+                    elif best and best[0] in others and 2 * _worth(found, winner) < _worth(found, best[0]):
+                        winner, own = best[0], text_under(found, winner, best[0])
                 texts.append(own)
                 used.append(winner if own else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(used, pa.string())], ["page_id", "url", "text", "n_chars", "container"])
 
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner").mapInArrow(read, f"page_id {id_type}, url string, text string, n_chars long, container string")
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner", "others").mapInArrow(read, f"page_id {id_type}, url string, text string, n_chars long, container string")
