@@ -4,7 +4,8 @@ Numbers and dates that pass their own check (Luhn, mod 97, octets, number plan,
 another value of the same format: a keyed Feistel network permutes the values of the format, so equal
 values stay equal in all documents, different ones stay different, and the result passes the same check.
 Punctuation stays where it is. E-mail addresses, access keys and passwords are no numbers; they get a keyed
-digest, of the same length for keys and passwords.
+digest, of the same length for keys and passwords. Hexadecimal strings are equal in either case and keep theirs.
+Spaces around the = of a password are accepted if its value has a digit, 8 characters or more and no brackets.
 
 | found | check | permuted |
 |-|-|-|
@@ -32,8 +33,8 @@ DAYS_LEFT, DAYS_RIGHT = 17, 4297
 EMAIL = r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey)=[^\s\"'&;,]+"
-HEX_SECRET = r"(?<=\")[0-9a-f]{40}(?=\")"
+PASSWORD = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_key|apikey)(?:=[^\s\"'&;,]+| *= *(?=[^\s\"'&;,=()]*[0-9])[^\s\"'&;,=()]{8,}+(?![(=]))"
+HEX_SECRET = r"(?<=\")[0-9a-fA-F]{40}(?=\")"
 DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9])"
 IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
@@ -157,14 +158,15 @@ def _digest(kind: str, value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     """The replacement of one found string; itself where it does not pass the check of its format."""
     whole = lambda kind: value.rlike("^(?:" + KINDS[kind].replace("(?<=\\\")", "").replace("(?=\\\")", "") + ")$")
-    head = F.regexp_extract(value, r"^([a-z_]+=)", 1)
+    head = F.regexp_extract(value, r"^([A-Za-z_]+(?:=| *= *))", 1)
     secret = F.substring(value, F.length(head) + 1, F.length(value))
     stretched = F.repeat(_digest("password", secret, key), F.ceil(F.length(value) / 64).cast("int"))
+    hexadecimal = F.substring(_digest("hex_secret", F.lower(value), key), 1, 40)
     new = (
         F.when(whole("email"), F.concat(F.lit("user-"), F.substring(_digest("email", F.lower(value), key), 1, 16), F.lit("@example.invalid")))
         .when(whole("access_key"), F.concat(F.substring(value, 1, 4), F.upper(F.substring(_digest("access_key", value, key), 1, 16))))
         .when(whole("password"), F.concat(head, F.substring(stretched, F.lit(1), F.length(secret))))
-        .when(whole("hex_secret"), F.substring(_digest("hex_secret", value, key), 1, 40))
+        .when(whole("hex_secret"), F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(hexadecimal)).otherwise(hexadecimal))
         .when(whole("date"), _date(value, key))
         .when(whole("ip"), _ip(value, key))
         .when(whole("ssn"), _ssn(value, key))
@@ -179,7 +181,7 @@ def _replaced(text: Column, key: str) -> tuple[Column, Column]:
     between = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(between, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-    maybe = text.rlike("[0-9@=]")
+    maybe = text.rlike("[0-9@=]|AKIA|ASIA|[A-Fa-f]{40}")
     return F.when(maybe, joined).otherwise(text), F.when(maybe, changed).otherwise(0)
 
 
