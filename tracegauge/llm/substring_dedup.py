@@ -1,9 +1,9 @@
-"""Removal of repeated word sequences by seed and extend.
+"""Removal of repeated word sequences by counting the windows around shared anchors.
 
-Texts are joined on winnowed anchors. From every shared anchor the match is extended to both sides: the
-windows that reach from it to the left and to the right are compared, each by its hash, with those
-at the other places of the anchor, and the extension holds as far as they are found there too. Overlapping
-and adjoining windows merge into maximal repeats of at least ``length`` words, which are removed.
+This stands in for seed and extend: no two places are joined, and no match is extended from its anchor. Anchors
+are a filter: every window of ``length`` words whose winnowed anchor occurs twice gives its hash, and hashes
+that occur twice are repeats. Overlapping and adjoining windows merge into maximal repeats of at least
+``length`` words, which are removed.
 
 Comparing windows by hash takes time in proportion to the places of an anchor and not to its pairs, and
 counts are summed within tasks before the shuffle, so an anchor that a third of all texts share is no
