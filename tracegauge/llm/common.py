@@ -43,3 +43,11 @@ def text_key(text: Column) -> list[Column]:
     work on repeated rows and copies is done once, whatever ids the rows carry."""
     t = F.coalesce(text, F.lit(""))
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(2654435769), t).alias("k2")]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Fix a result with its partitions and their order in the shared folder, for passes that rely on both."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{_base(df.sparkSession)}/checkpoints")
+    return df.checkpoint()

@@ -45,4 +45,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN v USING (source)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1}
+
+
+def _way(state: str, letters: str, cost: str, lines: str, condition: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL AND {condition} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {letters}, 'o': list_concat({state}.o, {lines})}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _stay(state: str, initial: str, inserted: str = "") -> str:
+    """The row stays with this role, after an inserted one if that is named."""
+    role = {"u": "user", "a": "assistant"}[initial]
+    fits, insert = f"r.initial = '{initial}'", f"'{inserted}:', " if inserted else ""
+    line = f"[{insert}CASE WHEN {fits} THEN r.role ELSE '{role}' END || ':' || r.text]"
+    letters = f"'{'I' if inserted else ''}' || CASE WHEN {fits} THEN 'K' ELSE 'R' END"
+    return _way(state, letters, f"CASE WHEN {fits} THEN 0 ELSE 2 END + r.broken + {2 if inserted else 0}", line, "NOT r.gone")
+
+
+def _drop(state: str) -> str:
+    return _way(state, "'D'", "3", "[]", "true")
+
+
+_STATE = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+
+OP12 = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS nm
+  FROM conversations),
+drawn AS (
+  SELECT *, xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, len(nm) + 1), lambda i: [CAST(ascii(nm[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), CAST(4294967295 AS BIGINT)) % 20 AS draw
+  FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE draw <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_replace(text, '[ 	-]+$', '') AS body, left(role, 1) AS initial
+  FROM damaged),
+r AS (
+  SELECT *, body = '' AS blank, body <> '' AND nth > 1 AS twice, body = '' OR nth > 1 AS gone,
+         CAST(body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS BIGINT) AS broken,
+         CAST(i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS BIGINT) AS unlawful
+  FROM placed),
+v AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 'o': []}} AS {_STATE}) AS s0,
+         CAST(NULL AS {_STATE}) AS s1, CAST(NULL AS {_STATE}) AS s2, CAST(NULL AS {_STATE}) AS s3
+  FROM conversations
+  UNION ALL
+  SELECT v.conv_id, r.i, {_best(_drop("s0"))},
+         {_best(_drop("s1"), _way("s0", "'K'", "r.broken", "[r.role || ':' || r.text]", "NOT r.gone AND r.initial = 's'"))},
+         {_best(_drop("s2"), _stay("s0", "u"), _stay("s1", "u"), _stay("s3", "u"), _stay("s2", "u", "assistant"))},
+         {_best(_drop("s3"), _stay("s2", "a"), _stay("s0", "a", "user"), _stay("s1", "a", "user"), _stay("s3", "a", "user"))}
+  FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i + 1),
+ends AS (
+  SELECT conv_id, i, {_best("s0", "s3", _way("s2", "'I'", "2", "['assistant:']", "true"), _way("s1", "'II'", "4", "['user:', 'assistant:']", "true"))} AS best
+  FROM v),
+last AS (SELECT conv_id, arg_max(best, i) AS best FROM ends GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(twice) AS duplicate,
+         sum(broken) AS truncated, sum(unlawful) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT last.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit,
+       sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM last LEFT JOIN counts ON last.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS original FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op12_conversation_repair": OP12, "op13_warc": OP13}

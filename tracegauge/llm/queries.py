@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegauge.llm.ann import nearest
+from tracegauge.llm.conversation_repair import repair_damaged
 from tracegauge.llm.html_text import extract
 from tracegauge.llm.merge_dropout import round_trip
 from tracegauge.llm.ngram_join import similar_documents
@@ -19,6 +20,7 @@ from tracegauge.llm.quality_rules import quality_rules
 from tracegauge.llm.substring_dedup import dedup_words
 from tracegauge.llm.suffix_dedup import dedup_bytes
 from tracegauge.llm.token_counts import token_counts
+from tracegauge.llm.warc import archive_round_trip
 
 #: Stands in for the secret that a real run passes.
 PSEUDONYM_KEY = "key for the registered query"
@@ -70,6 +72,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -81,5 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_warc": op13_warc,
 }
 SQL = ORACLE_SQL
