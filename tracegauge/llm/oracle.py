@@ -70,6 +70,24 @@ def _drop(state: str) -> str:
 
 _STATE = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
 
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.r <> v.r AND len(a.q) = len(v.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same
+  WHERE 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 OP12 = rf"""
 WITH RECURSIVE named AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -88,7 +106,8 @@ damaged AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
-         regexp_replace(text, '[ 	-]+$', '') AS body, left(role, 1) AS initial
+         regexp_replace(text, '[ 	-
+]+$', '') AS body, left(role, 1) AS initial
   FROM damaged),
 r AS (
   SELECT *, body = '' AS blank, body <> '' AND nth > 1 AS twice, body = '' OR nth > 1 AS gone,
@@ -128,4 +147,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op12_conversation_repair": OP12, "op13_warc": OP13}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op11_hard_negatives": OP11, "op12_conversation_repair": OP12, "op13_warc": OP13}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.llm.ann import nearest
 from tracegauge.llm.conversation_repair import repair_damaged
+from tracegauge.llm.hard_negatives import hard_negatives
 from tracegauge.llm.html_text import extract
 from tracegauge.llm.merge_dropout import round_trip
 from tracegauge.llm.ngram_join import similar_documents
@@ -72,6 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(_table(spark, sf_dir, "conversations"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_warc": op13_warc,
 }
