@@ -521,3 +521,22 @@ SELECT *, {band("score")} AS band FROM f"""
     ),
 }
 ORACLE["d03_scores_from_text"] = ORACLE["d03_per_query_wide"]
+
+#: The same questions asked through SQL table functions.
+SAME_AS = {
+    "sql_agent_events": "src_agent_events",
+    "sql_events_of_run": "src_events_of_run",
+    "sql_record_lookup": "src_record_lookup",
+    "sql_logs": "src_logs_by_severity",
+    "sql_eval_run_latest": "src_eval_run_latest",
+    "sql_scorecard": "r01_scorecard",
+    "sql_latency_percentiles": "r03_latency_percentiles",
+    "sql_span_totals": "r06_agent_span_totals",
+    "sql_tool_breakdown": "r05_tool_breakdown",
+    "sql_score_buckets": "r08_score_buckets",
+    "sql_run_comparison": "r09_run_comparison",
+    "sql_metric_comparison": "r11_metric_comparison",
+    "sql_query_delta": "r12_query_delta",
+    "sql_win_loss_tie": "r13_win_loss_tie",
+}
+ORACLE |= {name: ORACLE[other] for name, other in SAME_AS.items()}

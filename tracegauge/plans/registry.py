@@ -15,6 +15,7 @@ from tracegauge.operators.scratch import scratch_dir
 from tracegauge.operators.spans import extract_spans, stored_spans
 from tracegauge.plans import dashboard as dash
 from tracegauge.plans import reports as rep
+from tracegauge.plans import table_functions
 from tracegauge.plans.metrics import Condition, Field, LogicalTable, Metric, MetricLayer, metric_query, verified_query, with_example
 from tracegauge.sources import scans, tables
 from tracegauge.sources.trace_view import trace_events
@@ -181,6 +182,16 @@ def _trace_latest_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.timeline_a(s.join(F.broadcast(chosen), "trace_id", "left_semi"))
 
 
+def _sql(text: str) -> Query:
+    """A query in SQL over the table functions, with the agents as literals."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_functions.register(spark, spans(spark, sf_dir))
+        return spark.sql(text.format(a=PAIR.a, b=PAIR.b, run=RUN, record=RECORD))
+
+    return run
+
+
 # --- metric layer ----------------------------------------------------------------------------
 
 ORDER_LAYER = MetricLayer(
@@ -404,6 +415,20 @@ QUERIES: dict[str, Query] = {
     "r10_exec_summary": _on_spans(rep.exec_summary),
     "r11_metric_comparison": _on_spans(rep.metric_comparison),
     "r12_query_delta": _on_spans(rep.query_delta),
+    "sql_agent_events": _sql(f"SELECT {', '.join(SPAN_TEXT)}, duration_ms FROM traces_agent_events('{{a}}', 'NATIVE AGENT')"),
+    "sql_events_of_run": _sql(f"SELECT {', '.join(SPAN_TEXT)}, duration_ms FROM traces_run_events('{{run}}')"),
+    "sql_record_lookup": _sql(f"SELECT planning_output AS planning, {', '.join(SPAN_TEXT)}, duration_ms, tokens_total, score FROM traces_record_events('{{record}}')"),
+    "sql_logs": _sql("SELECT trace_id, severity, run_name, record_id FROM traces_logs('{a}', 'RUN_2', levels => 'ERROR, WARN')"),
+    "sql_eval_run_latest": _sql("SELECT * FROM traces_eval_run('{b}', '{run}')"),
+    "sql_scorecard": _sql("SELECT * FROM traces_scorecard('{a}', '{b}')"),
+    "sql_latency_percentiles": _sql("SELECT * FROM traces_latency_percentiles('{a}', '{b}')"),
+    "sql_span_totals": _sql("SELECT * FROM traces_span_totals('{b}')"),
+    "sql_tool_breakdown": _sql("SELECT * FROM traces_tool_breakdown('{a}')"),
+    "sql_score_buckets": _sql("SELECT * FROM traces_score_buckets('{a}', '{b}')"),
+    "sql_run_comparison": _sql("SELECT * FROM traces_run_comparison('{b}')"),
+    "sql_metric_comparison": _sql("SELECT * FROM traces_metric_comparison('{a}', '{b}')"),
+    "sql_query_delta": _sql("SELECT * FROM traces_query_delta('{a}', '{b}')"),
+    "sql_win_loss_tie": _sql("SELECT * FROM traces_win_loss_tie('{a}', '{b}')"),
     "d01_exec_with_traces": _on_spans(dash.exec_with_traces),
     "d02_scorecard_short": _on_spans(dash.scorecard_short),
     "d03_per_query_wide": _on_spans(dash.per_query_wide),
