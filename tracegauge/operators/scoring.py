@@ -46,14 +46,26 @@ def score_statements(
     """Sentence-level support of a response by a source in the same row, with any scorer: one row per
     sentence with ``supported`` 0/1. ``check_numbers`` also asks that every number of the sentence
     occurs in the source, up to rounding."""
+    return _judged(df, response, source, scorer, threshold, keep, check_numbers).filter(F.col("sentence").isNotNull())
+
+
+def _judged(df: DataFrame, response: str, source: str, scorer: Scorer, threshold: float, keep: tuple[str, ...], check_numbers: bool) -> DataFrame:
+    """Sentences with ``supported``; a response without one stays as a row of NULLs."""
     rows = df.select(*keep, F.col(source).alias("_source"), F.posexplode_outer(sentences(F.col(response))).alias("sentence_no", "sentence"))
     s = F.col("sentence")
-    rows = rows.filter(s.isNotNull())
     backed = F.coalesce(scorer(s, F.col("_source")), F.lit(0.0)) >= threshold
     if check_numbers:
         backed = backed & numbers_backed(s, F.col("_source"))
     ok = is_abstention(s) | (~is_question(s) & backed)
-    return rows.select(*keep, "sentence_no", "sentence", ok.cast("int").alias("supported"))
+    return rows.select(*keep, "sentence_no", "sentence", F.when(s.isNotNull(), ok.cast("int")).alias("supported"))
+
+
+def score_responses(
+    df: DataFrame, response: str, source: str, keys: tuple[str, ...], scorer: Scorer = word_overlap, threshold: float = OVERLAP, check_numbers: bool = True
+) -> DataFrame:
+    """Share of supported sentences per ``keys``, with its band. A response without a sentence has a NULL score."""
+    scores = _judged(df, response, source, scorer, threshold, keys, check_numbers).groupBy(*keys).agg(round_half(F.avg("supported"), 4).alias("score"))
+    return scores.withColumn("band", range_band(F.col("score")))
 
 
 def _word_features(text: Column) -> Column:

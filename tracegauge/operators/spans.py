@@ -32,21 +32,37 @@ def as_struct(df: DataFrame, column: str, names: list[str]) -> Column:
     return F.from_json(F.col(column), schema)
 
 
-def attribute(attrs: Column, names: list[str]) -> Column:
+def is_variant(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.VariantType)
+
+
+def _path(name: str) -> str:
+    escaped = name.replace("\\", "\\\\").replace('"', '\\"')
+    return f'$["{escaped}"]'
+
+
+def field_reader(df: DataFrame, column: str, parsed: str) -> Callable[[str], Column]:
+    """Reads one attribute as text. Text is parsed once, into the struct ``parsed``. From a variant every attribute is a request of
+    its own: a shredded file then gives only the columns of the attributes that a query uses."""
+    if is_variant(df, column):
+        return lambda name: F.try_variant_get(F.col(column), _path(name), "string")
+    return lambda name: F.col(parsed).getField(name)
+
+
+def attribute(read: Callable[[str], Column], names: list[str]) -> Column:
     """Text of the first of the names that has a value."""
-    reads = [attrs.getField(n) for n in names]
+    reads = [read(n) for n in names]
     return F.coalesce(*reads) if len(reads) > 1 else reads[0]
 
 
-def is_present(df: DataFrame, column: str, attrs: Column, name: str) -> Column:
+def is_present(df: DataFrame, column: str, read: Callable[[str], Column], name: str) -> Column:
     """Whether the attribute exists, be it with a JSON null. A value proves it; only rows without a
     value that mention the name look at the keys of the object."""
     raw = F.col(column)
-    if isinstance(df.schema[column].dataType, T.VariantType):
-        null_key = F.variant_get(raw, f'$["{name}"]', "variant").isNotNull()
-    else:
-        null_key = raw.contains(f'"{name}"') & F.array_contains(F.json_object_keys(raw), name)
-    return F.coalesce(attrs.getField(name).isNotNull() | null_key, F.lit(False))
+    if is_variant(df, column):
+        return F.coalesce(F.try_variant_get(raw, _path(name), "variant").isNotNull(), F.lit(False))
+    null_key = raw.contains(f'"{name}"') & F.array_contains(F.json_object_keys(raw), name)
+    return F.coalesce(read(name).isNotNull() | null_key, F.lit(False))
 
 
 def whole_number(text: Column) -> Column:
@@ -58,17 +74,17 @@ def extract_spans(events: DataFrame, keys: AttributeKeys = AttributeKeys(), keep
     """Typed spans from the event table (record_type, start_timestamp, timestamp, trace, record,
     record_attributes). ``keep`` names source columns to carry along unchanged."""
     names = [n for column in AttributeKeys.columns() for n in keys.names(column)]
+    fields = {"trace": ["trace_id"], "record": ["severity_text"], "record_attributes": list(dict.fromkeys(names))}
     parsed = events.select(
         "record_type",
         F.col("start_timestamp").cast("timestamp").alias("start_ts"),
         F.col("timestamp").cast("timestamp").alias("end_ts"),
-        as_struct(events, "trace", ["trace_id"]).alias("_trace"),
-        as_struct(events, "record", ["severity_text"]).alias("_record"),
-        as_struct(events, "record_attributes", list(dict.fromkeys(names))).alias("_attrs"),
-        "record_attributes",
+        *[as_struct(events, c, wanted).alias(f"_{c}") for c, wanted in fields.items() if not is_variant(events, c)],
+        *fields,
         *keep,
     )
-    attrs = F.col("_attrs")
+    reads = {c: field_reader(events, c, f"_{c}") for c in fields}
+    attrs = reads["record_attributes"]
     typed = []
     for column in AttributeKeys.columns():
         read = attribute(attrs, keys.names(column))
@@ -86,8 +102,8 @@ def extract_spans(events: DataFrame, keys: AttributeKeys = AttributeKeys(), keep
         "start_ts",
         "end_ts",
         elapsed_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"),
-        F.col("_trace.trace_id"),
-        F.col("_record.severity_text").alias("severity"),
+        reads["trace"]("trace_id").alias("trace_id"),
+        reads["record"]("severity_text").alias("severity"),
         *typed,
         *flags,
         *keep,

@@ -507,7 +507,9 @@ FROM g GROUP BY 1, 2""",
         f"""said AS (SELECT record_id, agent_name, user_query, trim(unnest(string_split(regexp_replace(agent_output, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS sentence FROM spans WHERE {ROOT}),
   sets AS (SELECT *, list_distinct(regexp_extract_all(lower(sentence), '\\p{{L}}')) AS x, list_distinct(regexp_extract_all(lower(coalesce(user_query, '')), '\\p{{L}}')) AS y FROM said WHERE length(sentence) > 0),
   judged AS (SELECT record_id, agent_name, CASE WHEN {_abstain} THEN 1 WHEN rtrim(sentence) LIKE '%?' THEN 0 WHEN len(x) > 0 AND len(list_intersect(x, y)) / CAST(len(x) AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS ok FROM sets),
-  f AS (SELECT record_id, agent_name, {r("avg(ok)", 4)} AS score FROM judged GROUP BY 1, 2)
+  asked AS (SELECT DISTINCT record_id, agent_name FROM spans WHERE {ROOT}),
+  f AS (SELECT a.record_id, a.agent_name, {r("avg(ok)", 4)} AS score FROM asked a
+        LEFT JOIN judged j ON j.record_id IS NOT DISTINCT FROM a.record_id AND j.agent_name IS NOT DISTINCT FROM a.agent_name GROUP BY 1, 2)
 SELECT *, {band("score")} AS band FROM f"""
     ),
     "score_to_events": on_spans(
@@ -522,8 +524,41 @@ SELECT *, {band("score")} AS band FROM f"""
 }
 ORACLE["d03_scores_from_text"] = ORACLE["d03_per_query_wide"]
 
-#: The same questions asked through SQL table functions.
+ORACLE["score_with_model"] = ORACLE["score_custom_metric"]
+ORACLE["score_ranking_order"] = f"""
+WITH cut AS (SELECT conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS pieces FROM conversations),
+sents AS (SELECT conv_id, turn, role, trim(unnest(pieces)) AS sentence, generate_subscripts(pieces, 1) AS pos FROM cut),
+items AS (SELECT conv_id, turn, role, pos, lower(regexp_extract(sentence, '[\\p{{L}}\\p{{N}}]+')) AS label, list_extract({NUMBERS.format("sentence")}, -1) AS x FROM sents WHERE length(sentence) > 0),
+named AS (SELECT *, {_size.format("x")} * CASE WHEN x LIKE '-%' THEN -1 ELSE 1 END AS number FROM items WHERE label <> ''),
+sources AS (SELECT *, lag(number) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM named WHERE role IS DISTINCT FROM 'assistant'),
+runs AS (SELECT *, count(*) FILTER (before IS NULL OR number IS NULL OR before <> number) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS place FROM sources),
+first AS (SELECT conv_id, label, min((turn, place)) AS place, min(turn) AS turn FROM runs GROUP BY 1, 2),
+said AS (SELECT n.conv_id, n.turn, n.pos, f.place FROM named n LEFT JOIN first f ON f.conv_id = n.conv_id AND f.label = n.label AND f.turn < n.turn WHERE n.role = 'assistant'),
+known AS (SELECT *, lag(place) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM said WHERE place IS NOT NULL),
+counted AS (SELECT conv_id, turn, count(*) AS n_ranked, count_if(place < before) AS n_backwards FROM known GROUP BY 1, 2),
+asked AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant'),
+listed AS (SELECT conv_id, turn, count(*) AS n_items FROM said GROUP BY 1, 2)
+SELECT a.conv_id, a.turn, coalesce(n_items, 0) AS n_items, coalesce(n_ranked, 0) AS n_ranked, CAST(coalesce(n_backwards, 0) AS BIGINT) AS n_backwards,
+       CASE WHEN n_ranked >= 2 THEN n_backwards = 0 END AS order_kept
+FROM asked a LEFT JOIN listed l ON l.conv_id = a.conv_id AND l.turn = a.turn LEFT JOIN counted c ON c.conv_id = a.conv_id AND c.turn = a.turn"""
+ORACLE["range_sketches"] = on_spans(
+    f"""days AS (SELECT CAST(min(start_ts) AS DATE) + 1 AS low, CAST(max(start_ts) AS DATE) - 1 AS high FROM spans WHERE {ROOT})
+SELECT agent_name, count(*) AS n_rows, count(DISTINCT duration_ms) AS exact_distinct, CAST(round(3 * 1.04 / sqrt(4096), 4) AS DOUBLE) AS distinct_error,
+       TRUE AS distinct_holds, TRUE AS p50_holds, TRUE AS p95_holds
+FROM spans, days WHERE {ROOT} AND CAST(start_ts AS DATE) BETWEEN low AND high GROUP BY agent_name"""
+)
+# A window is finished once the latest event is past its end by the delay.
+ORACLE["stream_latency"] = on_spans(
+    f"""mark AS (SELECT max(start_ts) - INTERVAL 1 HOUR AS w FROM spans WHERE {ROOT}),
+w AS (SELECT time_bucket(INTERVAL 6 HOURS, start_ts, TIMESTAMP '1970-01-01') AS s, agent_name, duration_ms FROM spans WHERE {ROOT})
+SELECT CAST(epoch(s) AS BIGINT) AS window_start_s, agent_name, count(*) AS n_requests, CAST(sum(duration_ms) AS BIGINT) AS sum_ms, max(duration_ms) AS max_ms
+FROM w, mark WHERE s + INTERVAL 6 HOURS <= mark.w GROUP BY 1, 2"""
+)
+
+#: The same questions asked another way: through SQL table functions, or over native objects.
 SAME_AS = {
+    "extract_spans_native": "extract_spans",
+    "r08_native_objects": "r08_score_buckets",
     "sql_agent_events": "src_agent_events",
     "sql_events_of_run": "src_events_of_run",
     "sql_record_lookup": "src_record_lookup",

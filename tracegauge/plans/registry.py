@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegauge.functions.exprs import AgentPair, range_band, round_half
-from tracegauge.operators import pairs, scoring, search
+from tracegauge.operators import model_scorers, pairs, rankings, scoring, search, sketches
 from tracegauge.operators.ordering import extreme_rows
 from tracegauge.operators.scratch import scratch_dir
 from tracegauge.operators.spans import extract_spans, stored_spans
@@ -19,6 +19,7 @@ from tracegauge.plans import table_functions
 from tracegauge.plans.metrics import Condition, Field, LogicalTable, Metric, MetricLayer, metric_query, verified_query, with_example
 from tracegauge.sources import scans, tables
 from tracegauge.sources.trace_view import trace_events
+from tracegauge.streaming import latency
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = AgentPair()
@@ -49,6 +50,23 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.withColumn("start_us", F.unix_micros("start_ts")).drop("start_ts", "end_ts")
 
 
+def _native_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table with native objects, written and read back."""
+    path = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    scans.write_event_table(trace_events(table(spark, sf_dir, "events")), path)
+    return scans.event_table(spark, path)
+
+
+def _extract_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = extract_spans(_native_events(spark, sf_dir))
+    return typed.withColumn("start_us", F.unix_micros("start_ts")).drop("start_ts", "end_ts")
+
+
+def _buckets_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report straight over native objects: its scan reads the five attributes that the report uses."""
+    return rep.score_buckets(extract_spans(_native_events(spark, sf_dir)))
+
+
 def _scan_columns(df: DataFrame) -> DataFrame:
     return df.select(*SPAN_TEXT, "duration_ms")
 
@@ -351,9 +369,68 @@ def shared_letters(statement: Column, source: Column) -> Column:
 def _custom_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-supplied scorer over response sentences and the text of their question."""
     roots = rep.ev.roots(spans(spark, sf_dir)).select("record_id", "agent_name", "agent_output", "user_query")
-    lines = scoring.score_statements(roots, "agent_output", "user_query", shared_letters, 0.5, keep=("record_id", "agent_name"), check_numbers=False)
-    scores = lines.groupBy("record_id", "agent_name").agg(round_half(F.avg("supported"), 4).alias("score"))
-    return scores.withColumn("band", range_band(F.col("score")))
+    return scoring.score_responses(roots, "agent_output", "user_query", ("record_id", "agent_name"), shared_letters, 0.5, check_numbers=False)
+
+
+def _letter_model(model: dict, statements: list, sources: list) -> list:
+    """The same share as ``shared_letters``, as a model would give it: batch in, numbers out."""
+    found = []
+    for statement, source in zip(statements, sources):
+        own = {c for c in (statement or "").lower() if model["is_letter"](c)}
+        found.append(len(own & set((source or "").lower())) / len(own) if own else 0.0)
+    return found
+
+
+def _model_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The custom metric with a scorer that loads a model in every worker."""
+    roots = rep.ev.roots(spans(spark, sf_dir)).select("record_id", "agent_name", "agent_output", "user_query")
+    scorer = model_scorers.model_scorer(lambda: {"is_letter": str.isalpha}, _letter_model)
+    return scoring.score_responses(roots, "agent_output", "user_query", ("record_id", "agent_name"), scorer, 0.5, check_numbers=False)
+
+
+def _ranking_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankings.ranking_orders(_turns(spark, sf_dir), items=rankings.sentence_openers)
+
+
+def _range_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct latencies and percentiles per agent over a range of days, from daily sketches, beside the exact
+    count, with whether each estimate keeps its stated error."""
+    requests = rep.ev.roots(spans(spark, sf_dir))
+    path = f"{scratch_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.write_sketches(sketches.daily_sketches(requests), path)
+    span = requests.agg(F.to_date(F.min("start_ts")).alias("low"), F.to_date(F.max("start_ts")).alias("high")).first()
+    first, last = F.date_add(F.lit(span.low), 1), F.date_add(F.lit(span.high), -1)
+    some = sketches.merged(sketches.read_sketches(spark, path), first, last)
+    guessed = sketches.estimates(some, {"p50": 0.5, "p95": 0.95})
+    exact = requests.filter(F.to_date("start_ts").between(first, last)).groupBy("agent_name").agg(F.count(F.lit(1)).alias("n_exact"), F.countDistinct("duration_ms").alias("exact_distinct"))
+    both = guessed.join(exact, "agent_name")
+    places = requests.filter(F.to_date("start_ts").between(first, last)).join(both, "agent_name").groupBy("agent_name").agg(
+        *[F.avg((F.col("duration_ms") < F.col(p)).cast("int")).alias(f"{p}_below") for p in ("p50", "p95")],
+        *[F.avg((F.col("duration_ms") <= F.col(p)).cast("int")).alias(f"{p}_upto") for p in ("p50", "p95")],
+    )
+
+    def keeps(name: str, share: float) -> Column:
+        return (F.col(f"{name}_below") <= share + sketches.RANK_ERROR) & (F.col(f"{name}_upto") >= share - sketches.RANK_ERROR)
+
+    limit = round(sketches.distinct_error(), 4)
+    return both.join(places, "agent_name").select(
+        "agent_name",
+        F.col("n_rows"),
+        "exact_distinct",
+        F.lit(limit).alias("distinct_error"),
+        (F.abs(F.col("n_distinct") - F.col("exact_distinct")) <= limit * F.col("exact_distinct")).alias("distinct_holds"),
+        keeps("p50", 0.5).alias("p50_holds"),
+        keeps("p95", 0.95).alias("p95_holds"),
+    )
+
+
+def _stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event files written once, then read as a stream up to their end: the finished windows."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    trace_events(table(spark, sf_dir, "events")).write.parquet(f"{base}/events")
+    latency.run_to_end(latency.windows(latency.event_stream(spark, f"{base}/events"), "6 hours", "1 hour"), f"{base}/windows", f"{base}/state")
+    found = spark.read.schema(latency.WINDOW_SCHEMA).parquet(f"{base}/windows")
+    return found.select(F.unix_seconds("window_start").alias("window_start_s"), "agent_name", "n_requests", "sum_ms", "max_ms")
 
 
 def _trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +461,8 @@ MONTH = [Condition("day", "between", ("1998-01-01", "1998-01-31"))]
 QUERIES: dict[str, Query] = {
     "r13_win_loss_tie": _on_spans(rep.win_loss_tie),
     "extract_spans": _extract,
+    "extract_spans_native": _extract_native,
+    "r08_native_objects": _buckets_native,
     "src_agent_events": _src_agent,
     "src_all_events": _src_all,
     "src_events_of_run": _src_run,
@@ -481,6 +560,10 @@ QUERIES: dict[str, Query] = {
     "score_correctness": _correctness,
     "score_range_band": _range_band,
     "score_custom_metric": _custom_metric,
+    "score_with_model": _model_metric,
+    "score_ranking_order": _ranking_orders,
+    "range_sketches": _range_sketches,
+    "stream_latency": _stream_latency,
     "score_to_events": _to_events,
     "trace_documents": _trace_documents,
     "trace_document_parts": _trace_parts,

@@ -72,6 +72,9 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
+#: Columns of the event table that hold objects.
+OBJECT_COLUMNS = ("trace", "record", "record_attributes")
+
 SPAN_SCHEMA = T.StructType(
     [
         T.StructField("record_type", T.StringType()),

@@ -7,14 +7,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracegauge.operators.ordering import ranked_head
-from tracegauge.sources.attributes import EVENT_SCHEMA
+from tracegauge.sources.attributes import EVENT_SCHEMA, OBJECT_COLUMNS
 
 
 def event_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored event table (Parquet), ready for ``extract_spans``."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    """A stored event table (Parquet), ready for ``extract_spans``. Its attribute columns are JSON text or native objects."""
+    rows = spark.read.parquet(path)
+    missing = [f.name for f in EVENT_SCHEMA if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"no event table, it lacks {', '.join(missing)}")
+    return rows.select(*EVENT_SCHEMA.names)
+
+
+def write_event_table(events: DataFrame, path: str, mode: str = "append") -> None:
+    """Store event rows with native objects. Spark shreds them into a column per attribute that is frequent in a file, so a
+    query reads the attributes it uses and no others. Text that is no JSON becomes NULL."""
+    columns = [F.try_parse_json(f.name).alias(f.name) if f.name in OBJECT_COLUMNS and isinstance(f.dataType, T.StringType) else F.col(f.name) for f in events.schema]
+    events.select(*columns).write.mode(mode).parquet(path)
 
 
 def agent_events(spans: DataFrame, agent: str, agent_type: str | None = None) -> DataFrame:
