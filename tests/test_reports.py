@@ -235,3 +235,19 @@ def test_score_text_that_does_not_parse_counts_as_no_scores(spark):
     df = spark.createDataFrame(rows, "user_query string, a_latency_ms int, b_latency_ms int, a_eval_scores string, b_eval_scores string")
     got = per_query_from_text(df, ("coherence",)).collect()
     assert [(r.a_coherence, r.b_coherence) for r in got] == [(0.5, None), (None, None)]
+
+
+def test_side_by_side_reads_the_spans_three_times(spark, make_spans, tmp_path):
+    from tracegauge.operators.spans import read_spans, write_spans
+
+    rows = [root(A, "q", "r1", 10), root(A, "q", "r1", 30), root(B, "q", "r2", 20), root(A, "only a", "r3", 1), root(B, "q", None, 40)]
+    rows += [{"agent_name": A, "span_type": "generation", "record_id": "r1", "tokens_in": 4, "tokens_out": None, "tokens_total": 9}] * 2
+    rows += [{"agent_name": A, "span_type": "generation", "record_id": None, "tokens_in": 1000}]
+    rows += [{"agent_name": B, "span_type": "graph_node", "record_id": "r2", "call_return": "usage_metadata={'input_tokens': 7} usage_metadata={'input_tokens': 1}"}]
+    write_spans(make_spans(rows), str(tmp_path / "s"))
+    df = pairs.response_statistics(read_spans(spark, str(tmp_path / "s")))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 3
+    (r,) = df.collect()
+    assert (r.user_query, r.a_responses, r.b_responses, r.pairs) == ("q", 2, 2, 4)
+    assert (r.a_latency_ms, r.b_latency_ms, r.latency_diff_ms) == (20.0, 30.0, -10.0)
+    assert (r.a_prompt_tokens, r.a_completion_tokens, r.a_total_tokens, r.b_prompt_tokens) == (8.0, None, 18.0, 8.0)

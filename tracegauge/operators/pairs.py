@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.functions.exprs import AgentPair, pct_change, round_half
-from tracegauge.operators.ordering import extreme_rows, ranked_head
+from tracegauge.operators.ordering import ranked_head
 from tracegauge.operators.scratch import materialize
 from tracegauge.operators.usage import attribute_usage, logged_usage, token_totals
 
@@ -151,13 +151,37 @@ def widest_pairs(spans: DataFrame, top: int, pair: AgentPair = AgentPair()) -> D
 
 def response_statistics(spans: DataFrame, pair: AgentPair = AgentPair()) -> DataFrame:
     """Side by side per question: response counts, latency and token averages of both agents, their
-    differences, and the latest answer of each. One row stands for all pairs of the question."""
-    parts = {}
-    for side, agent in (("a", pair.a), ("b", pair.b)):
-        shown = roots_of(spans, agent).withColumn("_shown", F.left("agent_output", F.lit(200)))
-        latest = extreme_rows(shown, ["user_query"], "end_ts", "record_id", ["_shown"]).withColumnRenamed("_shown", f"{side}_response_preview")
-        parts[side] = _side_sums(spans, pair, side).join(latest, "user_query")
-    q = parts["a"].join(parts["b"], "user_query")
+    differences, and the latest answer of each. One row stands for all pairs of the question.
+
+    The span table is read three times: the roots of both agents, and the token rows of each. All meet in
+    one grouping by record, and the sides are told apart by conditional sums.
+    """
+    sides = F.when(F.col("agent_name") == pair.a, "a").otherwise("b")
+    of_both = spans.filter(F.col("agent_name").isin(pair.a, pair.b) & (F.col("span_type") == "record_root") & F.col("user_query").isNotNull())
+    # The newest answer: a NULL time counts as the newest, ties go to the larger record.
+    newest = F.struct(F.coalesce(F.unix_micros(F.col("end_ts").cast("timestamp")), F.lit(2**62)).alias("at"), "record_id", F.left("agent_output", F.lit(200)).alias("shown"))
+    no_tokens = [F.lit(None).cast("bigint").alias(c) for c in TOKEN_COLUMNS]
+    roots = of_both.groupBy(sides.alias("side"), "record_id", "user_query").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("duration_ms").alias("lat_s"), F.count("duration_ms").alias("lat_n"), F.max(newest).alias("newest")
+    )
+    rows = roots.select("*", *no_tokens)
+    for side in "ab":
+        empty = [F.lit(None).cast(roots.schema[c].dataType).alias(c) for c in ("user_query", "m", "lat_s", "lat_n", "newest")]
+        totals = token_totals(side_usage(spans, pair, side)).filter(F.col("record_id").isNotNull())
+        rows = rows.unionByName(totals.select(F.lit(side).alias("side"), "record_id", *empty, *TOKEN_COLUMNS))
+    record = Window.partitionBy("side", "record_id")
+    known = F.col("record_id").isNotNull()
+    whole = rows.withColumns({c: F.when(known, F.sum(c).over(record)) for c in TOKEN_COLUMNS}).filter(F.col("user_query").isNotNull())
+
+    def sums(side: str) -> list[Column]:
+        own = F.col("side") == side
+        found = [F.sum(F.when(own, F.col(c))).alias(f"{side}_{c}") for c in ("m", "lat_s", "lat_n")]
+        for c in TOKEN_COLUMNS:
+            found.append(F.sum(F.when(own, F.col(c) * F.col("m"))).alias(f"{side}_{c}_s"))
+            found.append(F.sum(F.when(own & F.col(c).isNotNull(), F.col("m")).otherwise(0)).alias(f"{side}_{c}_n"))
+        return [*found, F.max(F.when(own, F.col("newest")))["shown"].alias(f"{side}_response_preview")]
+
+    q = whole.groupBy("user_query").agg(*sums("a"), *sums("b")).filter(F.col("a_m").isNotNull() & F.col("b_m").isNotNull())
 
     def mean(side: str, what: str) -> Column:
         return F.col(f"{side}_{what}_s").cast("double") / F.nullif(F.col(f"{side}_{what}_n"), F.lit(0))

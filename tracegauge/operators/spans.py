@@ -142,22 +142,22 @@ _stored: dict[tuple[str, str], str] = {}
 
 
 def source_state(table: DataFrame) -> str:
-    """A digest of the files of a table: names, sizes and times of change, added up by Spark."""
-    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    row = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
-    return hashlib.sha1(f"{row[0]} {row[1]}".encode()).hexdigest()[:16]
+    """A digest of the files of a table: their names and the driver's listing of them. No file is opened."""
+    return hashlib.sha1("\n".join(sorted(table.inputFiles())).encode()).hexdigest()[:16]
 
 
-def stored_spans(table: DataFrame, events: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The span table of one event source, extracted at its first use in the application and again when
-    the files of ``table`` have changed. ``events`` turns the table into event rows.
+def stored_spans(table: DataFrame, events: Callable[[DataFrame], DataFrame], refresh: bool = False) -> DataFrame:
+    """The span table of one event source, extracted at its first use in the application and again when the set of
+    its files has changed. ``events`` turns the table into event rows. Files that were written anew under their old
+    name are noticed with ``refresh`` only: asking every file for its time of change would take a job before
+    each report.
 
     The table lives in the shared folder, so losing an executor loses nothing. A new state of the
     source gets a new folder, so a report that still reads the old one is not disturbed.
     """
     spark = table.sparkSession
     slot = (spark.sparkContext.applicationId, source_state(table))
-    if slot not in _stored:
+    if refresh or slot not in _stored:
         path = f"{scratch_dir(spark)}/spans-{slot[1]}-{uuid.uuid4().hex[:8]}"
         write_spans(extract_spans(events(table)), path)
         _stored[slot] = path
