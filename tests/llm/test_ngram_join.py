@@ -84,3 +84,35 @@ def test_ids_null_or_repeated(spark):
 def test_empty_table(docs_of):
     docs = docs_of(["x"]).limit(0)
     assert similar_documents(docs).count() == 0 and one_of_each(docs).count() == 0
+
+
+def copies(rnd, n, words, changes, base):
+    out = [" ".join(base)] if changes < 3 else []
+    while len(out) < n:
+        x = list(base)
+        for _ in range(changes):
+            x[rnd.randrange(words)] = f"z{rnd.randrange(10**6)}"
+        out.append(" ".join(x))
+    return out
+
+
+@pytest.mark.parametrize("changes", [2, 3])
+def test_pairs_grow_with_the_rows_of_a_group(docs_of, monkeypatch, changes):
+    """A group of near copies is joined by about one verified pair a row, not by all its links."""
+    from tracegauge.llm import ngram_join
+
+    tried, verified = [], ngram_join._verified
+
+    def counting(pairs, sets, percent):
+        tried.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified", counting)
+    for n in (200, 800):
+        rnd, tried[:] = random.Random(n + changes), []
+        texts = copies(rnd, n, 200, changes, [f"w{rnd.randrange(10**6)}" for _ in range(200)])
+        found = {r.component_id for r in similar_documents(docs_of(texts)).collect()}
+        if changes < 3:
+            assert found == {0} and sum(tried) <= 2 * n
+        else:
+            assert sum(tried) <= 6 * n

@@ -178,8 +178,13 @@ def _linked(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if labels is not None:
             apart = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
             here = stored(here.join(apart, "token"), "apart")
-        leader = F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), *own))
-        leaders = stored(here.groupBy("token").agg(leader.alias("l")).select("token", "l.*").drop("h"), "leaders")
+        # A text that others were copied from has the fewest tokens of its own, so it leads first.
+        leader = F.min(F.struct("alone", F.xxhash64("cid", F.lit(turn)).alias("h"), *[c for c in own if c != "alone"]))
+        lead = lambda rows: rows.groupBy("token").agg(leader.alias("l")).select("token", "l.*").drop("h")
+        leaders = stored(lead(here), "leaders")
+        if 0 < turn < ROUNDS:  # the first leader has been tried; one outside of its component is next
+            mains = leaders.select("token", F.col("component").alias("main"))
+            leaders = stored(lead(here.join(mains, "token").filter("component <> main").drop("main")), "leaders")
         if turn < ROUNDS:
             pairs = side(here, "a").join(side(leaders, "b"), "token").filter(differ & _close(percent))
         else:  # all that are still apart: those outside the leader's component with the rest of the token
