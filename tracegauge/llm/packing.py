@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegauge.llm.common import stored
-from tracegauge.llm.pretokens import Encoder
+from tracegauge.llm.pretokens import WholeTexts
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -84,7 +84,7 @@ def _places(plan: list[tuple[int, dict[int, int]]]) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in zip(*sorted(rows))] if rows else [np.zeros(0, np.int64)] * 5
 
 
-def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, cache_size: int = 300_000, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Every document's tokens and the end mark, cut into pieces of ``capacity`` if longer; then the first
     piece holds the rest. ``part`` and ``number`` are the task and the piece's number among those of its
     length there. ``with_ids`` adds the ids themselves."""
@@ -92,12 +92,12 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, bytes, cache_size)
+        encoder = WholeTexts(path)
         end, seen, part = np.array([end_id], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             out, source = [[] for _ in names[1:]], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = b"".join(encoder.values(text) if text else []) + end
+                ids = (encoder.ids(text) if text else b"") + end
                 total = len(ids) // 4
                 first = total % capacity or min(total, capacity)
                 for k, start in enumerate([0, *range(first, total, capacity)]):
