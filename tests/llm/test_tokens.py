@@ -151,3 +151,29 @@ def test_long_units_decode():
 def test_empty_table(docs_of):
     docs = docs_of(["x"]).limit(0)
     assert token_counts(docs, BPE).count() == 0 and pack(pieces(docs, BPE)).count() == 0 and round_trip(docs, PIECES).count() == 0
+
+
+def test_whole_texts_equal_the_library():
+    from tracegauge.llm.pretokens import WholeTexts, tokenizer
+
+    whole, library, rnd = WholeTexts(BPE), tokenizer(BPE), random.Random(9)
+    assert whole.by_rank is not None
+    parts = ["the", " of", "  ", "\n", "\t", "\r\n", "don't", "I'LL", "é", "Ünder", "<|endoftext|>", "<|endof", "x_y", "1234567", "!?", "…", "привет", "\u00a0", "\u1680", "ƺ", "ǆ", "\x1c", "🙂", "aaaaaaaaaaaaaaaa"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(12))) for _ in range(3000)] + ["ab" * 50_000]
+    for text in texts:
+        assert list(memoryview(whole.ids(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_summaries_keep_what_is_common():
+    from collections import Counter
+
+    from tracegauge.llm.token_counts import summary
+
+    rnd, counts, true = random.Random(1), Counter(), Counter()
+    for _ in range(200):
+        words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(500)]
+        counts.update(words)
+        true.update(words)
+        counts = summary(counts, 100)
+    assert len(counts) <= 100 and {w for w, _ in true.most_common(10)} <= {w for w, _ in counts.most_common(20)}
+    assert all(n <= true[w] for w, n in counts.items())
