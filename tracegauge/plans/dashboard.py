@@ -20,7 +20,7 @@ from tracegauge.functions.exprs import (
 from tracegauge.operators import evaluations as ev
 from tracegauge.operators.ordering import with_position
 from tracegauge.operators.profile import value_profile
-from tracegauge.plans.reports import LATENCY_ZONE_MS, PAIR, SCORE_ZONE, question_sides, scorecard, tool_breakdown
+from tracegauge.plans.reports import PAIR, question_sides, scorecard, tool_breakdown
 
 EVALUATION_SPANS = ("eval", "eval_root")
 KNOWN_METRICS = ("coherence", "correctness", "groundedness", "logical_consistency")
@@ -83,7 +83,6 @@ def metric_detail(spans: DataFrame, pair: AgentPair = PAIR) -> DataFrame:
         ["agent_name", "metric"],
         "score",
         {"_p50": 0.5},
-        SCORE_ZONE,
         sums={"_perfect": F.when(F.col("score") == 1, 1).otherwise(0)},
     )
     return p.select(
@@ -138,7 +137,6 @@ def latency_box(spans: DataFrame, pair: AgentPair = PAIR) -> DataFrame:
         ["agent_name"],
         "duration_ms",
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        LATENCY_ZONE_MS,
     )
     return p.select(
         display_name(F.col("agent_name"), pair).alias("label"),

@@ -22,8 +22,6 @@ from tracegauge.operators.profile import value_profile
 from tracegauge.operators.usage import logged_input_tokens
 
 PAIR = AgentPair()
-LATENCY_ZONE_MS = 1000
-SCORE_ZONE = 0.001
 SPAN_TYPES_IN_TOTALS = ("retrieval", "tool", "graph_node", "MCP", "generation", "record_root", "unknown")
 
 
@@ -52,7 +50,7 @@ def scorecard(spans: DataFrame, pair: AgentPair | None = PAIR, digits: int = 4)
             F.min("_min").alias("_min"),
         )
     )
-    lat = value_profile(ev.roots(both), ["agent_name"], "duration_ms", {"_p50": 0.5}, LATENCY_ZONE_MS).withColumnRenamed("agent_name", "_agent")
+    lat = value_profile(ev.roots(both), ["agent_name"], "duration_ms", {"_p50": 0.5}).withColumnRenamed("agent_name", "_agent")
     joined = scores.join(lat, scores.agent_name.eqNullSafe(lat["_agent"]), "full_outer")
     return joined.select(
         F.coalesce("agent_name", "_agent").alias("agent_name"),
@@ -75,11 +73,9 @@ def score_distribution(spans: DataFrame, pair: AgentPair | None = PAIR) -> DataF
         ["agent_name", "metric"],
         "score",
         {"_p50": 0.5},
-        SCORE_ZONE,
-        sums={"_perfect": F.when(s == 1, 1).otherwise(0), "_sq": s * s},
+        sums={"_perfect": F.when(s == 1, 1).otherwise(0)},
     )
     n = F.col("n_values")
-    spread = F.greatest(F.col("_sq") - F.col("v_sum") * F.col("v_sum") / F.nullif(n, F.lit(0)), F.lit(0.0))
     return p.select(
         "agent_name",
         "metric",
@@ -88,7 +84,7 @@ def score_distribution(spans: DataFrame, pair: AgentPair | None = PAIR) -> DataF
         round_half(F.col("_p50"), 4).alias("median_score"),
         round_half(F.col("v_min"), 4).alias("min_score"),
         round_half(F.col("v_max"), 4).alias("max_score"),
-        round_half(F.when(n > 1, F.sqrt(spread / F.nullif(n - 1, F.lit(0)))), 4).alias("stddev_score"),
+        round_half(F.when(n > 1, F.sqrt(F.col("v_m2") / F.nullif(n - 1, F.lit(0)))), 4).alias("stddev_score"),
         F.col("_perfect").cast("bigint").alias("perfect_score_count"),
         share_pct(F.col("_perfect"), F.col("n_rows")).alias("perfect_score_pct"),
     ).orderBy("agent_name", "metric")
@@ -101,7 +97,6 @@ def latency_percentiles(spans: DataFrame, pair: AgentPair | None = PAIR) -> Data
         ["agent_name"],
         "duration_ms",
         {"_p50": 0.5, "_p90": 0.9, "_p95": 0.95},
-        LATENCY_ZONE_MS,
     )
     return p.select(
         "agent_name",
@@ -118,7 +113,7 @@ def latency_percentiles(spans: DataFrame, pair: AgentPair | None = PAIR) -> Data
 def span_breakdown(spans: DataFrame, pair: AgentPair | None = PAIR) -> DataFrame:
     """Report 4."""
     rows = ev.both_agents(spans, _agents(pair)).filter((F.col("record_type") == "SPAN") & F.col("span_type").isNotNull())
-    p = value_profile(rows, ["agent_name", "span_type"], "duration_ms", {"_p50": 0.5}, LATENCY_ZONE_MS)
+    p = value_profile(rows, ["agent_name", "span_type"], "duration_ms", {"_p50": 0.5})
     return p.select(
         "agent_name",
         "span_type",
