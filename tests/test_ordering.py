@@ -1,9 +1,12 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tracegauge.operators.ordering import extreme_rows, ranked_head, with_position
+from tracegauge.operators import ordering
+from tracegauge.operators.ordering import MOST_SORTED, extreme_rows, in_ranges, ranked_head, with_position
+from tracegauge.operators.scratch import materialize
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -19,6 +22,40 @@ def test_positions_of_a_hot_group_over_many_zones(spark):
     assert all(got[f"k{i}", i] == 1 for i in range(50)) and len(got) == len(rows) - 1
 
 
+def test_positions_without_zones_of_use(spark, monkeypatch):
+    """Times that are all NULL or all equal, a column without a hash, several groups."""
+    monkeypatch.setattr(ordering, "MOST_SORTED", 16)
+    rnd = random.Random(4)
+    rows = [("null", None, i, {}) for i in range(150)] + [("equal", T0, i, {"x": i}) for i in range(150)] + [(f"k{i % 9}", T0, i, None) for i in range(40)]
+    rows += [("twice", T0, 7, {"y": 1})] * 30 + [(None, T0, 5, {})]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t timestamp, i bigint, m map<string,int>").repartition(4)
+    out = with_position(df, ["k"], "t", [F.col("i").desc()])
+    assert out.columns == ["k", "t", "i", "m", "position"]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append((r.position, r.i))
+    assert set(got) == {r[0] for r in rows} - {None}
+    for k, found in got.items():
+        want = sorted((r[2] for r in rows if r[0] == k), reverse=True)
+        assert sorted(found) == list(enumerate(want, 1)), k
+
+
+@pytest.mark.parametrize("start", ["null", "equal"])
+def test_a_million_rows_of_one_trace(spark, start):
+    t = F.lit(None if start == "null" else T0).cast("timestamp")
+    df = spark.range(10**6).select(F.lit("x").alias("k"), t.alias("t"), ((F.col("id") * 7919) % 10**6).alias("i"))
+    ranges = materialize(in_ranges(df, ["k", F.col("t").asc_nulls_first(), "i"], 10**6), "test-ranges")
+    assert ranges.groupBy("k", "_range").count().agg(F.max("count")).first()[0] <= MOST_SORTED
+    out = with_position(df, ["k"], "t", ["i"])
+    assert out.filter(F.col("position") != F.col("i") + 1).count() == 0 and out.count() == 10**6
+
+
+def test_positions_of_no_rows(spark):
+    df = spark.createDataFrame([], "k string, t timestamp, i bigint")
+    assert with_position(df, ["k"], "t", ["i"]).count() == 0
+
+
 def test_extreme_rows_ties_and_null_times(spark):
     rows = [("a", T0, "r1", "x"), ("a", T0, "r2", "y"), ("b", T0, "r3", "z"), ("b", None, "r0", "w"), (None, T0, "r9", "n")]
     df = spark.createDataFrame(rows, "k string, t timestamp, id string, v string")

@@ -7,27 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegauge.operators.scratch import materialize
+
+#: The most rows of one group that one task sorts.
+MOST_SORTED = 1 << 17
+
 
 def with_position(df: DataFrame, keys: Sequence[str], time: str, then_by: Sequence[str | Column], name: str = "position", zone: str = "SECOND") -> DataFrame:
     """Number the rows of each group from 1 in the order (time, then_by).
 
     A group is cut into time zones. Rows are numbered inside their zone and shifted by the row
     counts of the earlier zones, so a long trace is sorted by many tasks, not by one. ``zone`` is a
-    ``date_trunc`` unit; the finer it is, the smaller is the most that one task sorts. Rows with a NULL
-    key belong to no group and are dropped; a NULL time sorts first.
+    ``date_trunc`` unit. If some zone has more than ``MOST_SORTED`` rows, say because a whole trace starts in
+    one second or has no times, all rows are dealt to tasks by ranges of the full order instead. Rows with a
+    NULL key belong to no group and are dropped; a NULL time sorts first. The counts of the zones are
+    written once, so building the result runs jobs.
     """
     keys = list(keys)
-    rows = df.dropna(subset=keys).withColumn(
+    rows = df.dropna(subset=keys)
+    zoned = rows.withColumn(
         "_zone", F.coalesce(F.unix_seconds(F.date_trunc(zone, F.col(time).cast("timestamp"))), F.lit(-(2**62)))
     )
-    counts = rows.groupBy(*keys, "_zone").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*keys, "_zone", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*keys, "_zone").orderBy(F.col(time).asc_nulls_first(), *then_by)
+    counts = materialize(_rows_in(zoned, keys, "_zone"), "zone-counts")
+    size = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    order = [F.col(time).asc_nulls_first(), *then_by]
+    if (size["most"] or 0) <= MOST_SORTED:
+        return _numbered(zoned, counts, keys, "_zone", order, name)
+    ranged = materialize(in_ranges(rows, [*keys, *order], size["all"]), "ranges")
+    return _numbered(ranged, _rows_in(ranged, keys, "_range"), keys, "_range", order, name)
+
+
+def in_ranges(rows: DataFrame, order: Sequence[str | Column], n_rows: int) -> DataFrame:
+    """The rows in ranges of an order, numbered upwards in ``_range``. Half of ``MOST_SORTED`` rows are meant
+    for each, as Spark draws the bounds from a sample. Ties are cut by a hash of the other columns; only rows
+    that are alike in all of them stay together. Write the result before it is read twice."""
+    # Maps, also inside other types, and variants have no hash.
+    plain = [f.name for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    spread = F.xxhash64(*plain) if plain else F.lit(0)
+    n_ranges = -(-2 * n_rows // MOST_SORTED)
+    return rows.repartitionByRange(n_ranges, *order, spread).withColumn("_range", F.spark_partition_id())
+
+
+def _rows_in(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    return rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _numbered(rows: DataFrame, counts: DataFrame, keys: list[str], part: str, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Rows numbered inside their part, shifted by the rows of the group's earlier parts."""
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
     return (
-        rows.join(shifts, [*keys, "_zone"])
+        rows.join(shifts, [*keys, part])
         .withColumn(name, (F.col("_shift") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_zone", "_shift")
+        .drop(part, "_shift")
     )
 
 
