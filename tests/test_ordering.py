@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegauge.operators import ordering
-from tracegauge.operators.ordering import MOST_SORTED, extreme_rows, in_ranges, ranked_head, with_position
+from tracegauge.operators.ordering import MOST_SORTED, extreme_rows, in_ranges, ranked_head, with_position, with_rank
 from tracegauge.operators.scratch import materialize
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -65,6 +65,18 @@ def test_extreme_rows_ties_and_null_times(spark):
     assert {(r.k, r.v) for r in first.collect()} == {("a", "x"), ("b", "z")}
 
 
+@pytest.mark.parametrize("most", [8, MOST_SORTED])
+def test_rank_of_every_row(spark, monkeypatch, most):
+    monkeypatch.setattr(ordering, "MOST_SORTED", most)
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, 1, 2, 2, 2, 50]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "v int, i int").repartition(5)
+    got = {r.i: r["rank"] for r in with_rank(df, [F.col("v").desc_nulls_first(), F.col("i").asc()]).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert [got[i] for _, i in want] == list(range(1, 121))
+    assert with_rank(df.limit(0), [F.col("i").asc()]).count() == 0
+
+
 def test_ranked_head(spark):
     got = ranked_head(spark.range(100), [F.col("id").desc()], 3).orderBy("rank").collect()
     assert [(r.id, r.rank) for r in got] == [(99, 1), (98, 2), (97, 3)]

@@ -45,7 +45,7 @@ def in_ranges(rows: DataFrame, order: Sequence[str | Column], n_rows: int) -> Da
     plain = [f.name for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     spread = F.xxhash64(*plain) if plain else F.lit(0)
     n_ranges = -(-2 * n_rows // MOST_SORTED)
-    return rows.repartitionByRange(n_ranges, *order, spread).withColumn("_range", F.spark_partition_id())
+    return rows.repartitionByRange(max(n_ranges, 1), *order, spread).withColumn("_range", F.spark_partition_id())
 
 
 def _rows_in(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
@@ -64,6 +64,15 @@ def _numbered(rows: DataFrame, counts: DataFrame, keys: list[str], part: str, or
     )
 
 
+def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Number all rows from 1 in an order. The rows are dealt to tasks by ranges of the order, numbered there
+    and shifted by the rows of earlier ranges; only the counts of the ranges meet in one task. Rows are
+    written twice, to count them and to fix their ranges, so building the result runs jobs."""
+    rows = materialize(df, "rank-rows")
+    ranged = materialize(in_ranges(rows, order, rows.count()), "ranges")
+    return _numbered(ranged, _rows_in(ranged, [], "_range"), [], "_range", order, name)
+
+
 def ranked_head(df: DataFrame, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows in a total order, numbered from 1. The window runs over those k rows only."""
     head = df.orderBy(*order).limit(k)

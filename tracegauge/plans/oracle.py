@@ -362,7 +362,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "order_abs_diff": on_spans(
         SIDE_BY_SIDE
         + """, ranked AS (SELECT user_query, latency_diff_ms, row_number() OVER (ORDER BY abs(latency_diff_ms) DESC NULLS FIRST, user_query) AS rank FROM sides)
-SELECT user_query, latency_diff_ms, abs(latency_diff_ms) AS abs_diff_ms FROM ranked"""
+SELECT user_query, latency_diff_ms, abs(latency_diff_ms) AS abs_diff_ms, rank FROM ranked"""
     ),
     "first_20": on_spans(
         DELTAS + ", ranked AS (SELECT *, row_number() OVER (ORDER BY metric, delta DESC, user_query) AS rank FROM delta) SELECT * FROM ranked WHERE rank <= 20"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracegauge.functions.exprs import AgentPair, range_band, round_half
 from tracegauge.operators import model_scorers, pairs, rankings, scoring, search, sketches
-from tracegauge.operators.ordering import extreme_rows
+from tracegauge.operators.ordering import extreme_rows, with_rank
 from tracegauge.operators.scratch import scratch_dir
 from tracegauge.operators.spans import extract_spans, stored_spans
 from tracegauge.plans import dashboard as dash
@@ -180,8 +180,8 @@ def _try_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions by the size of the latency difference."""
     d = pairs.response_statistics(spans(spark, sf_dir)).select("user_query", "latency_diff_ms")
-    order = [F.abs("latency_diff_ms").desc_nulls_first(), F.col("user_query").asc()]
-    return d.withColumn("abs_diff_ms", F.abs("latency_diff_ms")).orderBy(*order)
+    order = [F.abs("latency_diff_ms").desc_nulls_first(), F.col("user_query").asc_nulls_last()]
+    return with_rank(d.withColumn("abs_diff_ms", F.abs("latency_diff_ms")), order)
 
 
 def _first_20(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,32 +9,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-TYPES = {"string": T.StringType(), "date": T.DateType(), "int": T.IntegerType(), "double": T.DoubleType(), "variant": T.VariantType()}
-
-
-def _schema(text: str) -> T.StructType:
-    """Schema from ``name type, ...``; unlike a DDL parse this needs no session."""
-    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
-
+TEXT, DATE, INT, DOUBLE, VARIANT = T.StringType(), T.DateType(), T.IntegerType(), T.DoubleType(), T.VariantType()
 
 # Column names, order and types of the input files.
-SUPPORT_CASES = _schema(
-    "case_id string, customer_id string, case_date date, product string, issue_category string, "
-    "issue_summary string, resolution_summary string, rep_name string, status string, priority string"
+SUPPORT_CASES = T.StructType(
+    [
+        T.StructField("case_id", TEXT),
+        T.StructField("customer_id", TEXT),
+        T.StructField("case_date", DATE),
+        T.StructField("product", TEXT),
+        T.StructField("issue_category", TEXT),
+        T.StructField("issue_summary", TEXT),
+        T.StructField("resolution_summary", TEXT),
+        T.StructField("rep_name", TEXT),
+        T.StructField("status", TEXT),
+        T.StructField("priority", TEXT),
+    ]
+)
+CASE_METRICS = T.StructType(
+    [
+        T.StructField("case_id", TEXT),
+        T.StructField("customer_id", TEXT),
+        T.StructField("case_date", DATE),
+        T.StructField("product", TEXT),
+        T.StructField("issue_category", TEXT),
+        T.StructField("priority", TEXT),
+        T.StructField("first_response_time_mins", INT),
+        T.StructField("resolution_time_hours", DOUBLE),
+        T.StructField("num_interactions", INT),
+        T.StructField("csat_score", DOUBLE),
+        T.StructField("escalated", INT),
+    ]
 )
-CASE_METRICS = _schema(
-    "case_id string, customer_id string, case_date date, product string, issue_category string, priority string, "
-    "first_response_time_mins int, resolution_time_hours double, num_interactions int, csat_score double, escalated int"
+DAILY_SUPPORT_METRICS = T.StructType(
+    [
+        T.StructField("metric_date", DATE),
+        T.StructField("total_cases", INT),
+        T.StructField("cases_resolved", INT),
+        T.StructField("cases_escalated", INT),
+        T.StructField("avg_resolution_time_hours", DOUBLE),
+        T.StructField("avg_csat_score", DOUBLE),
+        T.StructField("avg_first_response_mins", DOUBLE),
+    ]
 )
-DAILY_SUPPORT_METRICS = _schema(
-    "metric_date date, total_cases int, cases_resolved int, cases_escalated int, "
-    "avg_resolution_time_hours double, avg_csat_score double, avg_first_response_mins double"
+REP_PERFORMANCE = T.StructType(
+    [
+        T.StructField("rep_name", TEXT),
+        T.StructField("week_start", DATE),
+        T.StructField("cases_handled", INT),
+        T.StructField("cases_resolved", INT),
+        T.StructField("avg_resolution_time_hours", DOUBLE),
+        T.StructField("avg_csat_score", DOUBLE),
+        T.StructField("escalation_rate", DOUBLE),
+    ]
 )
-REP_PERFORMANCE = _schema(
-    "rep_name string, week_start date, cases_handled int, cases_resolved int, "
-    "avg_resolution_time_hours double, avg_csat_score double, escalation_rate double"
+EVAL_DATA = T.StructType(
+    [
+        T.StructField("input_query", TEXT),
+        T.StructField("ground_truth_data", VARIANT),
+    ]
 )
-EVAL_DATA = _schema("input_query string, ground_truth_data variant")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
