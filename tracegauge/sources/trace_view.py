@@ -38,6 +38,11 @@ FLAT = [
                  ELSE '999' END END AS score_json""",
     "CASE WHEN n = 0 THEN root_ms ELSE CAST(floor(root_ms * n / 8) AS BIGINT) END AS dur_ms",
     """'{' || chr(39) || 'input_tokens' || chr(39) || ': ' || CAST(90 + k AS STRING) || ', ' || chr(39) || 'output_tokens' || chr(39) || ': ' || CAST(15 + user_id % 5 AS STRING) || ', ' || chr(39) || 'total_tokens' || chr(39) || ': ' || CAST(105 + k + user_id % 5 AS STRING) || ', ' || chr(39) || 'ok' || chr(39) || ': ' || CASE WHEN event_id % 3 = 0 THEN 'False' ELSE 'True' END || '}' AS usage_text""",
+    # Further calls of the same node: one more that can be read and one with a missing count, or one with details of its own.
+    """CASE user_id % 3
+            WHEN 1 THEN ' AIMessage(usage_metadata={' || chr(39) || 'input_tokens' || chr(39) || ': ' || CAST(11 + k AS STRING) || ', ' || chr(39) || 'total_tokens' || chr(39) || ': 40}) AIMessage(usage_metadata={' || chr(39) || 'input_tokens' || chr(39) || ': None})'
+            WHEN 2 THEN ' AIMessage(usage_metadata={' || chr(39) || 'input_tokens' || chr(39) || ': 7, ' || chr(39) || 'details' || chr(39) || ': {' || chr(39) || 'cached' || chr(39) || ': 5}})'
+            ELSE '' END AS more_calls""",
 ]
 
 
@@ -76,7 +81,7 @@ ATTRIBUTES = " || ".join(
         ),
         _when(
             "n = 2 AND agent_name = 'AGENT_B'",
-            """',"obs.call.function":"agent_node","obs.call.return":"AIMessage(usage_metadata=' || usage_text || ')"'""",
+            """',"obs.call.function":"agent_node","obs.call.return":"AIMessage(usage_metadata=' || usage_text || ')' || more_calls || '"'""",
         ),
         _when("n = 3 AND agent_name = 'AGENT_B'", """',"obs.call.function":"chat_model"'"""),
         _when(
