@@ -120,13 +120,14 @@ def write_spans(spans: DataFrame, path: str, layout: list[str] = LAYOUT) -> None
 
     Rebalancing evens out file sizes: a large (agent, span type) is split over many tasks, small
     ones share a task. Files are sorted by record and trace and carry bloom filters on both, so a
-    lookup of one of them skips nearly all row groups. An empty name would become NULL as a folder
-    name, so it is stored with a mark in front.
+    lookup of one of them skips nearly all row groups. Each filter is as large as the values of its row group
+    ask for; at the fixed default of 1 MB, small files would consist of their filters. An empty name would
+    become NULL as a folder name, so it is stored with a mark in front.
     """
     for c in layout:
         spans = spans.withColumn(c, F.when((F.col(c) == "") | F.col(c).startswith(ESCAPE), F.concat(F.lit(ESCAPE), c)).otherwise(F.col(c)))
     rows = spans.hint("rebalance", *layout).sortWithinPartitions(*layout, "record_id", "trace_id")
-    writer = rows.write.mode("overwrite").partitionBy(*layout)
+    writer = rows.write.mode("overwrite").partitionBy(*layout).option("parquet.bloom.filter.adaptive.enabled", "true")
     for c in ("record_id", "trace_id"):
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
