@@ -9,8 +9,10 @@ at least that many bytes: both places start a repeated string.
 
 Equal segments of an anchor are sent once per task and looked at once; if several places have one, all
 its windows repeat. A task holds about ``TASK_BYTES`` of segments at a time, and at most ``HOT_PLACES``
-segments of one anchor. The windows of an anchor with more places than that go to a task each, by their
-hash, and are counted there: equal ones are sent once per task, so no group is large.
+segments of one anchor. An anchor with more places than that first has its equal segments put together. If
+more than ``HOT_PLACES`` different ones are left, they are taken for texts themselves and cut at anchors
+of longer seeds, half way to the length of a window, and so on: eight times at most for 200 bytes, as
+segments around a seed as long as a window are all equal.
 
 Defined results: a null or empty text, and one shorter than the minimum, keeps everything. Rows with equal
 texts repeat each other, whatever their ids. An empty table gives an empty result. Other columns are
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegauge.llm import seeds
+from tracegauge.llm.common import stored
 from tracegauge.llm.seeds import Scheme, keyed, per_document, text_classes, texts_with_shared_anchors, without_windows
 from tracegauge.llm.sent_texts import unpacked
-from tracegauge.llm.words import mix, pieces, run_hashes
+from tracegauge.llm.words import pieces, run_hashes
 
 #: Bytes of segments whose transform is built at once.
 TASK_BYTES = 1 << 20
-#: Sets the keys of single windows apart from those of anchors.
-HOT_KEY = np.uint64(0x8EBC6AF09C88C6E3)
 _BITS = 9  # a byte, or the end of a segment
 _PACK = 7  # symbols in one sort key
 
@@ -115,51 +117,82 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [places[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], begins)]
 
 
+KEY = ["anchor", "h1", "h2"]
+SEGMENT = "anchor long, h1 long, h2 long, m long, segment binary"
+
+
 def _segments(scheme: Scheme, with_bytes: bool):
     """Rows of (anchor, h1, h2) and either the place (cid, start) or the bytes and number of places of each
-    segment; with bytes, equal segments of a batch are put together."""
+    segment, and whether its anchor has many places; with bytes, equal segments of a batch are put together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, data, at in pieces(unpacked(batch.column(3))):
                 items, _, _, first = scheme.items(data, at)
-                hashes, chosen, whole = scheme.anchors(items, first)
-                hit = np.zeros(len(items) + 1, bool)
+                hit, is_hot = np.zeros(len(items) + 1, bool), np.zeros(len(items) + 1, bool)
                 for i in range(len(at) - 1):
                     hit[first[i] + batch.column(2)[row + i].values.to_numpy()] = True
-                start = np.flatnonzero(whole & hit[chosen])
-                if not len(start):
-                    continue
-                anchor = chosen[start]
-                is_hot = np.zeros(len(items) + 1, bool)
-                for i in range(len(at) - 1):
                     is_hot[first[i] + batch.column(4)[row + i].values.to_numpy()] = True
-                alone = is_hot[anchor]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(start) != 1) | alone[1:]]))
-                a, b = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])] + scheme.length
+                key, h1, h2, place, a, b = _runs(scheme, items, first, hit)
+                if not len(a):
+                    continue
                 owner = np.searchsorted(first, a, "right") - 1
-                alone = alone[new]
-                windows = mix(run_hashes(items, scheme.length)[a] ^ HOT_KEY)
-                key, raw = np.where(alone, windows, hashes[anchor[new]]).view(np.int64), data.tobytes()
-                h1, h2 = _digest(items, a, b, scheme.length)
-                if not with_bytes:
-                    own = copies[row + owner] == 1
-                    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (key, h1, h2, cids[row + owner], (a - first[owner]).astype(np.int32))], ["anchor", "h1", "h2", "cid", "start"])
+                if with_bytes:
+                    once = _once(key, h1, h2, copies[row + owner], a, b, data.tobytes())
+                    hot = dict(zip(key.tolist(), is_hot[place].tolist()))  # the same for all places of an anchor
+                    yield pa.RecordBatch.from_arrays([*once, pa.array([hot[k] for k in once[0].to_pylist()])], [*KEY, "m", "segment", "hot"])
                     continue
-                seen: dict = {}
-                for k, (x, y, z, m) in enumerate(zip(key.tolist(), h1.tolist(), h2.tolist(), copies[row + owner].tolist())):
-                    old = seen.setdefault((x, y, z), [k, 0])
-                    old[1] += m
-                at_ = [k for k, _ in seen.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at_]), pa.array(h1[at_]), pa.array(h2[at_]), pa.array([m for _, m in seen.values()], pa.int64()), pa.array([b"" if alone[k] else raw[a[k] : b[k]] for k in at_], pa.binary())],
-                    ["anchor", "h1", "h2", "m", "segment"],
-                )
+                own = copies[row + owner] == 1
+                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (key, h1, h2, cids[row + owner], (a - first[owner]).astype(np.int32))], [*KEY, "cid", "start"])
 
     return run
 
 
+def _finer(scheme: Scheme, with_bytes: bool):
+    """The same for segments that are taken for texts: rows of the parts with their bytes, or with the
+    segment (s0, s1, s2) and the place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parents, m = [batch.column(i).to_numpy() for i in range(3)], batch.column(3).to_numpy()
+            for row, data, at in pieces(batch.column(4)):
+                items, _, _, first = scheme.items(data, at)
+                key, h1, h2, _, a, b = _runs(scheme, items, first, np.ones(len(items) + 1, bool))
+                owner = np.searchsorted(first, a, "right") - 1
+                if with_bytes:
+                    yield pa.RecordBatch.from_arrays(_once(key, h1, h2, m[row + owner], a, b, data.tobytes()), [*KEY, "m", "segment"])
+                else:
+                    columns = [key, h1, h2, *[p[row + owner] for p in parents], (a - first[owner]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*KEY, "s0", "s1", "s2", "start"])
+
+    return run
+
+
+def _runs(scheme: Scheme, items: np.ndarray, first: np.ndarray, hit: np.ndarray):
+    """Key of the anchor, digest, place of the anchor, start and end of every segment: the bytes of all windows
+    with one anchor, for the anchors at the places ``hit``."""
+    hashes, chosen, whole = scheme.anchors(items, first)
+    start = np.flatnonzero(whole & hit[chosen])
+    if not len(start):
+        return [np.zeros(0, np.int64)] * 6
+    anchor = chosen[start]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(start) != 1)]))
+    a, b = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])] + scheme.length
+    h1, h2 = _digest(items, a, b, scheme.length)
+    return hashes[anchor[new]].view(np.int64), h1, h2, anchor[new], a, b
+
+
+def _once(key: np.ndarray, h1: np.ndarray, h2: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, raw: bytes) -> list[pa.Array]:
+    """Columns key, h1, h2, m, segment with equal segments put together."""
+    seen: dict = {}
+    for k, (x, y, z, n) in enumerate(zip(key.tolist(), h1.tolist(), h2.tolist(), m.tolist())):
+        old = seen.setdefault((x, y, z), [k, 0])
+        old[1] += n
+    at = [k for k, _ in seen.values()]
+    return [*[pa.array(x[at]) for x in (key, h1, h2)], pa.array([n for _, n in seen.values()], pa.int64()), pa.array([raw[a[k] : b[k]] for k in at], pa.binary())]
+
+
 def _digest(items: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of items[a:b] for each pair, from its size and hashes of four runs that cover it:
     a segment has ``length`` items at least and fewer than twice as many."""
@@ -220,17 +253,44 @@ def _expand(length: int):
     return run
 
 
+def _expanded(segments: DataFrame, length: int) -> DataFrame:
+    """anchor, h1, h2, starts: the repeated windows of each segment, by interval expansion."""
+    at_task = segments.select(*KEY, "m", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    return at_task.mapInArrow(_expand(length), "anchor long, h1 long, h2 long, starts array<int>")
+
+
+def _of_crowded(segments: DataFrame, scheme: Scheme) -> DataFrame:
+    """The same for segments of anchors with many places. Equal ones are put together within tasks before they
+    are shuffled; where too many different ones are left, they are cut at anchors of longer seeds."""
+    one = stored(segments.groupBy(*KEY).agg(F.sum("m").alias("m"), F.first("segment").alias("segment")), "segments")
+    if scheme.seed == scheme.length:  # one different segment an anchor
+        return _expanded(one, scheme.length)
+    crowded = stored(one.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > seeds.HOT_PLACES).select("anchor"), "crowded-anchors")
+    if crowded.isEmpty():
+        return _expanded(one, scheme.length)
+    inside = stored(one.join(crowded, "anchor", "left_semi"), "crowded-segments")
+    finer = Scheme(scheme.unit, scheme.length, (scheme.seed + scheme.length + 1) // 2)
+    found = _of_crowded(inside.mapInArrow(_finer(finer, True), SEGMENT), finer)
+    places = inside.mapInArrow(_finer(finer, False), "anchor long, h1 long, h2 long, s0 long, s1 long, s2 long, start int")
+    moved = places.join(found, KEY).select("s0", "s1", "s2", F.transform("starts", lambda x: x + F.col("start")).alias("starts"))
+    # A segment has fewer windows than a window has bytes, so its list is short.
+    whole = moved.groupBy(F.col("s0").alias("anchor"), F.col("s1").alias("h1"), F.col("s2").alias("h2")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return _expanded(one.join(crowded, "anchor", "left_anti"), scheme.length).unionByName(whole)
+
+
 def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, seed: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (null: unchanged) of every row."""
     scheme = Scheme("byte", length, seed)
     texts = keyed(docs, text)
     classes = text_classes(texts, scheme)
     shared = texts_with_shared_anchors(texts, classes)
-    key = ["anchor", "h1", "h2"]
-    segments = shared.mapInArrow(_segments(scheme, True), "anchor long, h1 long, h2 long, m long, segment binary")
-    at_task = segments.repartition("anchor").sortWithinPartitions("anchor")
-    found = at_task.mapInArrow(_expand(length), "anchor long, h1 long, h2 long, starts array<int>")
+    segments = shared.mapInArrow(_segments(scheme, True), f"{SEGMENT}, hot boolean")
+    found = _expanded(segments.filter(~F.col("hot")), length)
+    with_hot = shared.filter(F.size("hot") > 0)
+    if not with_hot.isEmpty():
+        hot = with_hot.mapInArrow(_segments(scheme, True), f"{SEGMENT}, hot boolean").filter("hot")
+        found = found.unionByName(_of_crowded(hot, scheme))
     places = shared.mapInArrow(_segments(scheme, False), "anchor long, h1 long, h2 long, cid long, start int")
-    windows = places.join(found, key).select("cid", F.transform("starts", lambda x: x + F.col("start")).alias("starts"))
+    windows = places.join(found, KEY).select("cid", F.transform("starts", lambda x: x + F.col("start")).alias("starts"))
     results = without_windows(classes, shared, windows, scheme)
     return per_document(docs, doc_id, text, results, [F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept_text"])
