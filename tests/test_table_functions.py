@@ -80,3 +80,12 @@ def test_registering_again_keeps_earlier_results(spark, make_spans):
     old = spark.sql(f"SELECT count(*) FROM t_agent_events('{A}')")
     register(spark, make_spans([root(A, "r", 1), root(A, "s", 1)]), "t")
     assert (old.first()[0], spark.sql(f"SELECT count(*) FROM t_agent_events('{A}')").first()[0]) == (1, 2)
+
+
+def test_some_functions_over_some_columns(spark, make_spans):
+    few = make_spans([root(A, "r0", 1), root(B, "r1", 2), score(A, "r0", 1.0), score(B, "r1", 0.5)]).select(
+        "agent_name", "span_type", "record_id", "user_query", "metric", "score", "target_record_id", "has_score"
+    )
+    made = register(spark, few, "few", only=("query_delta",))
+    assert set(made) == {"few_query_delta", "few_requests", "few_scores", "few_all_events"}
+    assert [tuple(r) for r in spark.sql(f"SELECT user_query, metric, delta FROM few_query_delta('{A}', '{B}')").collect()] == [("q", "m", 0.5)]

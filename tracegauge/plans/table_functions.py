@@ -13,6 +13,7 @@ wanted ranks, and only the values of these seconds are put in order.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -213,13 +214,27 @@ REPORTS = (
 )
 
 
-def register(spark: SparkSession, spans: DataFrame, name: str = "traces") -> list[str]:
+def _with_parts(only: tuple[str, ...]) -> set[str]:
+    """The functions named and those they call."""
+    calls = {f.name: {c for c in re.findall(r"\{p\}_(\w+)\(", f.body)} for f in (*SCANS, *REPORTS)}
+    found, new = set(), set(only)
+    while new:
+        found |= new
+        new = set().union(*[calls[f] for f in new]) - found
+    return found
+
+
+def register(spark: SparkSession, spans: DataFrame, name: str = "traces", only: tuple[str, ...] = ()) -> list[str]:
     """Register the functions over a span table (as ``read_spans`` gives it) in this session; returns their names.
-    Registering a name again replaces its functions; results that were asked for before keep their source."""
+    Registering a name again replaces its functions; results that were asked for before keep their source.
+    With ``only`` these functions and those they call are registered, and the spans may lack columns that they do not use."""
     spans.createOrReplaceTempView(f"{name}_spans")
+    chosen = _with_parts(only)
     every = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}" for f in spans.schema)
     made = []
     for f in (*SCANS, *REPORTS):
+        if only and f.name not in chosen:
+            continue
         body = f.body.replace("{p}", name)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_{f.name}({f.arguments}) RETURNS TABLE ({f.returns or every}) RETURN {body}")
         made.append(f"{name}_{f.name}")
