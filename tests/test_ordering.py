@@ -80,3 +80,16 @@ def test_rank_of_every_row(spark, monkeypatch, most):
 def test_ranked_head(spark):
     got = ranked_head(spark.range(100), [F.col("id").desc()], 3).orderBy("rank").collect()
     assert [(r.id, r.rank) for r in got] == [(99, 1), (98, 2), (97, 3)]
+
+
+def test_tasks_follow_the_rows(spark, make_spans, monkeypatch):
+    """With more rows than the session's partitions should sort, the rows are dealt to more tasks."""
+    from tracegauge.operators import ordering, scoring
+
+    monkeypatch.setattr(ordering, "MOST_SORTED", 40)
+    rows = [{"record_type": "SPAN", "trace_id": f"t{i % 100}", "span_type": "s", "user_query": str(i), "start_ts": datetime.datetime(2024, 1, 1, 0, 0, i % 60)} for i in range(1000)]
+    spans = make_spans(rows)
+    placed = ordering.with_position(spans.select("trace_id", "start_ts", "user_query"), ["trace_id"], "start_ts", ["user_query"])
+    assert placed.rdd.getNumPartitions() == 50 and placed.agg(F.sum("position")).first()[0] == 100 * 55
+    documents = scoring.trace_documents(spans)
+    assert documents.rdd.getNumPartitions() == 50 and documents.agg(F.sum("n_steps")).first()[0] == 1000

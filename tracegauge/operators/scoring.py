@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tracegauge.functions.exprs import range_band, round_half
 from tracegauge.functions.text import ABSTENTIONS, is_abstention, is_question, numbers, rounded_forms, sentences, words
-from tracegauge.operators.ordering import with_position
+from tracegauge.operators.ordering import dealt, with_position
 
 Scorer = Callable[[Column, Column], Column]
 OVERLAP = 0.6
@@ -180,8 +180,9 @@ def trace_documents(spans: DataFrame, steps_per_part: int = 100, line_chars: int
     pieces = lines.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     shown = F.substring("line", (F.col("piece") * line_chars + 1).cast("int"), F.lit(line_chars))
     mark = F.when(F.col("piece") > 0, F.concat(F.lit("["), F.col("position").cast("string"), F.lit("."), F.col("piece").cast("string"), F.lit("] "))).otherwise("")
+    # A line has one piece as a rule; the pieces of long lines are not counted, they share the tasks.
     return (
-        pieces.withColumn("line", F.concat(mark, shown))
+        dealt(pieces.withColumn("line", F.concat(mark, shown)), rows.count(), "trace_id", "part", "piece")
         .groupBy("trace_id", "part", "piece")
         .agg(
             F.max("agent_name").alias("agent_name"),
