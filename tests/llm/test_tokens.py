@@ -130,6 +130,30 @@ def test_every_occurrence_has_its_own_skips(docs_of):
         assert len(seen) > 20
 
 
+def test_words_resume_at_their_first_skip():
+    from itertools import combinations as subsets
+
+    model = Model(PIECES)
+    for unit in (" understanding", "  résumé", "aaaaaaa", " Straße日本", "\n", " x"):
+        places = []
+        pieces, candidates = model._short(unit, iter(()), places)
+        assert len(places) == candidates and [(candidates, model.packed(pieces))] == [*model.plain([unit])]
+        for k in (1, 2, 3):
+            for numbers in subsets(range(candidates), k):
+                assert model.after(unit, bytes(places), numbers[0], iter(numbers[1:])) == model.without(unit, iter(numbers))
+
+
+def test_kept_words_serve_later_tasks_within_their_room():
+    from tracegauge.llm.merge_dropout import worker_encoder
+
+    first = worker_encoder(PIECES, 0.3, 7, 50)
+    assert worker_encoder(PIECES, 0.3, 7, 50) is first and worker_encoder(PIECES, 0.3, 8, 50) is not first
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    got = [*first.packed_rows(rows)]
+    assert got == [Encoder(PIECES, 0.3, 7, 1000).packed(t, i) for i, t in rows]
+    assert all(0 < len(kept) <= 50 for kept in (first.known, first.varied, first.traces))
+
+
 def test_share_of_skips():
     for rate in (0.0001, 0.1, 0.9):
         skips = Skips(int(rate * 2**64))

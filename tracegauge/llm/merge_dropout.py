@@ -9,7 +9,10 @@ segmented by itself, and every segmentation decodes to the same text.
 
 No piece joins a character to a space behind it, so a run of spaces with the word behind it is encoded by
 itself. Draws are taken as the numbers of the candidates that are skipped: the segmentation of a word depends
-on these numbers alone, so each worker keeps the ones it has made by word and numbers, up to a bound.
+on these numbers alone, so each worker keeps the ones it has made by word and numbers, up to a bound and
+from task to task. Words that are new are first encoded by the library, without skips; only those that
+skips change are merged here. Up to its first skip a word is merged as without any, so words that come up with
+further skips do not search those merges again.
 
 Decoding is exact for every text: characters without a piece become byte pieces, and so does U+2581, which
 the library would take for a space. With rate 0 the ids are the library's for all texts without U+2581.
@@ -28,7 +31,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,8 @@ SHORT = 40
 KEPT = 16
 #: Skips are drawn for so many candidates at once.
 AHEAD = 64
+#: So many characters of texts are looked through for new units at once.
+GROUP = 500_000
 #: Stands for a pair that makes no piece.
 NONE = float("-inf")
 
@@ -91,7 +96,7 @@ class Model:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.bytes: list[bytes] = []
@@ -155,16 +160,33 @@ class Model:
                     heapq.heappush(agenda, (-s, front, symbols[front] + piece, left))
         return [s for s in symbols if s], number
 
-    def _short(self, unit: str, skips: Iterator[int]) -> tuple[list[str], int]:
-        """The same for a short unit: the agenda is a list of scores, one for each pair of neighbours."""
-        get, symbols, number, skip = self.score.get, list(unit), 0, next(skips, -1)
-        agenda = [get(a + b, NONE) for a, b in zip(unit, unit[1:])]
+    def _short(self, unit: str, skips: Iterator[int], trace: list[int] | None = None) -> tuple[list[str], int]:
+        """The same for a short unit: the agenda is a list of scores, one for each pair of neighbours. ``trace`` takes
+        the places of the candidates, in order."""
+        return self._merged(list(unit), 0, -1, skips, trace)
+
+    def after(self, unit: str, trace: bytes, first: int, skips: Iterator[int]) -> tuple[list[str], int]:
+        """The same for a short unit whose first skip is number ``first``, by the trace of the unit without skips;
+        ``skips`` gives the numbers that follow."""
+        symbols = list(unit)
+        for i in trace[:first]:
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return self._merged(symbols, first + 1, trace[first], skips)
+
+    def _merged(self, symbols: list[str], number: int, skipped: int, skips: Iterator[int], trace: list[int] | None = None) -> tuple[list[str], int]:
+        """Merges ``symbols`` to the end, after ``number`` candidates of which the last was skipped at ``skipped``."""
+        get, skip = self.score.get, next(skips, -1)
+        agenda = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        if skipped >= 0:
+            agenda[skipped] = NONE
         while agenda:
             best = max(agenda)
             if best == NONE:
                 break
             i = agenda.index(best)
             number += 1
+            if trace is not None:
+                trace.append(i)
             if number - 1 == skip:
                 agenda[i], skip = NONE, next(skips, -1)
                 continue
@@ -176,6 +198,19 @@ class Model:
                 agenda[i - 1] = get(symbols[i - 1] + piece, NONE)
         return symbols, number
 
+    def plain(self, units: list[str]) -> Iterator[tuple[int, bytes]]:
+        """For each unit the number of candidates, none of them skipped, and its ids. The library puts a space before
+        what it encodes; units without one, with U+2581 or with byte pieces are merged here."""
+        own = [u[0] != " " or MARK in u for u in units]
+        found = self.library.encode(["" if o else u[1:] for u, o in zip(units, own)], out_type=int, num_threads=1)
+        is_byte = {*self.byte_ids}
+        for unit, here, ids in zip(units, own, found):
+            if not ids or here or not is_byte.isdisjoint(ids):
+                pieces, candidates = self.without(unit, iter(()))
+                yield candidates, self.packed(pieces)
+            else:
+                yield len(unit) - len(ids), array("i", ids).tobytes()
+
     def packed(self, pieces: list[str]) -> bytes:
         """The ids of pieces as little-endian 32-bit numbers."""
         try:
@@ -194,52 +229,109 @@ class Model:
         return b"".join([self.bytes[i] for i in ids]).decode()[1:]
 
 
+def _make_room(kept: dict, more: int, room: int) -> None:
+    """Takes half of a full dictionary away, the newest entries: the common ones come first."""
+    if len(kept) + more > room:
+        for _ in range(len(kept) - max(0, min(room // 2, room - more))):
+            kept.popitem()
+
+
 class Encoder:
-    """Encodes texts in one task."""
+    """Encodes texts."""
 
     def __init__(self, path: str, dropout: float, seed: int, cache_size: int) -> None:
         self.model, self.seed = Model(path), seed
         self.skips = Skips(int(dropout * 2**64)) if int(dropout * 2**64) else None
-        #: Without skips, by unit; and with skips, by unit and the numbers that came up and were skipped.
-        self.known = Memo(lambda unit: self._made(unit, []), cache_size)
+        #: Without skips, by unit; and with skips, by unit and the numbers that came up and were skipped: the number of
+        #: candidates that come up and the ids.
+        self.known = Memo(lambda unit: next(self.model.plain([unit])), cache_size)
         self.varied, self.room = {}, cache_size
-
-    def _made(self, unit: str, numbers: list[int]) -> tuple[int, bytes]:
-        """The number of candidates of a unit that come up, of which ``numbers`` are skipped, and its ids."""
-        pieces, candidates = self.model.without(unit, iter(numbers))
+        #: Places of the candidates of units that came up with skips more than once; None after the first time.
+        self.traces: dict[str, bytes | None] = {}
+
+    def _learn(self, units: set[str]) -> None:
+        """Encodes those units that are not known yet, as far as there is room."""
+        new = [unit for unit in units if unit not in self.known][: self.room]
+        if not new:
+            return
+        _make_room(self.known, len(new), self.room)
+        self.known.update(zip(new, self.model.plain(new)))
+
+    def _varied(self, unit: str, numbers: list[int]) -> tuple[int, bytes]:
+        """A short unit, of which the candidates with these numbers are skipped."""
+        if unit not in self.traces:
+            _make_room(self.traces, 1, self.room)
+            self.traces[unit] = None
+            pieces, candidates = self.model.without(unit, iter(numbers))
+        else:
+            if self.traces[unit] is None:
+                places: list[int] = []
+                self.model._short(unit, iter(()), places)
+                self.traces[unit] = bytes(places)
+            pieces, candidates = self.model.after(unit, self.traces[unit], numbers[0], iter(numbers[1:]))
         return candidates, self.model.packed(pieces)
 
-    def _with_skips(self, unit: str, key: int) -> bytes:
-        """The ids of one occurrence."""
+    def _with_skips(self, unit: str, key: int, gap: int) -> bytes:
+        """The ids of one occurrence, whose key gives ``gap`` as the number of its first skip."""
         if len(unit) > KEPT:
             return self.model.packed(self.model.without(unit, self.skips.of(key, unit))[0])
-        skips, made, held = self.skips.of(key, unit), self.known.get(unit), (unit,)
-        while made:
-            number = next(skips, sys.maxsize)
-            if number >= made[0]:
-                return made[1]
+        made, bounds, held, number = self.known[unit], self.skips.bounds, (unit,), gap
+        # A unit that is kept has fewer than AHEAD candidates, so each gap leads to a skip or behind the last.
+        while number < made[0]:
             held += (number,)
             made = self.varied.get(held)
-        numbers = [*self.skips.of(key, unit)]
-        made = self._made(unit, numbers)
-        used = [x for x in numbers if x < made[0]]
-        keep = self.varied if used else self.known
-        if len(keep) >= self.room:
-            keep.clear()
-        keep[(unit, *used) if used else unit] = made
+            if not made:
+                break
+            key = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"))
+            number += 1 + bisect_right(bounds, key)
+        else:
+            return made[1]
+        numbers = [*held[1:]]
+        while number < 3 * len(unit):
+            key = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"))
+            number += 1 + bisect_right(bounds, key)
+            numbers.append(number)
+        made = self._varied(unit, numbers)
+        _make_room(self.varied, 1, self.room)
+        self.varied[(unit, *[x for x in numbers if x < made[0]])] = made
         return made[1]
 
     def packed(self, text: str | None, document: object) -> bytes:
         """The ids of the text of a document as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        units = self.model.units.findall(" " + text)
-        if not self.skips:
-            return b"".join([self.known[unit][1] for unit in units])
-        keys = self.skips.keys(xxhash.xxh3_64_intdigest(f"{self.seed} {document}"), len(units))
-        known = map(self.known.get, units, repeat((sys.maxsize, b"")))
-        rows = zip(units, known, self.skips.first(keys).tolist(), keys.tolist())
-        return b"".join([made[1] if gap >= made[0] else self._with_skips(unit, key) for unit, made, gap, key in rows])
+        return next(self.packed_rows([(document, text)]))
+
+    def packed_rows(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[bytes]:
+        """The same for each document and text. New units are learnt for some ``GROUP`` characters of texts at once."""
+        held, size = [], 0
+        for document, text in rows:
+            held.append((document, self.model.units.findall(" " + text) if text else []))
+            size += len(text or "")
+            if size >= GROUP:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, rows: list[tuple[object, list[str]]]) -> Iterator[bytes]:
+        self._learn(set(chain.from_iterable(units for _, units in rows)))
+        for document, units in rows:
+            if not self.skips:
+                yield b"".join([self.known[unit][1] for unit in units])
+                continue
+            keys = self.skips.keys(xxhash.xxh3_64_intdigest(f"{self.seed} {document}"), len(units))
+            known = map(self.known.get, units, repeat((sys.maxsize,)))
+            found = zip(units, known, self.skips.first(keys).tolist(), keys.tolist())
+            yield b"".join([made[1] if gap >= made[0] else self._with_skips(unit, key, gap) for unit, made, gap, key in found])
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(*arguments) -> Encoder:
+    """The encoder of this worker process: the last one made stays, with what it has kept, for the tasks that follow."""
+    if arguments not in _encoders:
+        _encoders.clear()
+        _encoders[arguments] = Encoder(*arguments)
+    return _encoders[arguments]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, dropout: float) -> tuple[DataFrame, str]:
@@ -254,9 +346,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     rows, id_type = _rows(docs, doc_id, text, dropout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, dropout, seed, cache_size)
+        encoder = worker_encoder(path, dropout, seed, cache_size)
         for batch in batches:
-            parts = [encoder.packed(t.as_py(), d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+            texts = (t.as_py() for t in batch.column(1))
+            parts = [*encoder.packed_rows(zip(batch.column(0).to_pylist(), texts))]
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -284,11 +377,11 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     rows, id_type = _rows(docs, doc_id, text, dropout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, dropout, seed, cache_size)
+        encoder = worker_encoder(path, dropout, seed, cache_size)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for document, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = encoder.packed(own.as_py(), document)
+            texts = (t.as_py() for t in batch.column(1))
+            for packed in encoder.packed_rows(zip(batch.column(0).to_pylist(), texts)):
                 decoded = encoder.model.decode(array("i", packed)) if packed else ""
                 for to, x in zip(out, (len(packed) // 4, zlib.crc32(packed), hashlib.sha256(decoded.encode()).hexdigest(), len(decoded))):
                     to.append(x)
