@@ -116,3 +116,19 @@ def test_pairs_grow_with_the_rows_of_a_group(docs_of, monkeypatch, changes):
             assert found == {0} and sum(tried) <= 2 * n
         else:
             assert sum(tried) <= 6 * n
+
+
+def test_index_rows_leave_in_small_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from tracegauge.llm import ngram_join as join
+
+    n, draw = 2000, np.random.default_rng(3)
+    size = draw.integers(50, 150, n)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(draw.integers(-(2**62), 2**62, size.sum())))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(size + draw.integers(0, 10, n)), lists], ["cid", "n", "shared"])
+    out = [*join._index(80)(iter([batch]))]
+    alone = [*join._index(80)(batch.slice(i, 1) for i in range(n))]
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches(alone))
+    assert max(len(b.column(1).unique()) for b in out) <= 512

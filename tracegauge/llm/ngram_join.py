@@ -40,6 +40,8 @@ from tracegauge.llm.words import mix, pieces, run_hashes, word_hashes, word_span
 SHORT_BITS = 48
 #: Percent of the set by which the first prefix is longer than it must be.
 EXTRA = 10
+#: Rows that a worker turns into sets or rows of the index at once.
+AT_ONCE = 512
 #: Rounds of leaders.
 ROUNDS = 2
 #: Numbers of 64 parity bits that stand for the shared tokens of a set.
@@ -61,6 +63,14 @@ def _sets(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``AT_ONCE`` at a time. A row's sets, or its rows of the index, take many times its own bytes in a
+    worker and in the batch that goes back to the executor."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(first, AT_ONCE)
+
+
 def _need(n: Column, percent: int) -> Column:
     """The fewest tokens that a set of ``n`` shares with a similar one."""
     return F.ceil(n * percent / 100).cast("long")
@@ -71,7 +81,7 @@ def _sign(size: int, percent: int, with_prefix: bool):
     other = np.uint64(0xA0761D6478BD642F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             f1, f2, ns, prefixes = [], [], [], []
             for _, data, at in pieces(batch.column(3)):
                 for tokens in _sets(data, at, size):
@@ -97,7 +107,7 @@ def _whole_sets(size: int, percent: int):
     other = np.uint64(0xE7037ED1A0B428DB)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ns, sets, thirds = [], [], []
             for _, data, at in pieces(unpacked(batch.column(1))):
                 for tokens in _sets(data, at, size):
@@ -134,7 +144,7 @@ def _index(percent: int):
     the parities of the shared tokens, dealt to 64 * SIGNS bits by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             cids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(2)
             flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
