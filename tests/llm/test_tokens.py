@@ -154,6 +154,25 @@ def test_kept_words_serve_later_tasks_within_their_room():
     assert all(0 < len(kept) <= 50 for kept in (first.known, first.varied, first.traces))
 
 
+def test_short_words_are_merged_side_by_side(monkeypatch):
+    from tracegauge.llm import merge_dropout
+
+    rnd, model = random.Random(4), Model(PIECES)
+    words = ["outstanding", "the", "aaaaaaaaaa", "a", "Straße", "x,y;z", "1234567", "résumé", "banana", "don't", "the-the-the"]
+    rows = [(i, "  ".join(rnd.choice(words) + rnd.choice(["", "s", " "]) for _ in range(60))) for i in range(20)]
+    monkeypatch.setattr(merge_dropout, "SIDE_BY_SIDE", 7)
+    for dropout in (0.0, 0.1, 0.7):
+        want = []
+        for i, text in rows:
+            units = model.units.findall(" " + text)
+            keys = Skips(2**60).keys(xxhash.xxh3_64_intdigest(f"3 {i}"), len(units)).tolist()
+            want.append(b"".join(model.packed(model.segment(u, int(dropout * 2**64), k)) for u, k in zip(units, keys)))
+        with monkeypatch.context() as here:
+            one_by_one = []
+            here.setattr(Model, "_merged", lambda self, symbols, *rest: one_by_one.append(symbols))
+            assert [*Encoder(PIECES, dropout, 3, 1000).packed_rows(rows)] == want and not one_by_one
+
+
 def test_share_of_skips():
     for rate in (0.0001, 0.1, 0.9):
         skips = Skips(int(rate * 2**64))

@@ -8,11 +8,12 @@ text. So one seed gives one result, every occurrence of a word and every copy of
 segmented by itself, and every segmentation decodes to the same text.
 
 No piece joins a character to a space behind it, so a run of spaces with the word behind it is encoded by
-itself. Draws are taken as the numbers of the candidates that are skipped: the segmentation of a word depends
-on these numbers alone, so each worker keeps the ones it has made by word and numbers, up to a bound and
-from task to task. Words that are new are first encoded by the library, without skips; only those that
-skips change are merged here. Up to its first skip a word is merged as without any, so words that come up with
-further skips do not search those merges again.
+itself. Draws are taken as the numbers of the candidates that are skipped. Every step of a word takes one candidate,
+so short words of many documents are merged side by side, a step of all of them at once. Words that are new are first
+merged without skips (long ones by the library), and each worker keeps their ids, up to a bound and from task
+to task; only words that skips change are merged again. Words with characters that are no pieces are merged one by one:
+their segmentation depends on the word and the numbers alone, so it is kept too, and up to its first skip
+a word is merged as without any, so words that come up with further skips do not search those merges again.
 
 Decoding is exact for every text: characters without a piece become byte pieces, and so does U+2581, which
 the library would take for a space. With rate 0 the ids are the library's for all texts without U+2581.
@@ -44,8 +45,10 @@ from tracegauge.llm.pretokens import Memo
 MARK = "▁"
 #: Units up to this length keep their agenda in a list instead of a heap.
 SHORT = 40
-#: Segmentations with skips are kept for units up to this length.
+#: Units up to this length are merged side by side, or their segmentations with skips are kept.
 KEPT = 16
+#: So many units are merged side by side.
+SIDE_BY_SIDE = 1 << 13
 #: Skips are drawn for so many candidates at once.
 AHEAD = 64
 #: So many characters of texts are looked through for new units at once.
@@ -77,6 +80,10 @@ class Skips:
         """The first gap of each occurrence; AHEAD stands for none among so many."""
         return np.searchsorted(self.table, keys, "right")
 
+    def following(self, keys: np.ndarray) -> np.ndarray:
+        """The keys that draw the gaps after those of ``keys``."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, keys.astype("<u8").view("V8").tolist()), np.uint64, len(keys))
+
     def of(self, key: int, unit: str) -> Iterator[int]:
         """The numbers of the skipped candidates of one occurrence, in order. A unit has fewer than three for each character."""
         at, end = bisect_right(self.bounds, key), 3 * len(unit)
@@ -90,6 +97,90 @@ class Skips:
             at += gap
 
 
+class Pairs:
+    """All pairs of pieces that make a piece, by number, to merge many units at once."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int]) -> None:
+        #: Stands for no piece.
+        self.none = max(ids.values()) + 1
+        self.of_char = np.full(sys.maxunicode + 1, self.none, np.int32)
+        found = []
+        level = {s: i + 1 for i, s in enumerate(sorted({*score.values()}))}
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+            for k in range(1, len(piece)):
+                a, b = ids.get(piece[:k]), ids.get(piece[k:])
+                if a is not None and b is not None:
+                    found.append((self._key(a, b), level[score[piece]], i))
+        found.append((self._key(self.none, self.none), 0, self.none))
+        self.keys, level, piece = np.array(sorted(found), np.int64).T.copy()
+        self.level, self.piece = level.astype(np.int32), piece.astype(np.int32)
+
+    def _key(self, a, b):
+        return a * (self.none + 1) + b
+
+    def _joined(self, a: np.ndarray, b: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For neighbours, of which the left ones stand at ``places``, when they come up (the largest number first, 0 for never) and the
+        pieces they make."""
+        keys = self._key(a.astype(np.int64), b)
+        at = np.searchsorted(self.keys, keys)
+        at[self.keys[at] != keys] = -1
+        level = self.level[at]
+        return np.where(level > 0, level * (KEPT + 1) + KEPT - places, 0), self.piece[at]
+
+    def merge(self, units: list[str], keys: np.ndarray | None = None, gaps: np.ndarray | None = None, skips: Skips | None = None) -> Iterator[bytes | None]:
+        """The ids of units of at most ``KEPT`` characters; None for units with a character that is no piece. ``keys`` gave
+        the numbers ``gaps`` of their first skips."""
+        for first in range(0, len(units), SIDE_BY_SIDE):
+            part = slice(first, first + SIDE_BY_SIDE)
+            yield from self._merge(units[part], *((keys[part].copy(), gaps[part].copy(), skips) if skips else (None, None, None)))
+
+    def _merge(self, units: list[str], keys: np.ndarray | None, skip: np.ndarray | None, skips: Skips | None) -> Iterator[bytes | None]:
+        n, lengths = len(units), np.fromiter(map(len, units), np.int64, len(units))
+        first, rows = np.cumsum(lengths) - lengths, int(lengths.max()) + 1
+        chars = self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        own = np.logical_and.reduceat(chars != self.none, first)
+        # The symbol that starts at character p of unit u stands at p * n + u. The last row holds no symbols; it is behind
+        # every unit and, as the row before row 0, in front of it.
+        place, unit = np.arange(len(chars)) - np.repeat(first, lengths), np.repeat(np.arange(n), lengths)
+        symbols, agenda = np.full(rows * n, self.none, np.int32), np.zeros(rows * n, np.int32)
+        made, behind = np.empty(rows * n, np.int32), np.arange(n, (rows + 1) * n, dtype=np.int32)
+        before = behind - 2 * n
+        symbols[place * n + unit] = chars
+        pair = np.flatnonzero(unit[:-1] == unit[1:])
+        at = place[pair] * n + unit[pair]
+        agenda[at], made[at] = self._joined(chars[pair], chars[pair + 1], place[pair])
+        table, live, number = agenda.reshape(rows, n), np.arange(n), 0
+        while True:
+            best = table.max(axis=0)[live] if 4 * len(live) > n else table[:, live].max(axis=0)
+            found = best > 0
+            live, best = live[found], best[found]
+            if not len(live):
+                break
+            place = KEPT - best % (KEPT + 1)
+            unit, left = live, place * n + live
+            if skips:
+                skipped = skip[unit] == number
+                here = unit[skipped]
+                agenda[left[skipped]] = 0
+                keys[here] = skips.following(keys[here])
+                # A unit of this length has fewer than AHEAD candidates, so each gap leads to a skip or behind the last.
+                skip[here] = number + 1 + skips.first(keys[here])
+                unit, left, place = unit[~skipped], left[~skipped], place[~skipped]
+            number += 1
+            right, piece = behind[left], made[left]
+            symbols[left], symbols[right], agenda[right] = piece, self.none, 0
+            after, front = behind[right], before[left]
+            behind[left], before[after] = after, left
+            agenda[left], made[left] = self._joined(piece, symbols[after], place)
+            agenda[front], made[front] = self._joined(symbols[front], piece, front // n)
+        symbols = symbols.reshape(rows, n).T
+        kept = symbols != self.none
+        ids, ends = symbols[kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return (ids[a:b] if o else None for a, b, o in zip([0, *ends], ends, own.tolist()))
+
+
 class Model:
     """Pieces of a model file; in them a space is a space."""
 
@@ -115,6 +206,7 @@ class Model:
                 self.bytes.append(plain.encode())
         if any(re.search("[^ ] ", p) for p in self.id):
             raise ValueError("pieces of this model join a character to a space behind it")
+        self.pairs = Pairs(self.score, self.id)
         self.units = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in p for p in self.id) else r" *[^ ]+| +")
 
     def segment(self, unit: str, rate: int = 0, key: int = 0) -> list[str]:
@@ -199,13 +291,20 @@ class Model:
         return symbols, number
 
     def plain(self, units: list[str]) -> Iterator[tuple[int, bytes]]:
-        """For each unit the number of candidates, none of them skipped, and its ids. The library puts a space before
-        what it encodes; units without one, with U+2581 or with byte pieces are merged here."""
-        own = [u[0] != " " or MARK in u for u in units]
-        found = self.library.encode(["" if o else u[1:] for u, o in zip(units, own)], out_type=int, num_threads=1)
+        """For each unit the number of candidates, none of them skipped, and its ids. Short units are merged side by side,
+        others by the library. It puts a space before what it encodes; units without one, with U+2581 or with
+        byte pieces are merged here."""
+        found = [None] * len(units)
+        short = [i for i, u in enumerate(units) if len(u) <= KEPT]
+        for i, ids in zip(short, self.pairs.merge([units[i] for i in short])):
+            found[i] = ids
         is_byte = {*self.byte_ids}
-        for unit, here, ids in zip(units, own, found):
-            if not ids or here or not is_byte.isdisjoint(ids):
+        for unit, ids in zip(units, found):
+            if ids:
+                yield len(unit) - len(ids) // 4, ids
+                continue
+            ids = [] if unit[0] != " " or MARK in unit else self.library.encode(unit[1:], out_type=int)
+            if not ids or not is_byte.isdisjoint(ids):
                 pieces, candidates = self.without(unit, iter(()))
                 yield candidates, self.packed(pieces)
             else:
@@ -312,15 +411,28 @@ class Encoder:
         yield from self._group(held)
 
     def _group(self, rows: list[tuple[object, list[str]]]) -> Iterator[bytes]:
-        self._learn(set(chain.from_iterable(units for _, units in rows)))
-        for document, units in rows:
-            if not self.skips:
-                yield b"".join([self.known[unit][1] for unit in units])
-                continue
-            keys = self.skips.keys(xxhash.xxh3_64_intdigest(f"{self.seed} {document}"), len(units))
-            known = map(self.known.get, units, repeat((sys.maxsize,)))
-            found = zip(units, known, self.skips.first(keys).tolist(), keys.tolist())
-            yield b"".join([made[1] if gap >= made[0] else self._with_skips(unit, key, gap) for unit, made, gap, key in found])
+        units = [*chain.from_iterable(units for _, units in rows)]
+        self._learn(set(units))
+        if not self.skips:
+            parts = [self.known[unit][1] for unit in units]
+        elif units:
+            # Units without room count as changed by skips.
+            known = [*map(self.known.get, units, repeat((sys.maxsize, b"")))]
+            parts = [made[1] for made in known]
+            keys = np.concatenate([self.skips.keys(xxhash.xxh3_64_intdigest(f"{self.seed} {document}"), len(own)) for document, own in rows])
+            gaps = self.skips.first(keys)
+            changed = np.flatnonzero(gaps < np.fromiter((made[0] for made in known), np.int64, len(known)))
+            at, short = changed.tolist(), np.fromiter((len(units[i]) <= KEPT for i in changed.tolist()), bool, len(changed))
+            beside = changed[short]
+            for i, ids in zip(beside.tolist(), self.model.pairs.merge([units[i] for i in beside.tolist()], keys[beside], gaps[beside], self.skips)):
+                parts[i] = ids
+            for i in at:
+                if parts[i] is None or len(units[i]) > KEPT:
+                    parts[i] = self._with_skips(units[i], int(keys[i]), int(gaps[i]))
+        first = 0
+        for _, own in rows:
+            yield b"".join(parts[first : first + len(own)]) if own else b""
+            first += len(own)
 
 
 _encoders: dict[tuple, Encoder] = {}
