@@ -132,3 +132,12 @@ def test_index_rows_leave_in_small_batches():
     alone = [*join._index(80)(batch.slice(i, 1) for i in range(n))]
     assert pa.Table.from_batches(out).equals(pa.Table.from_batches(alone))
     assert max(len(b.column(1).unique()) for b in out) <= 512
+
+
+def test_shared_tokens_are_counted_in_one_shuffle(spark):
+    from tracegauge.llm.ngram_join import _shared_tokens
+
+    sets = spark.createDataFrame([(1, 3, [5, 2, 3]), (2, 2, [2, 3]), (3, 1, [3]), (4, 1, [9]), (5, 0, [])], "cid long, n long, tokens array<long>")
+    shared = _shared_tokens(sets, "tokens")
+    assert {r.cid: [tuple(x) for x in r.shared] for r in shared.collect()} == {1: [(2, 2), (3, 3)], 2: [(2, 2), (3, 3)], 3: [(3, 3)]}
+    assert "Join" not in shared._jdf.queryExecution().optimizedPlan().toString()

@@ -124,9 +124,10 @@ def _whole_sets(size: int, percent: int):
 def _shared_tokens(sets: DataFrame, column: str) -> DataFrame:
     """cid, n and ``shared``: the tokens of ``column`` that other rows have too, as (df, token), rarest first."""
     rows = sets.select("cid", "n", F.explode(column).alias("token"))
-    # Written first: a join can split a hot key only if both sides come from a plain shuffle.
-    counts = stored(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens")
-    return rows.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # Counted where the rows of a token meet, so they are shuffled once; a join with a table of counts would shuffle them again. The
+    # rows of a hot token are three numbers each, and Spark spills them.
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
+    return counted.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
